@@ -70,6 +70,11 @@ def strip_language(norm: str, code: str) -> str:
     return f"('*' || CASE WHEN {same} THEN regexp_replace({path}, '^/[^/]*/?', '/') ELSE {path} END)"
 
 
+def to_float(d: str) -> str:
+    """DOUBLE → FLOAT the way a float32 cast rounds: overflow becomes ±inf, not NULL."""
+    return f"coalesce(TRY_CAST({d} AS FLOAT), (sign({d}) * 'inf'::DOUBLE)::FLOAT)"
+
+
 def parse_vector(s: str) -> str:
     """Vector text → FLOAT[] (JSON array of numbers, else every number by pattern)."""
     t = trim(f"coalesce({s}, '')")
@@ -77,12 +82,12 @@ def parse_vector(s: str) -> str:
     elem_ok = ("list_bool_and(list_transform(e, lambda x: x IS NULL OR x IN ('true', 'false') OR "
                "TRY_CAST(regexp_replace(x, '^\"(.*)\"$', '\\1') AS DOUBLE) IS NOT NULL))")
     elem_val = ("list_transform(e, lambda x: CASE WHEN x IS NULL THEN 'NaN'::FLOAT WHEN x = 'true' THEN 1::FLOAT "
-                "WHEN x = 'false' THEN 0::FLOAT ELSE TRY_CAST(regexp_replace(x, '^\"(.*)\"$', '\\1') AS DOUBLE)::FLOAT END)")
+                "WHEN x = 'false' THEN 0::FLOAT ELSE " + to_float("TRY_CAST(regexp_replace(x, '^\"(.*)\"$', '\\1') AS DOUBLE)") + " END)")
     nums = f"regexp_extract_all({t}, '{_NUM}')"
     return f"""(CASE WHEN {t} = '' OR lower({t}) = 'nan' THEN NULL
   WHEN {t} LIKE '[%' AND {t} LIKE '%]' AND (SELECT len(e) > 0 AND {elem_ok} FROM (SELECT {elems} AS e)) IS TRUE
        THEN (SELECT {elem_val} FROM (SELECT {elems} AS e))
-  WHEN len({nums}) > 0 THEN list_transform({nums}, lambda x: TRY_CAST(x AS DOUBLE)::FLOAT)
+  WHEN len({nums}) > 0 THEN list_transform({nums}, lambda x: {to_float("TRY_CAST(x AS DOUBLE)")})
   ELSE NULL END)"""
 
 
@@ -267,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
         CRAWL + f", cw AS (SELECT pos, code, url FROM crawl), {nu_crawl}",
         f"SELECT pos, code, {strip_language('norm_url', 'code')} AS slug_key FROM cwn",
     )
-    digest = "CAST(len(vec) AS BIGINT) AS n, vec[1]::DOUBLE AS first, vec[-1]::DOUBLE AS last"
+    digest = "CAST(len(vec) AS DOUBLE) AS n, vec[1]::DOUBLE AS first, vec[-1]::DOUBLE AS last"
     out["parse_vector"] = _sql(
         CRAWL + f", tv AS (SELECT pos, CASE WHEN embedding IS NOT NULL THEN {text_vec} END AS t FROM crawl),"
         f" pv AS (SELECT pos, {parse_vector('t')} AS vec FROM tv)",
@@ -304,12 +309,12 @@ FULL OUTER JOIN (SELECT code, count(*) AS dropped_rows FROM dropped GROUP BY cod
     out["matches"] = _sql(m, "SELECT * FROM matches")
     out["match_stats"] = _sql(m, f"""
 SELECT v.code,
-  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.slug, 0) END AS slug,
-  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.embedding, 0) END AS embedding,
-  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.sicher, 0) END AS sicher,
-  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.pruefen, 0) END AS pruefen,
-  coalesce(u.unmatched, 0) AS unmatched,
-  CASE WHEN v.code = '{PIVOT}' THEN v.n END AS total
+  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.slug, 0) END::DOUBLE AS slug,
+  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.embedding, 0) END::DOUBLE AS embedding,
+  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.sicher, 0) END::DOUBLE AS sicher,
+  CASE WHEN v.code = '{PIVOT}' THEN NULL ELSE coalesce(s.pruefen, 0) END::DOUBLE AS pruefen,
+  coalesce(u.unmatched, 0)::DOUBLE AS unmatched,
+  (CASE WHEN v.code = '{PIVOT}' THEN v.n END)::DOUBLE AS total
 FROM (SELECT code, count(*) AS n FROM valid GROUP BY code) v
 LEFT JOIN (SELECT code, count(*) FILTER (WHERE method = 'slug') AS slug, count(*) FILTER (WHERE method = 'embedding') AS embedding,
                   count(*) FILTER (WHERE confidence = 'sicher') AS sicher, count(*) FILTER (WHERE confidence = 'prüfen') AS pruefen

@@ -55,7 +55,7 @@ def q_slug_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vector_digest(vec) -> list:
     return [
-        F.when(vec.isNotNull(), F.size(vec)).cast("long").alias("n"),
+        F.when(vec.isNotNull(), F.size(vec)).cast("double").alias("n"),
         F.try_element_at(vec, F.lit(1)).cast("double").alias("first"),
         F.try_element_at(vec, F.lit(-1)).cast("double").alias("last"),
     ]
@@ -135,7 +135,9 @@ def q_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_match_stats(spark: SparkSession, sf: str) -> DataFrame:
     _, res = _matching(spark, sf)
-    return res.stats
+    # counts are NULL where a cell does not exist (pivot row); DOUBLE keeps NULL and numbers comparable
+    return res.stats.select("code", *[F.col(c).cast("double").alias(c) for c in
+                                      ("slug", "embedding", "sicher", "pruefen", "unmatched", "total")])
 
 
 def q_unmatched(spark: SparkSession, sf: str) -> DataFrame:
