@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ def run_matching(
     other_rows = valid.where(F.col("code") != pivot).select("code", F.col("pos").alias("b"), F.col("url").alias("other_url"), "norm_url", "vec")
 
     if use_slug and others:
-        slug = cut_lineage(slug_match(pivot_rows, other_rows, pivot))
+        slug = slug_match(pivot_rows, other_rows, pivot).persist(StorageLevel.MEMORY_AND_DISK)
     else:
         slug = spark.createDataFrame([], "code string, a long, b long")
 
@@ -141,9 +142,11 @@ def run_matching(
         per_lang = pivot_rows.select("a", "vec", F.explode(F.array(*[F.lit(c) for c in others])).alias("code"))
         rem_p = per_lang.join(slug.select("code", "a"), ["code", "a"], "left_anti").select("code", "a", "vec")
         rem_o = other_rows.join(slug.select("code", "b"), ["code", "b"], "left_anti").select("code", "b", "vec")
+        # the O(n·m) kernel output is written once (reliable checkpoint): an executor lost
+        # later never re-runs the similarity work; the small reductions are only persisted
         scores = cut_lineage(block_scores(rem_p, rem_o, k))
-        topk = cut_lineage(topk_from_scores(scores, k))
-        best = cut_lineage(best_pivot_from_scores(scores))
+        topk = topk_from_scores(scores, k).persist(StorageLevel.MEMORY_AND_DISK)
+        best = best_pivot_from_scores(scores).persist(StorageLevel.MEMORY_AND_DISK)
         edges = topk.where(F.col("score") >= F.lit(threshold)).select("code", "a", "b", "score")
         assigned = greedy_assign(edges, local_finish_edges=local_finish_edges)
         emb = embedding_matches(topk, best, assigned, threshold, band, min_margin)
@@ -172,7 +175,7 @@ def run_matching(
               F.col("preferred_pos") == F.col("a3"), "left")
         .select(*MATCH_COLUMNS)
     )
-    matches = cut_lineage(matches)
+    matches = matches.persist(StorageLevel.MEMORY_AND_DISK)
 
     other_unmatched = other_rows.join(
         matches.select("code", F.col("other_pos").alias("b")), ["code", "b"], "left_anti"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -80,10 +81,13 @@ def _finalize(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``rows``: ``code, pos, url, vec`` of rows that passed the row filter and have a vector.
     """
+    # parsed, normalized rows feed three passes (majority dimension, URL owners, the rows
+    # themselves): materialize once instead of re-scanning and re-parsing the crawl
     rows = with_normalized_url(rows, "url").select(
         "code", "pos", "url", "vec", "norm_url", F.size("vec").alias("n"), sum_squares("vec").alias("sumsq"),
-    )
-    dims = majority_dim(rows)
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    # one row per language code: bounded by the code pattern, never by the data
+    dims = F.broadcast(majority_dim(rows))
     rows = rows.join(dims, "code").withColumn("dim_ok", F.col("n") == F.col("dim")).withColumn("bad_norm", norm_invalid(F.col("sumsq")))
     owners = (
         rows.where(F.col("dim_ok") & ~F.col("bad_norm"))

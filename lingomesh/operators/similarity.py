@@ -93,25 +93,28 @@ def _kernel(k: int):
     return run
 
 
-def _pack(side: DataFrame, id_col: str, nblk_col: str, blk_col: str, name: str) -> DataFrame:
+def _lookup(values: dict[str, int]) -> F.Column:
+    """Literal map code → number (one entry per language code)."""
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def _pack(side: DataFrame, id_col: str, nblk: F.Column, blk_col: str, name: str) -> DataFrame:
     """One row per (code, block) holding the block's ``(pos, vec)`` list.
 
     Block membership is a hash of the position, so a block's size is bounded by the
     block row budget (in expectation) whatever the key distribution of the data.
     """
     return (
-        side.withColumn(blk_col, F.pmod(F.xxhash64(F.col(id_col)), F.col(nblk_col)))
+        side.withColumn(blk_col, F.pmod(F.xxhash64(F.col(id_col)), nblk))
         .groupBy("code", blk_col)
         .agg(F.collect_list(F.struct(F.col(id_col).alias("pos"), F.col("vec"))).alias(name))
     )
 
 
-def block_scores(pivot: DataFrame, other: DataFrame, k: int = 5) -> DataFrame:
-    """Partial winners of every block pair: ``code, kind, a, b, score``.
+def block_grid(pivot: DataFrame, other: DataFrame) -> dict[str, tuple[int, int]]:
+    """Blocks per side and language: ``code → (pivot blocks, other blocks)``.
 
-    ``pivot``: ``code, a, vec`` — the pivot rows to match against language ``code``;
-    ``other``: ``code, b, vec``.  kind 0 = a row's top-k inside one block pair,
-    kind 1 = a column's best pivot inside one block pair.
+    One small aggregate; the result has one row per language code present on both sides.
     """
     sizes = (
         pivot.groupBy("code").agg(F.count(F.lit(1)).alias("np"), F.max(F.size("vec")).alias("dim"))
@@ -122,13 +125,39 @@ def block_scores(pivot: DataFrame, other: DataFrame, k: int = 5) -> DataFrame:
             F.ceil(F.col("no") / _block_rows(F.col("dim"), OTHER_BLOCK_BYTES, MAX_OTHER_BLOCK_ROWS)).alias("nbo"),
         )
     )
-    pblocks = _pack(pivot.join(sizes, "code"), "a", "nbp", "pblk", "pblock")
-    pblock_n = sizes.select("code", "nbo")
-    oblocks = _pack(other.join(sizes, "code"), "b", "nbo", "oblk", "oblock")
+    return {r["code"]: (int(r["nbp"]), int(r["nbo"])) for r in sizes.collect()}
+
+
+def block_scores(pivot: DataFrame, other: DataFrame, k: int = 5) -> DataFrame:
+    """Partial winners of every block pair: ``code, kind, a, b, score``.
+
+    ``pivot``: ``code, a, vec`` — the pivot rows to match against language ``code``;
+    ``other``: ``code, b, vec``.  kind 0 = a row's top-k inside one block pair,
+    kind 1 = a column's best pivot inside one block pair.
+
+    Block pairs are numbered densely and range-partitioned on that number, so the kernel
+    tasks get an even share of pairs even when one language or one side has few blocks.
+    """
+    spark = pivot.sparkSession
+    grid = block_grid(pivot, other)
+    if not grid:
+        return spark.createDataFrame([], KERNEL_SCHEMA)
+    nbp = _lookup({c: g[0] for c, g in grid.items()})
+    nbo = _lookup({c: g[1] for c, g in grid.items()})
+    offsets, total = {}, 0
+    for c, (p_n, o_n) in sorted(grid.items()):
+        offsets[c] = total
+        total += p_n * o_n
+    pblocks = _pack(pivot.where(F.col("code").isin(*grid)), "a", F.element_at(nbp, F.col("code")), "pblk", "pblock")
+    oblocks = _pack(other.where(F.col("code").isin(*grid)), "b", F.element_at(nbo, F.col("code")), "oblk", "oblock")
+    pair_id = _lookup(offsets)[F.col("code")] + F.col("pblk") * nbo[F.col("code")] + F.col("oblk")
+    parts = max(1, min(total, max(spark.sparkContext.defaultParallelism,
+                                  int(spark.conf.get("spark.sql.shuffle.partitions")))))
     pairs = (
-        pblocks.join(pblock_n, "code")
-        .withColumn("oblk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nbo") - 1)))
+        pblocks.withColumn("oblk", F.explode(F.sequence(F.lit(0).cast("long"), nbo[F.col("code")] - 1)))
         .join(oblocks, ["code", "oblk"])
+        .withColumn("pair_id", pair_id)
+        .repartitionByRange(parts, "pair_id")
         .select("code", "pblk", "oblk", "pblock", "oblock")
     )
     return pairs.mapInArrow(_kernel(k), KERNEL_SCHEMA)
