@@ -128,7 +128,8 @@ def _first_segment(path: Column) -> Column:
     return F.try_element_at(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(1))
 
 
-def _cctld_lang(tld: Column) -> Column:
+def cctld_lang(tld: Column) -> Column:
+    """Language of a top-level domain, "" when none or unknown."""
     lookup = F.create_map(*[F.lit(x) for kv in CCTLD_LANG.items() for x in kv])
     return F.coalesce(F.try_element_at(lookup, tld), F.lit(""))
 
@@ -146,7 +147,7 @@ def code_candidate(url: Column | str) -> Column:
     return (
         F.when(seg_ok, normalize_code(seg))
         .when(sub_ok, F.lower(first))
-        .otherwise(_cctld_lang(tld))
+        .otherwise(cctld_lang(tld))
     )
 
 

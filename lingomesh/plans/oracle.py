@@ -375,4 +375,7 @@ FROM mem2 m JOIN tags t USING (pivot_pos)""")
     out["language_collisions"] = _sql(CRAWL + f""",
 cc AS (SELECT DISTINCT code FROM crawl)""", f"""
 SELECT {lang} AS language, string_agg(code, ',' ORDER BY code) AS codes FROM cc GROUP BY 1 HAVING count(*) > 1""")
+    from .oracle_more import oracle_sql_more
+
+    out.update(oracle_sql_more())
     return out

@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import normalize_url, strip_language, with_normalized_url
+from ..functions.urls import host_and_path, normalize_url, strip_language, with_normalized_url
 from ..functions.vectors import parse_vector_text
-from ..operators import report
+from ..operators import detect, report
 from ..operators.match import run_matching
 from ..operators.quality import CrawlColumns, build_sets, majority_dim, row_filter, set_metrics
 from ..sources.tables import crawl_view, crawl_view_text, table
+from .oracle_more import SPLIT_PATTERNS
 from .pipeline import MatchParams, match_crawl
 
 PARAMS = MatchParams(pivot="en", threshold=0.25, band=0.05, min_margin=0.02, use_slug=True, k=5,
@@ -180,6 +181,32 @@ def q_language_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return report.find_language_collisions(codes).select("language", F.array_join("codes", ",").alias("codes"))
 
 
+def q_code_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return detect.code_candidates(pages, "url").select("page_id", "cand")
+
+
+def q_suggest_code(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    pages = pages.withColumn("host", host_and_path(F.col("url"))[0])
+    return detect.suggest_code(pages, "url", "host", pos="page_id")
+
+
+def q_suggest_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return detect.suggest_patterns(pages, "url", pos="page_id")
+
+
+def q_split_by_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    split, _invalid = detect.split_by_patterns(pages, "url", SPLIT_PATTERNS)
+    return split.select("page_id", "variant")
+
+
+def q_column_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.column_profile(crawl_view_text(spark, sf), "pos")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_url": q_normalize_url,
     "slug_keys": q_slug_keys,
@@ -205,6 +232,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mapping_wide": q_mapping_wide,
     "html_blocks": q_html_blocks,
     "language_collisions": q_language_collisions,
+    "code_candidates": q_code_candidates,
+    "suggest_code": q_suggest_code,
+    "suggest_patterns": q_suggest_patterns,
+    "split_by_patterns": q_split_by_patterns,
+    "column_profile": q_column_profile,
 }
 
 __all__ = ["QUERIES", "PARAMS", "CRAWL_COLS", "normalize_url"]
