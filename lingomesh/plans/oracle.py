@@ -128,12 +128,17 @@ rf AS (
 
 
 def _sets_ctes() -> str:
-    nu_sql, _ = norm_url_ctes("rows0", "url", "rowsn")
-    return CRAWL + "," + _row_filter_cte() + f""",
+    return CRAWL + "," + _row_filter_cte() + """,
 st2 AS (
   SELECT *, CASE WHEN r1 IS NOT NULL THEN NULL WHEN embedding IS NULL THEN 'Embedding fehlt'
                  WHEN len(embedding) = 0 THEN 'Embedding nicht lesbar' END AS r2
-  FROM rf),
+  FROM rf),""" + sets_tail()
+
+
+def sets_tail() -> str:
+    """Set building from ``st2(code, pos, url, embedding, r1, r2)`` on: ``valid`` and ``dropped``."""
+    nu_sql, _ = norm_url_ctes("rows0", "url", "rowsn")
+    return f"""
 rows0 AS (
   SELECT code, pos, url, list_transform(embedding, lambda x: coalesce(x, 'NaN'::FLOAT)) AS vec
   FROM st2 WHERE r1 IS NULL AND r2 IS NULL),

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host_and_path, normalize_url, strip_language, with_normalized_url
 from ..functions.vectors import parse_vector_text
-from ..operators import detect, report
+from ..operators import detect, embed, pages, report
+from ..sources.sinks import export_vectors
 from ..operators.match import run_matching
 from ..operators.quality import CrawlColumns, build_sets, majority_dim, row_filter, set_metrics
-from ..sources.tables import crawl_view, crawl_view_text, table
+from ..sources.tables import crawl_view, crawl_view_text, doc_crawl, page_log, table
 from .oracle_more import SPLIT_PATTERNS
 from .pipeline import MatchParams, match_crawl
 
@@ -207,6 +208,105 @@ def q_column_profile(spark: SparkSession, sf: str) -> DataFrame:
     return detect.column_profile(crawl_view_text(spark, sf), "pos")
 
 
+DOC_COLS = CrawlColumns(url="url", code="code", pos="pos")
+DOC_TEXT_COLS = ["text", "source"]
+
+
+def q_export_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    valid, _ = _sets(spark, sf)
+    return export_vectors(valid)
+
+
+def _doc_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.texts_for_rows(doc_crawl(spark, sf), DOC_COLS, DOC_TEXT_COLS, filter_indexable=False)
+
+
+def q_build_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _doc_texts(spark, sf).select(F.col("pos").alias("doc_id"), "text", "error")
+
+
+def q_text_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.text_stats(_doc_texts(spark, sf), "text")
+
+
+def q_embed_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs: the English documents fill a cache, then every document is embedded with
+    that cache (hits are not requested again).  The vectors are the same either way."""
+    texts = _doc_texts(spark, sf).where(F.col("error").isNull())
+    fn = embed.sha1_embedder(8)
+    first = embed.embed_texts(texts.where(F.col("code") == "en"), "text", fn, model="sha1-8")
+    run = embed.embed_texts(texts, "text", fn, model="sha1-8", cache=first.new_cache)
+    v = F.col("vector")
+    return run.rows.select(
+        F.col("pos").alias("doc_id"), "key", F.size(v).cast("long").alias("dim"),
+        F.round(v[0].cast("double"), 6).alias("v0"), F.round(v[7].cast("double"), 6).alias("v7"), "error",
+    )
+
+
+def _text_sets(spark: SparkSession, sf: str):
+    crawl = doc_crawl(spark, sf)
+    texts = embed.texts_for_rows(crawl, DOC_COLS, DOC_TEXT_COLS, filter_indexable=False)
+    return embed.sets_from_texts(crawl, DOC_COLS, texts, embed.sha1_embedder(8), filter_indexable=False, model="sha1-8")
+
+
+def q_text_sets_valid(spark: SparkSession, sf: str) -> DataFrame:
+    valid, _, _ = _text_sets(spark, sf)
+    return valid.select("code", "pos", "url", "norm_url", F.size("vec").cast("long").alias("dim"),
+                        F.round(F.col("vec")[0].cast("double"), 6).alias("v0"))
+
+
+def q_text_sets_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    _, dropped, _ = _text_sets(spark, sf)
+    return dropped.withColumn("stage", F.col("stage").cast("long"))
+
+
+def q_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", "html")
+    return p.select("page_id", pages.main_text("html").alias("text"))
+
+
+def q_response_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    log = page_log(spark, sf)
+    t = pages.page_texts(log)
+    return t.select(F.col("pos").alias("page_id"), F.col("error").alias("reason"), F.length("text").cast("long").alias("chars"))
+
+
+def _host_ips(spark: SparkSession, sf: str) -> DataFrame:
+    """Resolution table derived from the page hosts: every host gets one or two addresses
+    chosen by its lowest page id (public, private, loopback, link-local, IPv6), and hosts
+    whose lowest id ends the cycle get none (unresolvable)."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    hosts = p.select("page_id", F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]*)", 1)).alias("host"))
+    h = hosts.groupBy("host").agg(F.min("page_id").alias("m"))
+    m = F.col("m")
+    octet = (m % 250 + 1).cast("string")
+    ip1 = (
+        F.when(m % 7 == 0, F.lit("127.0.0.1"))
+        .when(m % 7 == 1, F.concat(F.lit("10.0."), octet, F.lit(".1")))
+        .when(m % 7 == 2, F.lit("169.254.169.254"))
+        .when(m % 7 == 3, F.concat(F.lit("192.168.1."), octet))
+        .otherwise(F.concat(F.lit("93.184."), octet, F.lit(".34")))
+    )
+    ip2 = F.when(m % 5 == 0, F.lit("::ffff:10.1.2.3")).when(m % 5 == 1, F.lit("2606:4700::6810:84e5"))
+    rows = h.where(m % 11 != 10).select("host", F.explode(F.array_compact(F.array(ip1, ip2))).alias("ip"))
+    return rows
+
+
+def q_url_guard(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return pages.url_guard(p, "url", _host_ips(spark, sf)).select("page_id", "guard_reason")
+
+
+def q_resolve_redirects(spark: SparkSession, sf: str) -> DataFrame:
+    log = page_log(spark, sf)
+    one = log.groupBy("url").agg(F.min_by(F.struct("status", "location"), "pos").alias("s")).select(
+        "url", "s.status", "s.location")
+    starts = log.select("pos", "url")
+    res = pages.resolve_redirects(starts.select("url").distinct(), one)
+    return starts.join(res, "url").select(F.col("pos").alias("page_id"), "final_url", F.col("hops").cast("long").alias("hops"),
+                                          F.col("status").cast("double").alias("status"), "reason")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_url": q_normalize_url,
     "slug_keys": q_slug_keys,
@@ -237,6 +337,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suggest_patterns": q_suggest_patterns,
     "split_by_patterns": q_split_by_patterns,
     "column_profile": q_column_profile,
+    "export_vectors": q_export_vectors,
+    "build_texts": q_build_texts,
+    "text_stats": q_text_stats,
+    "embed_cached": q_embed_cached,
+    "text_sets_valid": q_text_sets_valid,
+    "text_sets_dropped": q_text_sets_dropped,
+    "main_text": q_main_text,
+    "response_reasons": q_response_reasons,
+    "url_guard": q_url_guard,
+    "resolve_redirects": q_resolve_redirects,
 }
 
 __all__ = ["QUERIES", "PARAMS", "CRAWL_COLS", "normalize_url"]

@@ -69,3 +69,35 @@ def crawl_view_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", "), F.lit("]")),
     )
     return c.withColumn("embedding", text)
+
+
+def doc_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as a text crawl: ``pos, code, url, text, source`` (text mode input)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "source")
+    return d.select(
+        F.col("doc_id").alias("pos"), F.col("lang").alias("code"),
+        F.concat(F.lit("https://example.com/"), F.col("lang"), F.lit("/d"), F.col("doc_id").cast("string")).alias("url"),
+        "text", "source",
+    )
+
+
+def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as a stored crawl log: ``pos, code, url, html, status, content_type, bytes,
+    location``.  Status, content type and redirect targets are derived from ``page_id`` by
+    fixed arithmetic; a 301 points to the path of the page five ids below (resolved against
+    the current host), a 302 points back to the page itself (a redirect loop)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    target = table(spark, sf_dir, "pages").select(F.col("page_id").alias("tid"), F.col("url").alias("turl"))
+    pid = F.col("page_id")
+    status = F.when(pid % 29 == 28, 404).when(pid % 23 == 22, 301).when(pid % 67 == 66, 302).otherwise(200)
+    ctype = F.when(pid % 53 == 52, "application/pdf").when(pid % 59 == 58, "").otherwise("Text/HTML; charset=UTF-8")
+    j = p.join(target, pid - 5 == F.col("tid"), "left")
+    location = (
+        F.when(status == 301, F.regexp_extract("turl", r"^https?://[^/]+(/[^#]*)", 1))
+        .when(status == 302, F.col("url"))
+    )
+    return j.select(
+        pid.alias("pos"), F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)/", 1).alias("code"),
+        "url", "html", status.alias("status"), ctype.alias("content_type"),
+        F.octet_length("html").cast("long").alias("bytes"), location.alias("location"),
+    )
