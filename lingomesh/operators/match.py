@@ -164,14 +164,15 @@ def run_matching(
     )
     core = slug_rows if emb is None else slug_rows.unionByName(emb)
 
-    purl = pivot_rows.select("a", "pivot_url")
-    ourl = other_rows.select("code", "b", "other_url")
+    # URL lookups by position; every side is renamed so no join depends on column lineage
+    purl = pivot_rows.select(F.col("a").alias("a1"), "pivot_url")
+    ourl = other_rows.select(F.col("code").alias("c1"), F.col("b").alias("b1"), "other_url")
     matches = (
-        core.join(purl, core["pivot_pos"] == purl["a"], "left").drop("a")
-        .join(ourl, (core["code"] == ourl["code"]) & (core["other_pos"] == ourl["b"]), "left").drop(ourl["code"]).drop("b")
-        .join(ourl.select(F.col("code").alias("c2"), F.col("b").alias("b2"), F.col("other_url").alias("second_url")),
+        core.join(purl, F.col("pivot_pos") == F.col("a1"), "left")
+        .join(ourl, (F.col("code") == F.col("c1")) & (F.col("other_pos") == F.col("b1")), "left")
+        .join(ourl.select(F.col("c1").alias("c2"), F.col("b1").alias("b2"), F.col("other_url").alias("second_url")),
               (F.col("code") == F.col("c2")) & (F.col("second_pos") == F.col("b2")), "left")
-        .join(purl.select(F.col("a").alias("a3"), F.col("pivot_url").alias("preferred_pivot_url")),
+        .join(purl.select(F.col("a1").alias("a3"), F.col("pivot_url").alias("preferred_pivot_url")),
               F.col("preferred_pos") == F.col("a3"), "left")
         .select(*MATCH_COLUMNS)
     )
