@@ -15,6 +15,7 @@ and exact because greedy on the residual graph continues the same matching.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +53,14 @@ def _sequential(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def greedy_assign(edges: DataFrame, local_finish_edges: int = 20_000) -> DataFrame:
     """Greedy 1:1 matching per ``code`` of ``edges(code, a, b, score)``."""
-    remaining = cut_lineage(edges.select("code", "a", "b", "score"))
+    remaining = edges.select("code", "a", "b", "score")
+    n = remaining.count()
+    if n <= local_finish_edges:
+        # small enough (checked) to finish at once; the input is already materialized upstream
+        return remaining.groupBy("code").applyInPandas(_sequential, EDGE_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
+    remaining = cut_lineage(remaining)
     taken: list[DataFrame] = []
     while True:
-        n = remaining.count()
         if n == 0:
             break
         if n <= local_finish_edges:
@@ -68,6 +73,7 @@ def greedy_assign(edges: DataFrame, local_finish_edges: int = 20_000) -> DataFra
             .join(sel.select("code", "b"), ["code", "b"], "left_anti")
             .select("code", "a", "b", "score")
         )
+        n = remaining.count()
     if not taken:
         return edges.sparkSession.createDataFrame([], EDGE_SCHEMA)
     out = taken[0]

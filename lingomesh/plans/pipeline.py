@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from .. import labels as L
+from ..session import cut_lineage
 from ..operators import report
 from ..operators.match import MatchResult, run_matching
 from ..operators.quality import CrawlColumns, build_sets
@@ -43,7 +44,9 @@ class RunOutput:
 def match_crawl(crawl: DataFrame, cols: CrawlColumns, params: MatchParams, codes: list[str] | None = None) -> RunOutput:
     """Everything the matcher produces for one crawl table holding all languages."""
     valid, dropped = build_sets(crawl, cols, params.filter_indexable)
-    valid = valid.persist()
+    # valid feeds the slug join, the similarity join, clusters and unmatched rows: write it
+    # once, which also cuts the long URL / vector expression plan from every later stage
+    valid = cut_lineage(valid)
     result = run_matching(
         valid, params.pivot, params.threshold, params.band, params.min_margin, params.use_slug, params.k, codes=codes,
     )

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..functions.urls import host_and_path, normalize_url, strip_language, with_normalized_url
 from ..functions.vectors import parse_vector_text
 from ..operators import detect, embed, pages, report
@@ -38,7 +39,9 @@ def _run(spark: SparkSession, sf: str):
 
 def _matching(spark: SparkSession, sf: str):
     valid, _ = _sets(spark, sf)
-    valid = valid.persist()
+    # valid feeds the slug join, the similarity join, clusters and unmatched rows: write it
+    # once, which also cuts the long URL / vector expression plan from every later stage
+    valid = cut_lineage(valid)
     return valid, run_matching(valid, PARAMS.pivot, PARAMS.threshold, PARAMS.band, PARAMS.min_margin,
                                PARAMS.use_slug, PARAMS.k)
 
