@@ -71,9 +71,14 @@ def norm_invalid(sumsq: Column) -> Column:
 
 
 def l2_normalize(vec: Column | str, sumsq: Column) -> Column:
-    """Divide by the L2 norm and store float32."""
-    n = F.sqrt(sumsq)
-    return F.transform(col_of(vec), lambda x: (x.cast("double") / n).cast("float"))
+    """Divide by the L2 norm and store float32.
+
+    The norm enters as an argument array, not inside the lambda: the optimizer may inline
+    a projected norm into a lambda body, which would re-sum the vector for every element.
+    """
+    v = col_of(vec)
+    norms = F.array_repeat(F.sqrt(sumsq), F.size(v))
+    return F.zip_with(v, norms, lambda x, n: (x.cast("double") / n).cast("float"))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
