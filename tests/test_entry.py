@@ -13,8 +13,7 @@ from .conftest import SF
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    # only the address guard lacks a SQL twin (its address classes are tested against the stdlib)
-    assert set(q) - set(o) == {"url_guard"}
+    assert set(q) == set(o)
 
 
 def test_entry_runs(spark):
