@@ -28,21 +28,12 @@ MAX_OTHER_BLOCK_ROWS = 4096
 KERNEL_SCHEMA = "code string, kind byte, a long, b long, score double"
 
 
-def _block_rows(dim: F.Column, budget: int, cap: int) -> F.Column:
-    return F.least(F.lit(cap), F.greatest(F.lit(16), F.floor(F.lit(budget) / (F.lit(4) * dim)))).cast("long")
-
-
-def _unpack(blocks: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and float64 matrix of block ``i``, sorted by position."""
-    start, end = blocks.offsets[i].as_py(), blocks.offsets[i + 1].as_py()
-    items = blocks.values.slice(start, end - start)
-    pos = items.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-    vecs = items.field("vec")
-    flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    n = len(pos)
-    mat = flat.reshape(n, -1) if n else flat.reshape(0, 0)
-    order = np.argsort(pos, kind="stable")
-    return pos[order], mat[order]
+def _matrix(pos_bytes: bytes, mat_bytes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and float64 matrix of a packed block (rows already sorted by position)."""
+    pos = np.frombuffer(pos_bytes, dtype=np.int64)
+    flat = np.frombuffer(mat_bytes, dtype=np.float32)
+    mat = flat.reshape(len(pos), -1) if len(pos) else flat.reshape(0, 0)
+    return pos, mat.astype(np.float64)
 
 
 def _block_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +58,11 @@ def _block_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _kernel(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = batch.column("code")
-            pblocks = batch.column("pblock")
-            oblocks = batch.column("oblock")
+            data = batch.to_pydict()
             for i in range(batch.num_rows):
-                code = codes[i].as_py()
-                ppos, P = _unpack(pblocks, i)
-                opos, O = _unpack(oblocks, i)
+                code = data["code"][i]
+                ppos, P = _matrix(data["ppos"][i], data["pmat"][i])
+                opos, O = _matrix(data["opos"][i], data["omat"][i])
                 if len(ppos) == 0 or len(opos) == 0:
                     continue
                 S = P @ O.T
@@ -98,58 +87,93 @@ def _lookup(values: dict[str, int]) -> F.Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def _pack(side: DataFrame, id_col: str, nblk: F.Column, blk_col: str, name: str) -> DataFrame:
-    """One row per (code, block) holding the block's ``(pos, vec)`` list.
+def _packer(blk_col: str, pos_name: str, mat_name: str):
+    def pack(table: pa.Table) -> pa.Table:
+        pos = table.column("pos").to_numpy().astype(np.int64)
+        flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        order = np.argsort(pos, kind="stable")
+        mat = flat.reshape(len(pos), -1)[order] if len(pos) else flat
+        return pa.table({
+            "code": pa.array([table.column("code")[0].as_py()], pa.string()),
+            blk_col: pa.array([table.column(blk_col)[0].as_py()], pa.int64()),
+            pos_name: pa.array([pos[order].tobytes()], pa.binary()),
+            mat_name: pa.array([np.ascontiguousarray(mat).tobytes()], pa.binary()),
+        })
+
+    return pack
+
+
+def _pack(side: DataFrame, id_col: str, nblk: F.Column, blk_col: str, prefix: str) -> DataFrame:
+    """One row per (code, block): positions and the float32 row-major matrix as bytes.
 
     Block membership is a hash of the position, so a block's size is bounded by the
-    block row budget (in expectation) whatever the key distribution of the data.
+    block row budget (in expectation) whatever the key distribution of the data.  Each
+    block is packed once in a grouped Arrow function (bounded by that budget); from then on
+    Spark moves flat binary values, and the kernel reads them without conversion.
     """
-    return (
-        side.withColumn(blk_col, F.pmod(F.xxhash64(F.col(id_col)), nblk))
-        .groupBy("code", blk_col)
-        .agg(F.collect_list(F.struct(F.col(id_col).alias("pos"), F.col("vec"))).alias(name))
-    )
+    pos_name, mat_name = f"{prefix}pos", f"{prefix}mat"
+    rows = side.select("code", F.pmod(F.xxhash64(F.col(id_col)), nblk).alias(blk_col),
+                       F.col(id_col).alias("pos"), "vec")
+    schema = f"code string, {blk_col} long, {pos_name} binary, {mat_name} binary"
+    return rows.groupBy("code", blk_col).applyInArrow(_packer(blk_col, pos_name, mat_name), schema)
 
 
-def block_grid(pivot: DataFrame, other: DataFrame) -> dict[str, tuple[int, int]]:
+def block_grid(pivot: DataFrame, other: DataFrame, min_pairs: int | None = None) -> dict[str, tuple[int, int]]:
     """Blocks per side and language: ``code → (pivot blocks, other blocks)``.
 
-    One small aggregate; the result has one row per language code present on both sides.
+    One small aggregate (one row per language code present on both sides).  Block sizes
+    follow the byte budgets; when the whole grid has fewer pairs than ``min_pairs`` (default:
+    twice the default parallelism) the pivot side is cut finer so every core gets work.
     """
     sizes = (
         pivot.groupBy("code").agg(F.count(F.lit(1)).alias("np"), F.max(F.size("vec")).alias("dim"))
         .join(other.groupBy("code").agg(F.count(F.lit(1)).alias("no")), "code")
-        .select(
-            "code",
-            F.ceil(F.col("np") / _block_rows(F.col("dim"), PIVOT_BLOCK_BYTES, MAX_PIVOT_BLOCK_ROWS)).alias("nbp"),
-            F.ceil(F.col("no") / _block_rows(F.col("dim"), OTHER_BLOCK_BYTES, MAX_OTHER_BLOCK_ROWS)).alias("nbo"),
-        )
-    )
-    return {r["code"]: (int(r["nbp"]), int(r["nbo"])) for r in sizes.collect()}
+    ).collect()
+    grid = {}
+    for r in sizes:
+        dim = max(1, int(r["dim"] or 1))
+        prow = min(MAX_PIVOT_BLOCK_ROWS, max(16, PIVOT_BLOCK_BYTES // (4 * dim)))
+        orow = min(MAX_OTHER_BLOCK_ROWS, max(16, OTHER_BLOCK_BYTES // (4 * dim)))
+        grid[r["code"]] = (max(1, -(-int(r["np"]) // prow)), max(1, -(-int(r["no"]) // orow)), int(r["np"]))
+    target = min_pairs if min_pairs is not None else 2 * pivot.sparkSession.sparkContext.defaultParallelism
+    total = sum(p * o for p, o, _ in grid.values())
+    if 0 < total < target:
+        grid = {c: (min(n, -(-p * target // total)), o, n) for c, (p, o, n) in grid.items()}
+    return {c: (p, o) for c, (p, o, _) in grid.items()}
 
 
 def block_scores(pivot: DataFrame, other: DataFrame, k: int = 5) -> DataFrame:
-    """Partial winners of every block pair: ``code, kind, a, b, score``.
+    """Partial winners of every block pair: ``code, kind, a, b, score`` (see :func:`block_pairs`).
+
+    kind 0 = a row's top-k inside one block pair, kind 1 = a column's best pivot inside one
+    block pair.
+    """
+    pairs = block_pairs(pivot, other)
+    if pairs is None:
+        return pivot.sparkSession.createDataFrame([], KERNEL_SCHEMA)
+    return pairs.mapInArrow(_kernel(k), KERNEL_SCHEMA)
 
-    ``pivot``: ``code, a, vec`` — the pivot rows to match against language ``code``;
-    ``other``: ``code, b, vec``.  kind 0 = a row's top-k inside one block pair,
-    kind 1 = a column's best pivot inside one block pair.
 
-    Block pairs are numbered densely and range-partitioned on that number, so the kernel
+def block_pairs(pivot: DataFrame, other: DataFrame) -> DataFrame | None:
+    """Every block pair to score: ``code, ppos, pmat, opos, omat`` (None when no language
+    has rows on both sides).
+
+    ``pivot``: ``code, a, vec`` — the pivot rows to match against language ``code``;
+    ``other``: ``code, b, vec``.  Block pairs are numbered densely and range-partitioned on that number, so the kernel
     tasks get an even share of pairs even when one language or one side has few blocks.
     """
     spark = pivot.sparkSession
     grid = block_grid(pivot, other)
     if not grid:
-        return spark.createDataFrame([], KERNEL_SCHEMA)
+        return None
     nbp = _lookup({c: g[0] for c, g in grid.items()})
     nbo = _lookup({c: g[1] for c, g in grid.items()})
     offsets, total = {}, 0
     for c, (p_n, o_n) in sorted(grid.items()):
         offsets[c] = total
         total += p_n * o_n
-    pblocks = _pack(pivot.where(F.col("code").isin(*grid)), "a", F.element_at(nbp, F.col("code")), "pblk", "pblock")
-    oblocks = _pack(other.where(F.col("code").isin(*grid)), "b", F.element_at(nbo, F.col("code")), "oblk", "oblock")
+    pblocks = _pack(pivot.where(F.col("code").isin(*grid)), "a", F.element_at(nbp, F.col("code")), "pblk", "p")
+    oblocks = _pack(other.where(F.col("code").isin(*grid)), "b", F.element_at(nbo, F.col("code")), "oblk", "o")
     pair_id = _lookup(offsets)[F.col("code")] + F.col("pblk") * nbo[F.col("code")] + F.col("oblk")
     parts = max(1, min(total, max(spark.sparkContext.defaultParallelism,
                                   int(spark.conf.get("spark.sql.shuffle.partitions")))))
@@ -158,9 +182,9 @@ def block_scores(pivot: DataFrame, other: DataFrame, k: int = 5) -> DataFrame:
         .join(oblocks, ["code", "oblk"])
         .withColumn("pair_id", pair_id)
         .repartitionByRange(parts, "pair_id")
-        .select("code", "pblk", "oblk", "pblock", "oblock")
+        .select("code", "ppos", "pmat", "opos", "omat")
     )
-    return pairs.mapInArrow(_kernel(k), KERNEL_SCHEMA)
+    return pairs
 
 
 def topk_from_scores(scores: DataFrame, k: int = 5) -> DataFrame:
