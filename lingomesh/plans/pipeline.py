@@ -10,7 +10,7 @@ from .. import labels as L
 from ..session import cut_lineage
 from ..operators import report
 from ..operators.match import MatchResult, run_matching
-from ..operators.quality import CrawlColumns, build_sets
+from ..operators.quality import CrawlColumns, build_sets, check_sets
 
 
 @dataclass
@@ -47,6 +47,9 @@ def match_crawl(crawl: DataFrame, cols: CrawlColumns, params: MatchParams, codes
     # valid feeds the slug join, the similarity join, clusters and unmatched rows: write it
     # once, which also cuts the long URL / vector expression plan from every later stage
     valid = cut_lineage(valid)
+    problems = check_sets(valid, params.pivot)
+    if problems:
+        raise ValueError(" ".join(problems))
     result = run_matching(
         valid, params.pivot, params.threshold, params.band, params.min_margin, params.use_slug, params.k, codes=codes,
     )
