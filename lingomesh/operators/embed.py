@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,6 +184,10 @@ def sets_from_texts(
     ``texts``: ``code, pos, text, error`` (from :func:`texts_for_rows` or the page source).
     Raises ``EmbeddingError`` when texts exist but not one vector came back.
     """
+    # texts feed two branches (embedding, error rows) and may carry an expensive text
+    # expression (page extraction): compute them once; this also keeps filters from being
+    # pushed into, and duplicating, that expression
+    texts = texts.persist(StorageLevel.MEMORY_AND_DISK)
     todo = texts.where(F.col("error").isNull() & (F.col("text") != ""))
     emb = embed_texts(todo, "text", fn, **embed_kw)
     got = emb.rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vector").isNotNull()).alias("ok"),

@@ -310,6 +310,27 @@ def q_resolve_redirects(spark: SparkSession, sf: str) -> DataFrame:
                                           F.col("status").cast("double").alias("status"), "reason")
 
 
+PAGE_COLS = CrawlColumns(url="url", code="code", pos="pos")
+
+
+def _page_sets(spark: SparkSession, sf: str):
+    """Page mode: stored responses → main text (or reason) → embeddings → language sets."""
+    log = page_log(spark, sf)
+    texts = pages.page_texts(log)
+    return embed.sets_from_texts(log, PAGE_COLS, texts, embed.sha1_embedder(8), filter_indexable=False, model="sha1-8")
+
+
+def q_page_sets_valid(spark: SparkSession, sf: str) -> DataFrame:
+    valid, _, _ = _page_sets(spark, sf)
+    return valid.select("code", "pos", "url", "norm_url", F.size("vec").cast("long").alias("dim"),
+                        F.round(F.col("vec")[0].cast("double"), 6).alias("v0"))
+
+
+def q_page_sets_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    _, dropped, _ = _page_sets(spark, sf)
+    return dropped.withColumn("stage", F.col("stage").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_url": q_normalize_url,
     "slug_keys": q_slug_keys,
@@ -350,6 +371,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "response_reasons": q_response_reasons,
     "url_guard": q_url_guard,
     "resolve_redirects": q_resolve_redirects,
+    "page_sets_valid": q_page_sets_valid,
+    "page_sets_dropped": q_page_sets_dropped,
 }
 
 __all__ = ["QUERIES", "PARAMS", "CRAWL_COLS", "normalize_url"]

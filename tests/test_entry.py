@@ -22,7 +22,8 @@ def test_entry_runs(spark):
     assert df.count() >= 0
 
 
-@pytest.mark.parametrize("name", ["matches", "mapping_long", "suggest_patterns", "main_text", "embed_cached", "resolve_redirects"])
+@pytest.mark.parametrize("name", ["matches", "mapping_long", "suggest_patterns", "main_text", "embed_cached", "resolve_redirects",
+                                  "page_sets_dropped"])
 def test_query_equals_oracle_smoke(spark, name):
     con = duckdb.connect()
     for t in TABLES:
