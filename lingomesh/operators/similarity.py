@@ -1,9 +1,9 @@
 """Blocked cosine top-k join.
 
-Both sides are cut into blocks per language by a hash of the row position; each pivot
-block is sent to every other-language block of its language by an equi-join on
-``(code, oblk)`` (the block grid of a distributed matrix product — no cross join and no
-row pairs are ever materialized).  A vectorized numpy kernel in ``mapInArrow`` scores one
+Both sides are cut into blocks per language by a hash of the row position and each block
+is packed once into float32 bytes; each pivot block is sent to every other-language block
+of its language by an equi-join on ``(code, oblk)`` (the block grid of a distributed matrix
+product — no cross join and no row pairs are ever materialized).  A vectorized numpy kernel in ``mapInArrow`` scores one
 block pair at a time and emits only the per-row top-k and the per-column best; Spark then
 reduces these partial winners with a window group limit and an aggregate.
 
