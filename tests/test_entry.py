@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from lingomesh.plans.queries import QUERIES
 from lingomesh.sources.tables import TABLES
 
 from .conftest import SF
@@ -13,7 +14,7 @@ from .conftest import SF
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) == set(o)
+    assert set(QUERIES) <= set(o)
 
 
 def test_entry_runs(spark):
