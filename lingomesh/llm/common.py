@@ -134,3 +134,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 MapFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def let(value, body):
+    """``body(value)`` with the value computed once.  Naming a column does not do: the optimizer
+    may put its expression back into a lambda, where it would run once per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -78,3 +78,19 @@ def jaccard_classes(docs, per_cent=80):
                 a, b = find(i), find(other)
                 parent[max(a, b)] = min(a, b)
     return [(i, len(s), find(i) if i is not None else None) for i, s in sets]
+
+
+def quality_base(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of one text."""
+    text = text or ""
+    w = words(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    where = {}
+    for k in range(len(w) - 2):
+        where.setdefault(tuple(w[k:k + 3]), []).append(k)
+    hit = set()
+    for at in where.values():
+        if len(at) > 1:
+            for k in at:
+                hit.update((k, k + 1, k + 2))
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit))
