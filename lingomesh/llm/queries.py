@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, ngram_join, quality_rules, substring_dedup
+from . import fingerprints, ngram_join, packing, quality_rules, sharding, substring_dedup
 from .common import table
 
 
@@ -22,11 +23,22 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op8_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = sharding.placement(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprints, op7_quality_rules, op5_substring_dedup, op10_ngram_join)
+    f.__name__: f for f in (
+        op2_fingerprints, op5_substring_dedup, op7_quality_rules, op8_min_cost_flow_sharding, op9_pattern_packing, op10_ngram_join,
+    )
 }
 ORACLE: dict[str, str] = {}
