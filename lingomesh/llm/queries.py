@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity, warc
+from . import fingerprints, html_text, ngram_join, packing, quality_rules, sentencepiece_viterbi, sharding, substring_dedup, toxicity, warc
 from .common import table
 
 
+def op1_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.encoded(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_fingerprints, op3_warc_zip, op4_counterfactual_toxicity, op5_substring_dedup, op6_template_deduction, op7_quality_rules, op8_min_cost_flow_sharding, op9_pattern_packing, op10_ngram_join,
+        op1_sentencepiece_viterbi, op2_fingerprints, op3_warc_zip, op4_counterfactual_toxicity, op5_substring_dedup, op6_template_deduction, op7_quality_rules, op8_min_cost_flow_sharding, op9_pattern_packing, op10_ngram_join,
     )
 }
 ORACLE: dict[str, str] = {}
