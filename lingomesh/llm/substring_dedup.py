@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -189,9 +190,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 
 def _cut_series(size: int):
-    import pandas as pd
-
-    def cut(text: pd.Series, copy: pd.Series, keys: pd.Series) -> pd.Series:
+    def cut(text, copy, keys):
         out = []
         for t, c, k in zip(text, copy, keys):
             raw = t.encode()

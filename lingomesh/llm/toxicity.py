@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,8 +229,6 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known, weights, bias = train(docs, labels, id_col, text_col, label_col)
 
     def toxic(texts):
-        import pandas as pd
-
         out = []
         one = pa.RecordBatch.from_arrays([pa.array(texts.tolist(), pa.string()), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.bool_())],
                                          names=["text", "id", "held_out"])
