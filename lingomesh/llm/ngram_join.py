@@ -14,9 +14,10 @@ How:
 3. Prefix shingles are grouped in Spark.  First every document meets only the smallest document
    of each of its groups (a star, not all pairs); bitmap bit counts bound the overlap from above,
    survivors get an exact sorted-array intersection, links become components.
-4. Groups that still hold several components are tiled: shingle x size band x block of at most
-   ``TILE`` documents.  Inside a tile only pairs of different components in compatible bands
-   are compared by bitmap, and only those that pass the bound leave it for the exact step.
+4. Groups that still hold several components are tiled: a group of up to ``TILE`` documents is one
+   tile, a larger one is cut into size bands and blocks.  Inside a tile only pairs of different
+   components and compatible sizes are compared by bitmap, and only those that pass the bound
+   leave it for the exact step.
 
 Scale: a shingle that stands in a 512th of all documents is put last in the order; the list of
 those holds at most 512 x (mean set size) hashes whatever the number of documents, and is the
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LEADER_SCHEMA, checkpointed, components, first_of_key, leaders_of
@@ -187,23 +188,68 @@ def _exact_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile(table: pa.Table) -> pa.Table:
-    """Pairs of one tile that are in different components and pass the bound."""
-    t = table.select(["id", "n", "comp", "bits", "left", "right"]).to_pydict()
-    ids, n, comp = np.array(t["id"]), np.array(t["n"]), np.array(t["comp"])
-    rows = [np.frombuffer(x, np.uint64) for x in t["bits"]]
-    width = min(map(len, rows))
-    bits = np.stack([_fold(r[None, :], width)[0] for r in rows])
-    left, right = np.flatnonzero(t["left"]), np.flatnonzero(t["right"])
+def _compare(tile: np.ndarray, ids, n, comp, left, right, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs inside runs of equal tile number: rows ``d`` apart are compared for all
+    tiles at once, for d = 1, 2, … up to the longest run."""
+    width = np.array([len(r) for r in rows], np.int64)
+    place = np.zeros(len(rows), np.int64)
+    by_width = {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        by_width[int(w)] = np.stack([rows[i] for i in at])
+    end = np.searchsorted(tile, tile, "right")
     out_a, out_b = [], []
-    for i in left:
-        js = right[comp[right] != comp[i]]
-        js = js[may_link(n[i], n[js], bits[i][None, :], bits[js])]
-        out_a.append(np.minimum(ids[i], ids[js]))
-        out_b.append(np.maximum(ids[i], ids[js]))
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    i = np.arange(len(rows))
+    d = 1
+    while True:
+        i = i[end[i] - i > d]
+        if not i.size:
+            break
+        j = i + d
+        lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = ((left[i] & right[j]) | (right[i] & left[j])) & (comp[i] != comp[j]) & (100 * lo >= THRESHOLD * hi)
+        x, y = i[ok], j[ok]
+        for u, v in set(zip(width[x].tolist(), width[y].tolist())):
+            both = (width[x] == u) & (width[y] == v)
+            p, q, w = x[both], y[both], min(u, v)
+            for s in range(0, len(p), 1 << 14):
+                pp, qq = p[s: s + (1 << 14)], q[s: s + (1 << 14)]
+                hit = may_link(n[pp], n[qq], _fold(by_width[u][place[pp]], w), _fold(by_width[v][place[qq]], w))
+                out_a.append(np.minimum(ids[pp[hit]], ids[qq[hit]]))
+                out_b.append(np.maximum(ids[pp[hit]], ids[qq[hit]]))
+        d += 1
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one tile that are in different components and pass the bound.  Rows come
+    sorted by tile; the last tile of a batch waits for the next batch."""
+    rest: pa.Table | None = None
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        at = [t.column(c).to_numpy() for c in ("key", "tb", "i", "j")]
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in at])
+        x, y = _compare(np.cumsum(new), *(t.column(c).to_numpy() for c in ("id", "n", "comp", "left", "right")), _words64(t.column("bits")))
+        key = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[:, 0], pa.int64()), pa.array(key[:, 1], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not t.num_rows:
+            continue
+        last = np.ones(t.num_rows, bool)
+        for c in ("key", "tb", "i", "j"):
+            v = t.column(c).to_numpy()
+            last &= v == v[-1]
+        cut = t.num_rows - int(last.sum())
+        if cut:
+            yield pairs(t.slice(0, cut))
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield pairs(rest)
 
 
 def _verify(pairs: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
@@ -222,28 +268,30 @@ def _residual_pairs(shared: DataFrame, comp: DataFrame, sketch: DataFrame) -> Da
     """Pairs of different components in one prefix group, found tile by tile."""
     rows = (shared.select("key", F.col("doc").alias("id")).join(comp, F.col("id") == F.col("node"), "left")
             .select("key", "id", F.coalesce("root", "id").alias("comp")))
-    groups = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-              .where("c1 < c2").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("k")))
+    mark = F.xxhash64("id")
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"),
+                                     F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("s")).where("c1 < c2")
+    # shingles of one passage have the same members: one of them stands for all
+    groups = groups.groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
     rows = rows.join(groups, "key").join(sketch.select("id", "n", "bits"), "id")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.lit(BAND)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    # a tile (key, band, i, j) compares block i of the band with block j of the band and of the next
-    # one; band sides: a row is left in its own band, right in its own and the one below
+
+    def role(band, i, j, left, right):
+        return F.struct(band.alias("tb"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+
+    # a group of up to TILE rows is one tile.  Of a larger one, tile (band, i, j) compares block i of
+    # the band with block j of the same band (i <= j) and of the next band (any i, j)
     others = F.sequence(F.lit(0), F.col("k") - 1)
-    as_left = F.transform(others, lambda j: F.struct(F.col("band").alias("tb"), F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("left"),
-                                                     (j == F.col("block")).alias("right")))
-    own = F.transform(others, lambda i: F.struct(F.col("band").alias("tb"), i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
-    own = F.filter(own, lambda s: s["i"] < s["j"])
-    below = F.transform(others, lambda i: F.struct((F.col("band") - 1).alias("tb"), i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
-    as_left = F.filter(as_left, lambda s: s["i"] <= s["j"])
-    # the next band's block j also meets blocks i > j
-    more = F.transform(others, lambda j: F.struct(F.col("band").alias("tb"), F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
-    more = F.filter(more, lambda s: s["i"] > s["j"])
-    dealt = rows.select("key", "id", "n", "comp", "bits", F.explode(F.concat(as_left, own, below, more)).alias("t"))
+    band, block, yes, no = F.col("band"), F.col("block"), F.lit(True), F.lit(False)
+    whole = F.array(role(F.lit(-1), F.lit(0), F.lit(0), yes, yes))
+    split = F.concat(
+        F.transform(others, lambda j: role(band, block, j, yes, j == block)),
+        F.filter(F.transform(others, lambda i: role(band, i, block, no, yes)), lambda t: t["i"] < t["j"]),
+        F.transform(others, lambda i: role(band - 1, i, block, no, yes)))
+    dealt = rows.select("key", "id", "n", "comp", "bits", F.explode(F.when(F.col("k") == 1, whole).otherwise(split)).alias("t"))
     dealt = dealt.select("key", "id", "n", "comp", "bits", "t.tb", "t.i", "t.j", "t.left", "t.right")
-    w = Window.partitionBy("key", "tb", "i", "j")
-    dealt = (dealt.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).withColumn("any", F.max("left").over(w))
-             .where("lo < hi AND any").drop("lo", "hi", "any"))
-    return dealt.groupBy("key", "tb", "i", "j").applyInArrow(_tile, "a long, b long").where("a < b").distinct()
+    dealt = dealt.repartition("key", "tb", "i", "j").sortWithinPartitions("key", "tb", "i", "j")
+    return dealt.mapInArrow(_tiles, "a long, b long").where("a < b").distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
