@@ -3,25 +3,32 @@
 The sequential rule: walk the edges by (score desc, a asc, b asc) and take an edge when
 both ends are still free.  Over a strict total order this equals repeating rounds of
 *take every edge that is the best remaining edge of both its ends; drop all edges that
-touch a taken node*.  One round is two aggregates, one join and two anti-joins, for all
-languages at once.  Rounds run until no edge is left; the remaining edge table is
-checkpointed each round (reliable checkpoint, so lost executors only cost a re-read).
+touch a taken node*.
 
-When the residual edge count is small and checked (``local_finish_edges``), the rest is
-finished per language with the sequential walk in ``applyInPandas`` — bounded by the check,
-and exact because greedy on the residual graph continues the same matching.
+``ROUNDS`` such rounds run over the edges of all languages together; they settle all but
+chains of nearly equal choices.  What is left falls apart into small connected components,
+and edges of different components never meet, so each component is walked on its own in a
+grouped task: work is split by component, never by language.  A component too large for one
+task (more than ``max_component`` edges) stays in the rounds until it has fallen apart; a
+strict greedy order is sequential in the worst case, so a single descending chain of more
+than that many edges takes many rounds.
+
+One round is two aggregates and three joins, written once by a reliable checkpoint; its
+edge counts come from one aggregate over that checkpoint.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .graph import components
 
 EDGE_SCHEMA = "code string, a long, b long, score double"
+ROUNDS = 3
+MAX_COMPONENT = 500_000
 
 
 def _key() -> F.Column:
@@ -29,53 +36,64 @@ def _key() -> F.Column:
 
 
 def _one_round(edges: DataFrame) -> DataFrame:
-    """Edges that are the best remaining edge of both their ends."""
+    """The edges with ``state``: 1 = best remaining edge of both its ends, 0 = still open,
+    -1 = touches a node that was taken."""
     best_a = edges.groupBy("code", "a").agg(F.min(_key()).alias("k"))
     best_b = edges.groupBy("code", "b").agg(F.min(_key()).alias("k"))
-    return best_a.join(best_b.select("code", "k"), ["code", "k"]).select(
-        "code", F.col("k.a").alias("a"), F.col("k.b").alias("b"), (-F.col("k.ns")).alias("score")
+    taken = best_a.join(best_b.select("code", "k"), ["code", "k"]).select("code", "k.a", "k.b")
+    ta = taken.select("code", "a", F.col("b").alias("partner"))
+    tb = taken.select("code", "b", F.lit(True).alias("b_taken"))
+    state = (
+        F.when(F.col("partner") == F.col("b"), 1)
+        .when(F.col("partner").isNotNull() | F.col("b_taken").isNotNull(), -1).otherwise(0)
     )
+    return (edges.join(ta, ["code", "a"], "left").join(tb, ["code", "b"], "left")
+            .select("code", "a", "b", "score", state.alias("state")))
+
+
+def _walk(edges: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule over one component."""
+    ranked = edges.sort_values(["score", "a", "b"], ascending=[False, True, True], kind="mergesort")
+    free_a, free_b = set(ranked["a"]), set(ranked["b"])
+    chosen = []
+    for row in ranked.itertuples():
+        if row.a in free_a and row.b in free_b:
+            free_a.remove(row.a)
+            free_b.remove(row.b)
+            chosen.append(row.Index)
+    return edges.loc[chosen, ["code", "a", "b", "score"]]
 
 
-def _sequential(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["score", "a", "b"], ascending=[False, True, True], kind="mergesort")
-    used_a: set[int] = set()
-    used_b: set[int] = set()
-    keep = []
-    for i, a, b in zip(pdf.index, pdf["a"], pdf["b"]):
-        if a in used_a or b in used_b:
-            continue
-        used_a.add(a)
-        used_b.add(b)
-        keep.append(i)
-    return pdf.loc[keep, ["code", "a", "b", "score"]]
+def _with_component(edges: DataFrame) -> DataFrame:
+    node_a = F.concat_ws("|", F.lit("a"), "code", F.col("a").cast("string"))
+    node_b = F.concat_ws("|", F.lit("b"), "code", F.col("b").cast("string"))
+    named = edges.withColumn("na", node_a).withColumn("nb", node_b)
+    roots = components(named.select("na", "nb"), "na", "nb")
+    return named.join(roots, F.col("na") == F.col("node")).select("code", "a", "b", "score", "root")
 
 
-def greedy_assign(edges: DataFrame, local_finish_edges: int = 20_000) -> DataFrame:
+def greedy_assign(edges: DataFrame, rounds: int = ROUNDS, max_component: int = MAX_COMPONENT) -> DataFrame:
     """Greedy 1:1 matching per ``code`` of ``edges(code, a, b, score)``."""
-    remaining = edges.select("code", "a", "b", "score")
-    n = remaining.count()
-    if n <= local_finish_edges:
-        # small enough (checked) to finish at once; the input is already materialized upstream
-        return remaining.groupBy("code").applyInPandas(_sequential, EDGE_SCHEMA).persist(StorageLevel.MEMORY_AND_DISK)
-    remaining = cut_lineage(remaining)
     taken: list[DataFrame] = []
+    left = edges.select("code", "a", "b", "score")
     while True:
-        if n == 0:
+        n_open = 0
+        for _ in range(max(rounds, 1)):
+            done = cut_lineage(_one_round(left))
+            taken.append(done.where("state = 1").select("code", "a", "b", "score"))
+            left = done.where("state = 0").select("code", "a", "b", "score")
+            n_open = done.agg(F.count_if(F.col("state") == 0)).first()[0]
+            if n_open == 0:
+                break
+        if n_open == 0:
             break
-        if n <= local_finish_edges:
-            taken.append(cut_lineage(remaining.groupBy("code").applyInPandas(_sequential, EDGE_SCHEMA)))
+        parts = cut_lineage(_with_component(left))
+        sizes = parts.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        small = parts.join(sizes.where(F.col("n") <= max_component).select("root"), "root", "left_semi")
+        taken.append(cut_lineage(small.groupBy("root").applyInPandas(_walk, EDGE_SCHEMA)))
+        if sizes.where(F.col("n") > max_component).isEmpty():
             break
-        sel = cut_lineage(_one_round(remaining))
-        taken.append(sel)
-        remaining = cut_lineage(
-            remaining.join(sel.select("code", "a"), ["code", "a"], "left_anti")
-            .join(sel.select("code", "b"), ["code", "b"], "left_anti")
-            .select("code", "a", "b", "score")
-        )
-        n = remaining.count()
-    if not taken:
-        return edges.sparkSession.createDataFrame([], EDGE_SCHEMA)
+        left = parts.join(sizes.where(F.col("n") > max_component).select("root"), "root", "left_semi").select("code", "a", "b", "score")
     out = taken[0]
     for t in taken[1:]:
         out = out.unionByName(t)

@@ -1,16 +1,15 @@
 """Matching of every language against the pivot.
 
-All languages are matched in one plan: the pivot rows are replicated once per other
-language (an ``explode`` over the short list of language codes, not a join), the slug join
-and the similarity join run keyed by ``code``, and the greedy assignment handles all
-languages in the same rounds.
+All languages are matched in one plan: the slug join and the similarity join run keyed by
+``code`` (pivot vectors are packed once for all languages; slug-matched pivot rows are passed
+to the kernel as a list of excluded positions), and the greedy assignment handles all languages
+in the same rounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +111,48 @@ def embedding_matches(
     )
 
 
+@dataclass
+class Similarity:
+    """The parts of a run before the assignment."""
+
+    others: list[str]
+    pivot_rows: DataFrame
+    other_rows: DataFrame
+    slug: DataFrame
+    topk: DataFrame
+    best: DataFrame
+
+
+def split_sides(valid: DataFrame, pivot: str) -> tuple[DataFrame, DataFrame]:
+    """Pivot rows ``a, pivot_url, norm_url, vec`` and other rows ``code, b, other_url, norm_url, vec``."""
+    p = valid.where(F.col("code") == pivot).select(F.col("pos").alias("a"), F.col("url").alias("pivot_url"), "norm_url", "vec")
+    o = valid.where(F.col("code") != pivot).select("code", F.col("pos").alias("b"), F.col("url").alias("other_url"), "norm_url", "vec")
+    return p, o
+
+
+def similarity(valid: DataFrame, pivot: str, use_slug: bool = False, k: int = L.DEFAULT_K, codes: list[str] | None = None) -> Similarity:
+    """Slug pairs, then the cosine top-k and best pivots of the rows that are left."""
+    codes = set_codes(valid) if codes is None else list(codes)
+    if pivot not in codes:
+        raise ValueError(f"Pivot-Sprache '{pivot}' nicht in den Sprachsets.")
+    others = [c for c in codes if c != pivot]
+    spark = valid.sparkSession
+    pivot_rows, other_rows = split_sides(valid, pivot)
+    none = spark.createDataFrame([], "code string, a long, b long")
+    slug = cut_lineage(slug_match(pivot_rows, other_rows, pivot)) if use_slug and others else none
+    if not others:
+        topk = spark.createDataFrame([], "code string, a long, b long, score double, rank int")
+        best = spark.createDataFrame([], "code string, b long, a long, score double")
+        return Similarity(others, pivot_rows, other_rows, slug, topk, best)
+    rem_o = other_rows.select("code", "b", "vec")
+    if use_slug:
+        rem_o = rem_o.join(slug.select("code", "b"), ["code", "b"], "left_anti")
+    # the O(n·m) kernel output is written once (reliable checkpoint): an executor lost
+    # later never re-runs the similarity work; the reductions over it are cheap
+    scores = cut_lineage(block_scores(pivot_rows.select("a", "vec"), rem_o, k, slug.select("code", "a") if use_slug else None))
+    return Similarity(others, pivot_rows, other_rows, slug, topk_from_scores(scores, k), best_pivot_from_scores(scores))
+
+
 def run_matching(
     valid: DataFrame,
     pivot: str,
@@ -121,39 +162,16 @@ def run_matching(
     use_slug: bool = False,
     k: int = L.DEFAULT_K,
     codes: list[str] | None = None,
-    local_finish_edges: int = 20_000,
 ) -> MatchResult:
     """Match every non-pivot language to the pivot language (L3)."""
     codes = set_codes(valid) if codes is None else list(codes)
-    if pivot not in codes:
-        raise ValueError(f"Pivot-Sprache '{pivot}' nicht in den Sprachsets.")
-    others = [c for c in codes if c != pivot]
-    spark = valid.sparkSession
-
-    pivot_rows = valid.where(F.col("code") == pivot).select(F.col("pos").alias("a"), F.col("url").alias("pivot_url"), "norm_url", "vec")
-    other_rows = valid.where(F.col("code") != pivot).select("code", F.col("pos").alias("b"), F.col("url").alias("other_url"), "norm_url", "vec")
-
-    if use_slug and others:
-        slug = slug_match(pivot_rows, other_rows, pivot).persist(StorageLevel.MEMORY_AND_DISK)
-    else:
-        slug = spark.createDataFrame([], "code string, a long, b long")
-
-    if others:
-        per_lang = pivot_rows.select("a", "vec", F.explode(F.array(*[F.lit(c) for c in others])).alias("code"))
-        rem_p = per_lang.join(slug.select("code", "a"), ["code", "a"], "left_anti").select("code", "a", "vec")
-        rem_o = other_rows.join(slug.select("code", "b"), ["code", "b"], "left_anti").select("code", "b", "vec")
-        # the O(n·m) kernel output is written once (reliable checkpoint): an executor lost
-        # later never re-runs the similarity work; the small reductions are only persisted
-        scores = cut_lineage(block_scores(rem_p, rem_o, k))
-        topk = topk_from_scores(scores, k).persist(StorageLevel.MEMORY_AND_DISK)
-        best = best_pivot_from_scores(scores).persist(StorageLevel.MEMORY_AND_DISK)
+    sim = similarity(valid, pivot, use_slug, k, codes)
+    pivot_rows, other_rows, slug, topk, best = sim.pivot_rows, sim.other_rows, sim.slug, sim.topk, sim.best
+    emb = None
+    if sim.others:
         edges = topk.where(F.col("score") >= F.lit(threshold)).select("code", "a", "b", "score")
-        assigned = greedy_assign(edges, local_finish_edges=local_finish_edges)
+        assigned = greedy_assign(edges)
         emb = embedding_matches(topk, best, assigned, threshold, band, min_margin)
-    else:
-        topk = spark.createDataFrame([], "code string, a long, b long, score double, rank int")
-        best = spark.createDataFrame([], "code string, b long, a long, score double")
-        emb = None
 
     slug_rows = slug.select(
         "code", F.col("a").alias("pivot_pos"), F.col("b").alias("other_pos"),
@@ -176,7 +194,8 @@ def run_matching(
               F.col("preferred_pos") == F.col("a3"), "left")
         .select(*MATCH_COLUMNS)
     )
-    matches = matches.persist(StorageLevel.MEMORY_AND_DISK)
+    # read by the unmatched rows, the statistics and every report: written once
+    matches = cut_lineage(matches)
 
     other_unmatched = other_rows.join(
         matches.select("code", F.col("other_pos").alias("b")), ["code", "b"], "left_anti"

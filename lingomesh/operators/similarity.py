@@ -1,39 +1,40 @@
 """Blocked cosine top-k join.
 
-Both sides are cut into blocks per language by a hash of the row position and each block
-is packed once into float32 bytes; each pivot block is sent to every other-language block
-of its language by an equi-join on ``(code, oblk)`` (the block grid of a distributed matrix
-product — no cross join and no row pairs are ever materialized).  A vectorized numpy kernel in ``mapInArrow`` scores one
-block pair at a time and emits only the per-row top-k and the per-column best; Spark then
-reduces these partial winners with a window group limit and an aggregate.
+A two-dimensional grid: pivot rows fall into ``I`` by a hash of their position, rows of the
+other languages into ``J``.  Each row is sent to the cells of its row or column of the grid
+only, packed into float32 matrices on the way (the pivot once for all languages), and a cell
+``(code, I, J)`` is one cogroup: no join, so nothing can be broadcast, and no pair of blocks is
+ever materialized.  Inside the cell numpy multiplies tile by tile and keeps a running top-k per
+pivot row and a running best pivot per column; Spark reduces these winners with a window group
+limit and an aggregate.
 
 Ties break by position everywhere: score descending, then position ascending.  Scores are
-accumulated in float64 so the result does not depend on the blocking.
+accumulated in float64 and rounded to ``SCORE_DIGITS`` decimals before any comparison, so equal
+vectors have equal scores whatever the grid and the tiles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIVOT_BLOCK_BYTES = 8 << 20
-OTHER_BLOCK_BYTES = 24 << 20
-MAX_PIVOT_BLOCK_ROWS = 1024
+CELL_BYTES = 64 << 20          # of float32 vectors on each side of a cell
+MAX_PIVOT_BLOCK_ROWS = 1024    # tile inside a cell
 MAX_OTHER_BLOCK_ROWS = 4096
+SCORE_DIGITS = 10
 
 KERNEL_SCHEMA = "code string, kind byte, a long, b long, score double"
 
 
-def _matrix(pos_bytes: bytes, mat_bytes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and float64 matrix of a packed block (rows already sorted by position)."""
-    pos = np.frombuffer(pos_bytes, dtype=np.int64)
-    flat = np.frombuffer(mat_bytes, dtype=np.float32)
-    mat = flat.reshape(len(pos), -1) if len(pos) else flat.reshape(0, 0)
-    return pos, mat.astype(np.float64)
+def _tiles(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions and float32 matrix of each packed tile (rows sorted by position)."""
+    out = []
+    for pos, mat in zip(table.column("pos").to_pylist(), table.column("mat").to_pylist()):
+        p = np.frombuffer(pos, dtype=np.int64)
+        out.append((p, np.frombuffer(mat or b"", dtype=np.float32).reshape(len(p), -1) if mat is not None else None))
+    return out
 
 
 def _block_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,136 +56,122 @@ def _block_topk(S: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return r_idx[keep], c_idx[keep]
 
 
-def _kernel(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = batch.to_pydict()
-            for i in range(batch.num_rows):
-                code = data["code"][i]
-                ppos, P = _matrix(data["ppos"][i], data["pmat"][i])
-                opos, O = _matrix(data["opos"][i], data["omat"][i])
-                if len(ppos) == 0 or len(opos) == 0:
-                    continue
-                S = P @ O.T
+def _merge_topk(state, rows, pos, score, n: int, k: int):
+    """Running top-k per row: the old winners and new ``(row, pos, score)`` triples together."""
+    if state is not None:
+        rows, pos, score = (np.concatenate(x) for x in zip(state, (rows, pos, score)))
+    order = np.lexsort((pos, -score, rows))
+    rows, pos, score = rows[order], pos[order], score[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(n))[rows] < k
+    return rows[keep], pos[keep], score[keep]
+
+
+def _cell(k: int):
+    """All pairs of one grid cell: left = pivot tiles and lists of excluded positions."""
+    unit = 10.0 ** SCORE_DIGITS
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        code = key[0].as_py()
+        pivots, gone = [], []
+        for pos, mat in _tiles(left):
+            (gone if mat is None else pivots).append((pos, mat))
+        out_of = np.concatenate([p for p, _ in gone]) if gone else np.zeros(0, np.int64)
+        pivots = [(p[keep], m[keep]) for p, m in pivots for keep in [~np.isin(p, out_of)] if keep.any()]
+        others = _tiles(right)
+        top = [None] * len(pivots)
+        parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for opos, omat in others if pivots else ():
+            wide = omat.astype(np.float64)
+            best = np.full(len(opos), -np.inf)
+            best_pos = np.zeros(len(opos), np.int64)
+            for t, (ppos, pmat) in enumerate(pivots):
+                S = pmat.astype(np.float64) @ wide.T
+                S *= unit
+                np.rint(S, out=S)
                 r, c = _block_topk(S, k)
-                best_rows = S.argmax(axis=0)  # first maximum = lowest pivot position
-                cols = np.arange(len(opos))
-                n_top, n_best = len(r), len(opos)
-                kind = np.concatenate([np.zeros(n_top, np.int8), np.ones(n_best, np.int8)])
-                a = np.concatenate([ppos[r], ppos[best_rows]])
-                b = np.concatenate([opos[c], opos])
-                score = np.concatenate([S[r, c], S[best_rows, cols]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a), code, dtype=object), pa.string()), pa.array(kind), pa.array(a), pa.array(b), pa.array(score)],
-                    names=["code", "kind", "a", "b", "score"],
-                )
+                top[t] = _merge_topk(top[t], r, opos[c], S[r, c], len(ppos), k)
+                at = S.argmax(axis=0)                       # first maximum = lowest position of the tile
+                score, pos = S[at, np.arange(len(opos))], ppos[at]
+                better = (score > best) | ((score == best) & (pos < best_pos))
+                best[better], best_pos[better] = score[better], pos[better]
+            parts.append((1, best_pos, opos, best))
+        parts += [(0, pivots[t][0][rows], pos, score) for t, (rows, pos, score) in enumerate(x for x in top if x is not None)]
+        kind = np.concatenate([np.full(len(x[1]), x[0], np.int8) for x in parts]) if parts else np.zeros(0, np.int8)
+        a, b, score = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0) for i in (1, 2, 3))
+        return pa.table({"code": pa.array([code] * len(kind), pa.string()), "kind": pa.array(kind, pa.int8()),
+                         "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "score": pa.array(score.astype(np.float64) / unit)})
 
     return run
 
 
-def _lookup(values: dict[str, int]) -> F.Column:
-    """Literal map code → number (one entry per language code)."""
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-
-
-def _packer(blk_col: str, pos_name: str, mat_name: str):
+def _pack_tile(keys: list[str]):
     def pack(table: pa.Table) -> pa.Table:
         pos = table.column("pos").to_numpy().astype(np.int64)
         flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32)
         order = np.argsort(pos, kind="stable")
-        mat = flat.reshape(len(pos), -1)[order] if len(pos) else flat
-        return pa.table({
-            "code": pa.array([table.column("code")[0].as_py()], pa.string()),
-            blk_col: pa.array([table.column(blk_col)[0].as_py()], pa.int64()),
-            pos_name: pa.array([pos[order].tobytes()], pa.binary()),
-            mat_name: pa.array([np.ascontiguousarray(mat).tobytes()], pa.binary()),
-        })
+        mat = np.ascontiguousarray(flat.reshape(len(pos), -1)[order])
+        out = {c: table.column(c).slice(0, 1) for c in keys}
+        return pa.table({**out, "pos": pa.array([pos[order].tobytes()], pa.binary()), "mat": pa.array([mat.tobytes()], pa.binary())})
 
     return pack
 
 
-def _pack(side: DataFrame, id_col: str, nblk: F.Column, blk_col: str, prefix: str) -> DataFrame:
-    """One row per (code, block): positions and the float32 row-major matrix as bytes.
+def _pack(side: DataFrame, keys: dict[str, F.Column], pos: str, tiles: F.Column) -> DataFrame:
+    """One row per tile: its keys, positions and matrix as bytes.  Membership is a hash of the
+    position, so the size of a tile is bounded in expectation whatever the data."""
+    cols = {**keys, "tile": F.pmod(F.xxhash64(F.lit(7), pos), tiles).cast("int")}
+    types = {"code": "string", "gi": "int", "gj": "int", "tile": "int"}
+    rows = side.select(*[c.alias(n) for n, c in cols.items()], F.col(pos).alias("pos"), "vec")
+    schema = ", ".join(f"{n} {types[n]}" for n in cols) + ", pos binary, mat binary"
+    return rows.groupBy(*cols).applyInArrow(_pack_tile(list(cols)), schema)
 
-    Block membership is a hash of the position, so a block's size is bounded by the
-    block row budget (in expectation) whatever the key distribution of the data.  Each
-    block is packed once in a grouped Arrow function (bounded by that budget); from then on
-    Spark moves flat binary values, and the kernel reads them without conversion.
-    """
-    pos_name, mat_name = f"{prefix}pos", f"{prefix}mat"
-    rows = side.select("code", F.pmod(F.xxhash64(F.col(id_col)), nblk).alias(blk_col),
-                       F.col(id_col).alias("pos"), "vec")
-    schema = f"code string, {blk_col} long, {pos_name} binary, {mat_name} binary"
-    return rows.groupBy("code", blk_col).applyInArrow(_packer(blk_col, pos_name, mat_name), schema)
 
+def grid(n_pivot: int, n_other: dict[str, int], dim: int, target: int) -> tuple[int, dict[str, int]]:
+    """Rows and, per language, columns of the grid: cells of at most ``CELL_BYTES`` a side, cut
+    finer on the pivot side while there are fewer cells than ``target``."""
+    rows = max(16, min(16384, CELL_BYTES // (4 * max(dim, 1))))
+    gi = max(1, -(-n_pivot // rows))
+    gj = {c: max(1, -(-n // rows)) for c, n in n_other.items()}
+    cells = gi * sum(gj.values())
+    if cells < target:
+        gi = max(gi, min(n_pivot, -(-gi * target // cells)))
+    return gi, gj
 
-def block_grid(pivot: DataFrame, other: DataFrame, min_pairs: int | None = None) -> dict[str, tuple[int, int]]:
-    """Blocks per side and language: ``code → (pivot blocks, other blocks)``.
-
-    One small aggregate (one row per language code present on both sides).  Block sizes
-    follow the byte budgets; when the whole grid has fewer pairs than ``min_pairs`` (default:
-    twice the default parallelism) the pivot side is cut finer so every core gets work.
-    """
-    sizes = (
-        pivot.groupBy("code").agg(F.count(F.lit(1)).alias("np"), F.max(F.size("vec")).alias("dim"))
-        .join(other.groupBy("code").agg(F.count(F.lit(1)).alias("no")), "code")
-    ).collect()
-    grid = {}
-    for r in sizes:
-        dim = max(1, int(r["dim"] or 1))
-        prow = min(MAX_PIVOT_BLOCK_ROWS, max(16, PIVOT_BLOCK_BYTES // (4 * dim)))
-        orow = min(MAX_OTHER_BLOCK_ROWS, max(16, OTHER_BLOCK_BYTES // (4 * dim)))
-        grid[r["code"]] = (max(1, -(-int(r["np"]) // prow)), max(1, -(-int(r["no"]) // orow)), int(r["np"]))
-    target = min_pairs if min_pairs is not None else 2 * pivot.sparkSession.sparkContext.defaultParallelism
-    total = sum(p * o for p, o, _ in grid.values())
-    if 0 < total < target:
-        grid = {c: (min(n, -(-p * target // total)), o, n) for c, (p, o, n) in grid.items()}
-    return {c: (p, o) for c, (p, o, _) in grid.items()}
-
-
-def block_scores(pivot: DataFrame, other: DataFrame, k: int = 5) -> DataFrame:
-    """Partial winners of every block pair: ``code, kind, a, b, score`` (see :func:`block_pairs`).
-
-    kind 0 = a row's top-k inside one block pair, kind 1 = a column's best pivot inside one
-    block pair.
-    """
-    pairs = block_pairs(pivot, other)
-    if pairs is None:
-        return pivot.sparkSession.createDataFrame([], KERNEL_SCHEMA)
-    return pairs.mapInArrow(_kernel(k), KERNEL_SCHEMA)
 
+def block_scores(pivot: DataFrame, other: DataFrame, k: int = 5, excluded: DataFrame | None = None) -> DataFrame:
+    """Winners of every grid cell: ``code, kind, a, b, score``; kind 0 = a pivot row's top-k in the
+    cell, kind 1 = a column's best pivot in the cell.
 
-def block_pairs(pivot: DataFrame, other: DataFrame) -> DataFrame | None:
-    """Every block pair to score: ``code, ppos, pmat, opos, omat`` (None when no language
-    has rows on both sides).
-
-    ``pivot``: ``code, a, vec`` — the pivot rows to match against language ``code``;
-    ``other``: ``code, b, vec``.  Block pairs are numbered densely and range-partitioned on that number, so the kernel
-    tasks get an even share of pairs even when one language or one side has few blocks.
+    ``pivot``: ``a, vec``; ``other``: ``code, b, vec``; ``excluded``: ``code, a``, pivot rows that do
+    not take part for a language.
     """
     spark = pivot.sparkSession
-    grid = block_grid(pivot, other)
-    if not grid:
-        return None
-    nbp = _lookup({c: g[0] for c, g in grid.items()})
-    nbo = _lookup({c: g[1] for c, g in grid.items()})
-    offsets, total = {}, 0
-    for c, (p_n, o_n) in sorted(grid.items()):
-        offsets[c] = total
-        total += p_n * o_n
-    pblocks = _pack(pivot.where(F.col("code").isin(*grid)), "a", F.element_at(nbp, F.col("code")), "pblk", "p")
-    oblocks = _pack(other.where(F.col("code").isin(*grid)), "b", F.element_at(nbo, F.col("code")), "oblk", "o")
-    pair_id = _lookup(offsets)[F.col("code")] + F.col("pblk") * nbo[F.col("code")] + F.col("oblk")
-    parts = max(1, min(total, max(spark.sparkContext.defaultParallelism,
-                                  int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    pairs = (
-        pblocks.withColumn("oblk", F.explode(F.sequence(F.lit(0).cast("long"), nbo[F.col("code")] - 1)))
-        .join(oblocks, ["code", "oblk"])
-        .withColumn("pair_id", pair_id)
-        .repartitionByRange(parts, "pair_id")
-        .select("code", "ppos", "pmat", "opos", "omat")
-    )
-    return pairs
+    counts = {r["code"]: r["n"] for r in other.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}     # one row per language
+    size = pivot.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if not counts or not size["n"]:
+        return spark.createDataFrame([], KERNEL_SCHEMA)
+    gi, gj = grid(size["n"], counts, size["dim"] or 1, 2 * spark.sparkContext.defaultParallelism)
+    columns = F.element_at(F.create_map(*[F.lit(x) for kv in gj.items() for x in kv]), F.col("code"))
+    row_of = F.pmod(F.xxhash64("a"), F.lit(gi)).cast("int")
+    col_of = F.pmod(F.xxhash64("b"), columns).cast("int")
+    per_cell = max(1, -(-size["n"] // gi))
+    ptiles = _pack(pivot.select("a", "vec"), {"gi": row_of}, "a", F.lit(max(1, -(-per_cell // MAX_PIVOT_BLOCK_ROWS))))
+    per_column = F.element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, -(-(-(-n // gj[c])) // MAX_OTHER_BLOCK_ROWS)))]), F.col("code"))
+    otiles = _pack(other, {"code": F.col("code"), "gj": col_of}, "b", per_column)
+    per_language = [F.arrays_zip(F.array_repeat(F.lit(c), n).alias("code"), F.sequence(F.lit(0), F.lit(n - 1)).alias("gj")) for c, n in gj.items()]
+    cells = F.explode(F.flatten(F.array(*per_language)))
+    left = ptiles.select(cells.alias("cell"), "gi", "pos", "mat").select("cell.code", "gi", "cell.gj", "pos", "mat")
+    if excluded is not None:
+        gone = excluded.select("code", row_of.alias("gi"), "a").where(F.col("code").isin(*counts)).groupBy("code", "gi").agg(F.collect_list("a").alias("as"))
+        to_bytes = F.pandas_udf(_long_bytes, "binary")
+        gone = gone.select("code", "gi", F.explode(F.sequence(F.lit(0), columns - 1)).alias("gj"), to_bytes("as").alias("pos"), F.lit(None).cast("binary").alias("mat"))
+        left = left.unionByName(gone)
+    right = otiles.select("code", F.explode(F.sequence(F.lit(0), F.lit(gi - 1))).alias("gi"), "gj", "pos", "mat")
+    return left.groupBy("code", "gi", "gj").cogroup(right.groupBy("code", "gi", "gj")).applyInArrow(_cell(k), KERNEL_SCHEMA)
+
+
+def _long_bytes(lists):
+    return lists.map(lambda x: np.asarray(x, dtype=np.int64).tobytes())
 
 
 def topk_from_scores(scores: DataFrame, k: int = 5) -> DataFrame:
@@ -208,6 +195,7 @@ def best_pivot_from_scores(scores: DataFrame) -> DataFrame:
 
 
 def topk_similarity(pivot: DataFrame, other: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(top-k per pivot row, best pivot per other row) of the cosine join."""
-    scores = block_scores(pivot, other, k)
+    """(top-k per pivot row, best pivot per other row) of the cosine join; every pivot row meets
+    every language of ``other`` (a ``code`` column of ``pivot`` is not looked at)."""
+    scores = block_scores(pivot.select("a", "vec"), other, k)
     return topk_from_scores(scores, k), best_pivot_from_scores(scores)

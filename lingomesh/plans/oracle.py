@@ -183,7 +183,7 @@ slug AS (SELECT o.code, p.a, o.b FROM okey o JOIN pkey p ON o.key = p.key),
 remp AS (SELECT c.code, p.a, p.vec FROM piv p CROSS JOIN codes c
          WHERE NOT EXISTS (SELECT 1 FROM slug s WHERE s.code = c.code AND s.a = p.a)),
 remo AS (SELECT o.code, o.b, o.vec FROM oth o WHERE NOT EXISTS (SELECT 1 FROM slug s WHERE s.code = o.code AND s.b = o.b)),
-pairs AS (SELECT p.code, p.a, o.b, list_dot_product(p.vec::DOUBLE[], o.vec::DOUBLE[]) AS score
+pairs AS (SELECT p.code, p.a, o.b, round(list_dot_product(p.vec::DOUBLE[], o.vec::DOUBLE[]), 10) AS score
           FROM remp p JOIN remo o ON p.code = o.code),
 topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code, a ORDER BY score DESC, b) AS rank FROM pairs)
          WHERE rank <= {K}),

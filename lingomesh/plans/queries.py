@@ -18,7 +18,7 @@ from ..functions.urls import host_and_path, normalize_url, strip_language, with_
 from ..functions.vectors import parse_vector_text
 from ..operators import detect, embed, pages, report
 from ..sources.sinks import export_vectors
-from ..operators.match import run_matching
+from ..operators.match import run_matching, similarity, slug_match, split_sides
 from ..operators.quality import CrawlColumns, build_sets, majority_dim, row_filter, set_metrics
 from ..sources.tables import crawl_view, crawl_view_text, doc_crawl, page_log, table
 from .oracle_more import SPLIT_PATTERNS
@@ -106,22 +106,28 @@ def q_set_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_slug_match(spark: SparkSession, sf: str) -> DataFrame:
-    _, res = _matching(spark, sf)
-    return res.slug.select("code", F.col("a").alias("pivot_pos"), F.col("b").alias("other_pos"))
+    valid, _ = _sets(spark, sf)
+    sides = split_sides(cut_lineage(valid.select("code", "pos", "url", "norm_url", F.lit(None).alias("vec"))), PARAMS.pivot)
+    return slug_match(*sides, PARAMS.pivot).select("code", F.col("a").alias("pivot_pos"), F.col("b").alias("other_pos"))
+
+
+def _similarity(spark: SparkSession, sf: str):
+    valid, _ = _sets(spark, sf)
+    return similarity(cut_lineage(valid), PARAMS.pivot, PARAMS.use_slug, PARAMS.k)
 
 
 def q_topk_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    _, res = _matching(spark, sf)
+    res = _similarity(spark, sf)
     return res.topk.select("code", "a", "b", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 def q_best_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    _, res = _matching(spark, sf)
+    res = _similarity(spark, sf)
     return res.best.select("code", "b", "a", F.round("score", 4).alias("score"))
 
 
 def q_reciprocal_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    _, res = _matching(spark, sf)
+    res = _similarity(spark, sf)
     r1 = res.topk.where("rank = 1").select("code", "a", "b")
     return r1.join(res.best.select("code", "b", "a"), ["code", "a", "b"])
 

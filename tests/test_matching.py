@@ -79,6 +79,30 @@ def test_topk_kernel_matches_brute_force(spark, monkeypatch):
     assert best.count() == 70
 
 
+@pytest.mark.parametrize("cell, pivot_tile, other_tile", [(1 << 20, 7, 11), (2000, 1024, 4096), (4000, 5, 3)])
+def test_copies_rank_by_position_in_any_grid(spark, monkeypatch, cell, pivot_tile, other_tile):
+    """Exact copies of a vector score the same whichever block they fall into."""
+    monkeypatch.setattr(similarity, "CELL_BYTES", cell)
+    monkeypatch.setattr(similarity, "MAX_PIVOT_BLOCK_ROWS", pivot_tile)
+    monkeypatch.setattr(similarity, "MAX_OTHER_BLOCK_ROWS", other_tile)
+    rng = np.random.default_rng(4)
+    base = _unit(rng, 6, 300).astype(np.float32)
+    piv = spark.createDataFrame([(i, base[i % 6].tolist()) for i in range(60)], "a long, vec array<float>")
+    oth = spark.createDataFrame([("fr", j, base[j % 6].tolist()) for j in range(90)], "code string, b long, vec array<float>")
+    topk, best = similarity.topk_similarity(piv, oth, 4)
+    got = {}
+    for r in topk.collect():
+        got.setdefault(r["a"], []).append((r["rank"], r["b"]))
+    for a in range(60):
+        assert [b for _, b in sorted(got[a])] == [a % 6, a % 6 + 6, a % 6 + 12, a % 6 + 18]
+    assert {r["b"]: r["a"] for r in best.collect()} == {j: j % 6 for j in range(90)}
+    gone = spark.createDataFrame([("fr", a) for a in range(6)], "code string, a long")
+    best = similarity.best_pivot_from_scores(similarity.block_scores(piv, oth, 4, gone))
+    assert {r["b"]: r["a"] for r in best.collect()} == {j: j % 6 + 6 for j in range(90)}
+    plan = similarity.block_scores(piv, oth, 4)._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
 def _sequential(edges):
     used_a, used_b, out = set(), set(), set()
     for code, a, b, s in sorted(edges, key=lambda e: (e[0], -e[3], e[1], e[2])):
@@ -99,17 +123,17 @@ def test_greedy_rounds_equal_sequential(spark, seed):
             edges.append((code, rnd.randrange(40), rnd.randrange(40), round(rnd.random(), 1)))
     edges = list({(c, a, b): (c, a, b, s) for c, a, b, s in edges}.values())
     df = spark.createDataFrame(edges, assign.EDGE_SCHEMA)
-    got = {(r["code"], r["a"], r["b"]) for r in assign.greedy_assign(df, local_finish_edges=0).collect()}
+    got = {(r["code"], r["a"], r["b"]) for r in assign.greedy_assign(df, rounds=1).collect()}
     assert got == _sequential(edges)
-    got_local = {(r["code"], r["a"], r["b"]) for r in assign.greedy_assign(df).collect()}
-    assert got_local == got
+    stay = {(r["code"], r["a"], r["b"]) for r in assign.greedy_assign(df, rounds=2, max_component=3).collect()}
+    assert stay == got
 
 
 def test_greedy_descending_chain(spark):
     # a chain a0-b0 (0.9) , a1-b0 (0.95), a1-b1 (0.8) ...: greedy must resolve it in order
-    edges = [("de", i // 2, (i + 1) // 2, 1.0 - i * 0.01) for i in range(40)]
+    edges = [("de", i // 2, (i + 1) // 2, 1.0 - i * 0.0004) for i in range(2000)]
     df = spark.createDataFrame(edges, assign.EDGE_SCHEMA)
-    got = {(r["code"], r["a"], r["b"]) for r in assign.greedy_assign(df, local_finish_edges=5).collect()}
+    got = {(r["code"], r["a"], r["b"]) for r in assign.greedy_assign(df).collect()}
     assert got == _sequential(edges)
 
 
