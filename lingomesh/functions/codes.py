@@ -26,13 +26,9 @@ def is_valid_code(c: Column | str) -> Column:
 def normalize_code(c: Column | str) -> Column:
     """``xx`` or ``xx-YY`` for valid codes, else the stripped input unchanged."""
     s = _stripped(c)
-    lang = F.lower(F.substring(s, 1, 2))
-    region = F.upper(F.substring(s, 4, 2))
-    return (
-        F.when(code_shape(s) & (F.length(s) == 5), F.concat(lang, F.lit("-"), region))
-        .when(code_shape(s), lang)
-        .otherwise(s)
-    )
+    parts = F.split(s, "-")
+    cased = F.concat_ws("-", F.lower(F.get(parts, F.lit(0))), F.upper(F.get(parts, F.lit(1))))
+    return F.when(code_shape(s), cased).otherwise(s)
 
 
 def language_of(c: Column | str) -> Column:
@@ -46,13 +42,12 @@ def format_hreflang_code(c: Column | str, mode: str) -> Column:
 
 def normalize_code_py(code: str | None) -> str:
     """Driver-side twin for the handful of parameter codes (pivot, x-default)."""
-    import re
-
-    s = (code or "").strip()
-    m = re.match(r"^([a-z]{2})(?:-([a-z]{2}))?$", s, re.I)
-    if not m:
-        return s
-    return f"{m.group(1).lower()}-{m.group(2).upper()}" if m.group(2) else m.group(1).lower()
+    text = (code or "").strip()
+    language, dash, region = text.partition("-")
+    shape = [len(part) == 2 and part.isascii() and part.isalpha() for part in (language, region)]
+    if not shape[0] or (dash and not shape[1]):
+        return text
+    return language.lower() + dash + region.upper()
 
 
 def language_of_py(code: str | None) -> str:

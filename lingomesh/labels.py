@@ -57,6 +57,12 @@ TEXT_COL_HINTS = ["main content", "content extraction", "body", "text", "title",
 TEXT_COL_EXCLUDE = ["length", "pixel", "ratio", "width", "count", "occurrences"]
 DELIMITERS = [",", ";", "\t", "|"]
 SINGLE_COLUMN_SEP = "\x1f"
+# --- fixed values: words that a delimited file uses for a missing value -------------------
+MISSING_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
+FILE_EMPTY = "Datei ist leer."
 
 # --- fixed values: ccTLD -> language ("" = region without one language) ----------------
 CCTLD_LANG = {
@@ -90,6 +96,23 @@ DEFAULT_BAND = 0.05
 DEFAULT_MIN_MARGIN = 0.02
 DEFAULT_K = 5
 EMBED_MAX_CHARS = 20_000
+# --- fixed values: embedding endpoint ------------------------------------------------------
+TEXT_TOO_LONG = "context length|maximum context|too long|max.*tokens|input length"    # matched case-insensitively
+EMBED_WRONG_COUNT = "Endpunkt lieferte {} Vektoren für {} Texte"
+EMBED_NOTHING = "keine Vektoren erhalten"
+# --- fixed values: set validation ----------------------------------------------------------
+SETS_TOO_FEW = "Mindestens zwei Sprachsets mit gültigem Code nötig."
+SETS_NO_PIVOT = "Pivot-Sprache '{}' nicht in den Sprachsets."
+SETS_EMPTY = "Mindestens eine Sprachvariante hat keine gültigen URLs."
+SETS_DIMENSIONS = "Die Embedding-Dimensionen unterscheiden sich zwischen den Dateien ({}). Alle Dateien müssen mit demselben Modell erzeugt sein."
+SETS_INVALID_CODE = "Ungültiger Sprachcode: {}"
+DROP_NO_CODE = "kein Sprachcode"
+# --- fixed values: special-purpose address blocks (never a public page) --------------------
+IPV4_LOOPBACK = ["127.0.0.0/8"]
+IPV4_NEVER = ["0.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "240.0.0.0/4"]
+IPV4_PRIVATE = ["10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
+                "203.0.113.0/24"]
+IPV4_SHARED = ["100.64.0.0/10"]
 EMBED_BATCH_SIZE = 64
 
 # --- fixed values: report column labels ---------------------------------------------------

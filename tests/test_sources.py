@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lingomesh.operators import detect
 from lingomesh.operators.quality import CrawlColumns, build_sets
-from lingomesh.sources.delimited import detect_delimiter, read_delimited, read_variants
+from lingomesh.sources.delimited import detect_delimiter, read_delimited, read_variants, read_variants_with_problems
 from lingomesh.sources.sinks import export_vectors, write_table
 
 
@@ -103,3 +103,55 @@ def test_variants_and_round_trip(spark, tmp_path):
     assert a.keys() == b.keys()
     for k in a:
         assert np.allclose(a[k], b[k], atol=2e-6)
+
+
+@pytest.mark.parametrize("dim", [256, 1536, 3072])
+def test_quoted_vectors_of_any_width(spark, tmp_path, dim):
+    vec = "[" + ", ".join(f"{i / 7:.6f}" for i in range(dim)) + "]"
+    lines = ["Address,Embedding,Title"]
+    for i in range(12):
+        lines.append({3: f'https://a.de/{i},"{vec}",t,too,many', 5: f"https://a.de/{i}", 7: f'"https://a.de/{i}","{vec}","say ""hi"", you"'}.get(i, f'https://a.de/{i},"{vec}",t{i}'))
+    path = _write(tmp_path, "wide.csv", ("\n".join(lines) + "\n").encode())
+    for multi_line in (False, True):
+        scan = read_delimited(spark, path, multi_line=multi_line)
+        assert scan.bad_line_count() == 1
+        rows = scan.rows.orderBy("pos").collect()
+        assert [r["Address"][-2:].strip("/") for r in rows] == [str(i) for i in range(12) if i != 3]
+        assert rows[0]["Embedding"] == vec and rows[4]["Embedding"] is None and rows[6]["Title"] == 'say "hi", you'
+    assert spark.conf.get("spark.sql.csv.parser.columnPruning.enabled") == "true"
+
+
+def test_missing_words(spark, tmp_path):
+    path = _write(tmp_path, "na.csv", b"Address,Embedding\nNULL,N/A\nnull,None\nx,nan\nNAb,NA\n")
+    assert [(r["Address"], r["Embedding"]) for r in read_delimited(spark, path).rows.orderBy("pos").collect()] == [
+        (None, None), (None, None), ("x", None), ("NAb", None)]
+
+
+def test_positions_follow_a_folder_of_parts(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for k, n in enumerate((3, 900, 40)):                     # Spark reads the largest part first
+        _write(folder, f"part-{k}.csv", ("Address,N\n" + "".join(f"https://a.de/{k}/{i},{i}\n" for i in range(n))).encode())
+    rows = read_delimited(spark, str(folder)).rows.orderBy("pos").collect()
+    assert [r["Address"] for r in rows] == [f"https://a.de/{k}/{i}" for k, n in enumerate((3, 900, 40)) for i in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        again = read_delimited(spark, str(folder)).rows
+        assert again.rdd.getNumPartitions() > 3
+        assert [r["Address"] for r in again.orderBy("pos").collect()] == [r["Address"] for r in rows]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_unreadable_file_is_reported_and_skipped(spark, tmp_path):
+    good = _write(tmp_path, "good.csv", b"Address,x\nhttps://a.de/1,1\n")
+    empty = _write(tmp_path, "empty.csv", b"")
+    out, problems = read_variants_with_problems(spark, [(empty, "de"), (good, "fr"), (str(tmp_path / "none.csv"), "it")])
+    assert [r["variant"] for r in out.collect()] == ["fr"]
+    assert [(p, c) for p, c, _ in problems] == [(empty, "de"), (str(tmp_path / "none.csv"), "it")] and problems[0][2] == "Datei ist leer."
+
+
+def test_patterns_of_the_other_engine_are_reported(spark):
+    df = spark.createDataFrame([("https://x.com/de/a",)], "url string")
+    split, invalid = detect.split_by_patterns(df, "url", [("(?P<l>de)", "fr"), ("/de/", "de")])
+    assert invalid == ["(?P<l>de)"] and split.first()["variant"] == "de"
