@@ -28,17 +28,17 @@ def is_blank(c: Column | str) -> Column:
     return F.lower(trim_ws(text_or_empty(c))).isin("", "nan", "none")
 
 
-def truncate(c: Column | str, max_chars: int) -> Column:
-    """Collapse whitespace runs to one space, strip, cut to ``max_chars`` code points."""
-    collapsed = F.regexp_replace(text_or_empty(c), f"(?U){WS}+", " ")
-    return F.substring(trim_ws(collapsed), 1, max_chars)
+def truncate(c: Column | str, max_chars: int | None = None) -> Column:
+    """Collapse whitespace runs to one space, strip, cut to ``max_chars`` code points if given."""
+    whole = trim_ws(F.regexp_replace(text_or_empty(c), f"(?U){WS}+", " "))
+    return whole if max_chars is None else F.substring(whole, 1, max_chars)
 
 
-def build_text(cols: list[Column | str], max_chars: int) -> Column:
-    """Truncate each column, skip empty parts, join with a blank line, cut the total."""
+def build_text(cols: list[Column | str], max_chars: int | None = None) -> Column:
+    """Truncate each column, skip empty parts, join with a blank line, cut the total if asked."""
     parts = F.array(*[truncate(c, max_chars) for c in cols])
     joined = F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
-    return F.substring(joined, 1, max_chars)
+    return joined if max_chars is None else F.substring(joined, 1, max_chars)
 
 
 def html_escape(c: Column | str) -> Column:

@@ -165,3 +165,34 @@ def strip_language(norm_url: Column | str, code: Column | str) -> Column:
     )
     rest = F.regexp_replace(path, "^/[^/]*/?", "/")
     return F.concat(F.lit("*"), F.when(same, rest).otherwise(path))
+
+
+_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _without_dots(path: Column) -> Column:
+    """RFC 3986 dot segments removed; a path that ends in one ends in a slash."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, part: (
+        F.when(part == ".", done)
+        .when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+        .otherwise(F.concat(done, F.array(part)))))
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def resolve_url(base: Column, ref: Column) -> Column:
+    """A reference resolved against an absolute http(s) URL (RFC 3986, section 5.2); a reference
+    with a scheme or an authority of its own is taken as it is."""
+    b = {n: F.regexp_extract(base, _PARTS, i) for i, n in enumerate(("scheme", "authority", "path", "query"), 1)}
+    r = {n: F.regexp_extract(ref, _PARTS, i) for i, n in enumerate(("scheme", "authority", "path", "query", "fragment"), 1)}
+    root = F.concat(b["scheme"], F.lit(":"), b["authority"])
+    folder = F.regexp_replace(b["path"], "[^/]*$", "")
+    merged = F.concat(F.when(folder == "", "/").otherwise(folder), r["path"])
+    same_file = F.concat(root, b["path"], F.when(r["query"] != "", r["query"]).otherwise(b["query"]), r["fragment"])
+    return (
+        F.when(r["scheme"] != "", ref)
+        .when(r["authority"] != "", F.concat(b["scheme"], F.lit(":"), ref))
+        .when(r["path"] == "", same_file)
+        .otherwise(F.concat(root, _without_dots(F.when(r["path"].startswith("/"), r["path"]).otherwise(merged)), r["query"], r["fragment"]))
+    )

@@ -79,7 +79,6 @@ PAGE_NOT_HTML = "kein HTML ({})"
 PAGE_TOO_BIG = "Seite zu groß (> 5 MB)"
 PAGE_NO_TEXT = "kein Text extrahiert"
 PAGE_MAX_BYTES = 5_000_000
-PAGE_CACHE_CHARS = 60_000
 REDIRECT_STATUSES = [301, 302, 303, 307, 308]
 MAX_REDIRECTS = 5
 REDIRECT_FORBIDDEN = "Weiterleitung zu unzulässiger Adresse"
@@ -110,10 +109,20 @@ DROP_NO_CODE = "kein Sprachcode"
 # --- fixed values: special-purpose address blocks (never a public page) --------------------
 IPV4_LOOPBACK = ["127.0.0.0/8"]
 IPV4_NEVER = ["0.0.0.0/8", "169.254.0.0/16", "224.0.0.0/4", "240.0.0.0/4"]
-IPV4_PRIVATE = ["10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
-                "203.0.113.0/24"]
+IPV4_PRIVATE = [
+    "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.8/32", "192.0.0.11/32", "192.0.0.12/30", "192.0.0.16/28", "192.0.0.32/27", "192.0.0.64/26",
+    "192.0.0.128/25", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
+]
 IPV4_SHARED = ["100.64.0.0/10"]
+IPV6_LOOPBACK = ["::1/128"]
+IPV6_NEVER = [
+    "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3", "e000::/4", "f000::/5",
+    "f800::/6", "fe00::/9", "fe80::/10", "ff00::/8",
+]
+IPV6_PRIVATE = ["64:ff9b:1::/48", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7"]
+IPV6_PUBLIC_INSIDE = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
 EMBED_BATCH_SIZE = 64
+EMBED_WAITS = [2, 4, 8]                          # seconds between attempts
 
 # --- fixed values: report column labels ---------------------------------------------------
 COL_LANGUAGE = "Sprache"

@@ -8,7 +8,7 @@ The embedding model is a user-supplied batch function ``fn(list[str]) -> list[ve
   (``left_anti``) — identical texts are requested once;
 * the misses are spread over ``parallelism`` tasks and sent in batches of ``batch_size``
   by ``mapInPandas``; a failing batch marks its own rows, other batches go on; a fatal
-  error (bad endpoint, refused key) aborts the job;
+  error (bad endpoint, refused key) in the first batch, which is sent alone, stops the run;
 * the results are written once (reliable checkpoint: a lost executor never re-requests
   vectors), fanned out to every row by a join on the key, and offered as new cache rows.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -45,6 +46,10 @@ class FatalEmbeddingError(EmbeddingError):
     """An error every batch would hit (endpoint, key, path); the run stops."""
 
 
+class RetryableError(EmbeddingError):
+    """A passing error (rate limit, overload, network): the batch is asked again after a wait."""
+
+
 class TextTooLongError(EmbeddingError):
     """The endpoint refused the batch because a text is too long (HTTP 400)."""
 
@@ -102,9 +107,9 @@ def _call(fn, texts: list[str], max_chars: int | None) -> tuple[list | None, str
     for last, attempt in enumerate(attempts):
         try:
             return _answer(fn, attempt), None
-        except FatalEmbeddingError:
-            raise
         except Exception as e:  # noqa: BLE001 - one broken batch never stops the others
+            if is_fatal(e):
+                raise e if isinstance(e, FatalEmbeddingError) else FatalEmbeddingError(str(e)) from e
             if last or isinstance(e, EmbeddingError) and not isinstance(e, TextTooLongError) or not _too_long(e):
                 return None, str(e)
     return None, None
@@ -114,19 +119,47 @@ def _too_long(e: Exception) -> bool:
     return isinstance(e, TextTooLongError) or bool(re.search(L.TEXT_TOO_LONG, str(e), re.I))
 
 
-def _batcher(fn, batch_size: int, max_chars: int):
+FATAL_MARK = "\x00fatal:"
+
+
+def is_fatal(e: Exception) -> bool:
+    """Whether every later batch would meet the same error (K2): a refused key or path, a missing
+    endpoint (HTTP 401, 403, 404 in ``status``), or a retry that was used up."""
+    return isinstance(e, FatalEmbeddingError) or getattr(e, "status", None) in (401, 403, 404)
+
+
+def _with_retries(fn, waits: Sequence[float]):
+    """``fn`` that waits and asks again on a :class:`RetryableError`; when the waits are used up the
+    error is fatal."""
+    def call(texts: list[str]):
+        for wait in (*waits, None):
+            try:
+                return fn(texts)
+            except RetryableError as e:
+                if wait is None:
+                    raise FatalEmbeddingError(str(e)) from e
+                time.sleep(wait)
+        return None
+
+    return call
+
+
+def _batcher(fn, batch_size: int, max_chars: int | None, probe: bool = False, waits: Sequence[float] = L.EMBED_WAITS):
     prefix = L.DROP_EMBED_FAILED.replace("{}", "")
+    asked = _with_retries(fn, waits)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             keys, texts = pdf["key"].tolist(), pdf["text"].tolist()
             for i in range(0, len(texts), batch_size):
                 kb, tb = keys[i:i + batch_size], texts[i:i + batch_size]
-                vecs, err = _call(fn, tb, max_chars)
-                if err is not None:
-                    yield pd.DataFrame({"key": kb, "vector": [None] * len(kb), "error": [prefix + err] * len(kb)})
-                else:
-                    yield pd.DataFrame({"key": kb, "vector": [_as_vector(v) for v in vecs], "error": [None] * len(kb)})
+                try:
+                    vecs, err = _call(asked, tb, max_chars)
+                    err = None if err is None else prefix + err
+                except FatalEmbeddingError as e:
+                    vecs, err = None, FATAL_MARK + str(e) if probe else prefix + str(e)
+                vectors = [None] * len(kb) if err is not None else [_as_vector(v) for v in vecs]
+                yield pd.DataFrame({"key": kb, "vector": vectors, "error": [err] * len(kb)})
 
     return run
 
@@ -136,6 +169,21 @@ class Embedded:
     rows: DataFrame        # input rows + key, vector, error
     new_cache: DataFrame   # key, vector of the vectors computed in this run
 
+    def dimension(self) -> int | None:
+        """Length of the vectors (A14): that of the run's first one by key."""
+        row = self.rows.where("vector IS NOT NULL").agg(F.min_by(F.size("vector"), "key").alias("d")).first()
+        return row["d"]
+
+
+def append_cache(cache_path: str, new_cache: DataFrame) -> None:
+    """Add the vectors of a run to a cache table (S10); only keys it does not hold yet."""
+    new_cache.write.mode("append").parquet(cache_path)
+
+
+def read_cache(spark, cache_path: str) -> DataFrame:
+    """A cache table as :func:`embed_texts` takes it: one vector per key."""
+    return spark.read.parquet(cache_path).dropDuplicates(["key"]).select("key", "vector")
+
 
 def embed_texts(
     df: DataFrame,
@@ -146,7 +194,7 @@ def embed_texts(
     base_url: str = "",
     cache: DataFrame | None = None,
     batch_size: int = L.EMBED_BATCH_SIZE,
-    max_chars: int = L.EMBED_MAX_CHARS,
+    max_chars: int | None = None,
     parallelism: int | None = None,
 ) -> Embedded:
     """Vector or error for every row of ``df`` with a non-empty ``text_col``.
@@ -161,9 +209,15 @@ def embed_texts(
     distinct = keyed.select("key", F.col(text_col).alias("text")).dropDuplicates(["key"])
     misses = distinct if cache is None else distinct.join(cache.select("key"), "key", "left_anti")
     n = parallelism or spark.sparkContext.defaultParallelism
-    computed = cut_lineage(
-        misses.repartition(n, "key").mapInPandas(_batcher(fn, batch_size, max_chars), EMBED_SCHEMA)
-    )
+    # one batch first, on its own: an endpoint that refuses every request stops the run here,
+    # before any task has asked it; later fatal errors only mark the rows of their batch
+    first = cut_lineage(misses.orderBy("key").limit(batch_size).coalesce(1).mapInPandas(_batcher(fn, batch_size, max_chars, probe=True), EMBED_SCHEMA))
+    fatal = first.where(F.col("error").startswith(FATAL_MARK)).select("error").limit(1).collect()
+    if fatal:
+        raise FatalEmbeddingError(fatal[0]["error"].removeprefix(FATAL_MARK))
+    later = misses.join(first.select("key"), "key", "left_anti")
+    computed = cut_lineage(first.unionByName(
+        later.repartition(n, "key").mapInPandas(_batcher(fn, batch_size, max_chars), EMBED_SCHEMA)))
     results = computed
     if cache is not None:
         results = computed.unionByName(cache.select("key", "vector", F.lit(None).cast("string").alias("error")))
@@ -171,7 +225,7 @@ def embed_texts(
     return Embedded(rows=rows, new_cache=computed.where(F.col("error").isNull()).select("key", "vector"))
 
 
-def texts_for_rows(df: DataFrame, cols: CrawlColumns, text_cols: list[str], max_chars: int = L.EMBED_MAX_CHARS,
+def texts_for_rows(df: DataFrame, cols: CrawlColumns, text_cols: list[str], max_chars: int | None = None,
                    filter_indexable: bool = True) -> DataFrame:
     """``code, pos, text, error`` of the rows kept by the row filter."""
     kept = df.where(row_filter_reason(cols, filter_indexable).isNull())

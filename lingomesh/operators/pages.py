@@ -8,123 +8,161 @@ expressions, joins and aggregates over the table.
 
 from __future__ import annotations
 
+import html
 import ipaddress
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels as L
-from ..functions.text import col_of, trim_ws
+from ..functions.text import col_of, trim_ws, truncate
+from ..functions.urls import resolve_url
+from ..session import cut_lineage
 
 # element names whose whole content is never main text
-DROP_ELEMENTS = ["script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "table"]
+RAW_ELEMENTS = ["script", "style", "noscript", "template"]
+DROP_ELEMENTS = ["nav", "header", "footer", "aside", "form", "table"]
 # element names that break a line
 BLOCK_ELEMENTS = "p|div|br|h[1-6]|li|ul|ol|dl|dt|dd|tr|section|article|main|blockquote|pre|figure|figcaption|hr"
-# fixed values: the named entities decoded, "&amp;" last
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")]
+NESTING = 4
 
 
-def main_text(html: Column | str) -> Column:
+def _unescaped(texts):
+    return texts.map(html.unescape)
+
+
+def _without(h: Column, tag: str) -> Column:
+    """``h`` without the element, innermost first, so that nested ones go whole."""
+    inner = f"(?is)<{tag}\\b[^>]*+>(?:[^<]++|<(?!/?{tag}\\b))*+</{tag}\\s*>"
+    for _ in range(NESTING):
+        h = F.regexp_replace(h, inner, " ")
+    return h
+
+
+def main_text(html_col: Column | str) -> Column:
     """Main text of an HTML page (X17), empty when nothing is left.
 
-    Comments and script / style / navigation / header / footer / aside / form / table
-    elements are removed; the first ``<main>``, else the first ``<article>``, else the
-    ``<body>`` is kept; block elements become line breaks, other tags vanish, the common
-    named entities are decoded, blanks are collapsed and blank lines dropped.
+    Comments and script / style / navigation / header / footer / aside / form / table elements are
+    removed; all ``<main>`` parts, else all ``<article>`` parts, else the ``<body>`` are kept (a
+    part without an end tag runs to the end of the page); block elements become line breaks,
+    other tags vanish, character references are decoded, blanks are collapsed and blank lines
+    dropped.
     """
-    h = F.coalesce(col_of(html).cast("string"), F.lit(""))
+    h = F.coalesce(col_of(html_col).cast("string"), F.lit(""))
     h = F.regexp_replace(h, "(?s)<!--.*?-->", " ")
-    for tag in DROP_ELEMENTS:
+    for tag in RAW_ELEMENTS:
         h = F.regexp_replace(h, f"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>", " ")
-    main = F.regexp_extract(h, "(?is)<main\\b[^>]*>(.*?)</main\\s*>", 1)
-    art = F.regexp_extract(h, "(?is)<article\\b[^>]*>(.*?)</article\\s*>", 1)
-    body = F.regexp_extract(h, "(?is)<body\\b[^>]*>(.*)$", 1)
+    for tag in DROP_ELEMENTS:
+        h = _without(h, tag)
+
+    def parts(tag: str) -> Column:
+        return F.array_join(F.regexp_extract_all(h, F.lit(f"(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|$)"), F.lit(1)), "\n")
+
     t = (
-        F.when(h.rlike("(?i)<main\\b"), main)
-        .when(h.rlike("(?i)<article\\b"), art)
-        .when(h.rlike("(?i)<body\\b"), body)
+        F.when(h.rlike("(?i)<main\\b"), parts("main"))
+        .when(h.rlike("(?i)<article\\b"), parts("article"))
+        .when(h.rlike("(?i)<body\\b"), F.regexp_extract(h, "(?is)<body\\b[^>]*>(.*)$", 1))
         .otherwise(h)
     )
     t = F.regexp_replace(t, f"(?i)</?({BLOCK_ELEMENTS})\\b[^>]*>", "\n")
     t = F.regexp_replace(t, "<[^>]*>", "")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    t = F.regexp_replace(t, "[ \\t\\r\\f]+", " ")
+    # the table of character references is the standard library's, in an Arrow function
+    t = F.pandas_udf(_unescaped, "string")(t)
+    t = F.regexp_replace(t, "[ \\t\\r\\f\u00a0]+", " ")
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")
 
 
-def response_reason(status: Column, content_type: Column, n_bytes: Column, text: Column) -> Column:
+def response_reason(status: Column, content_type: Column, n_bytes: Column, text: Column, max_bytes: int = L.PAGE_MAX_BYTES) -> Column:
     """Why a stored response gives no text, NULL when it does (F15): ``HTTP n``; a non-empty
     content type without ``html``; a body over 5 MB; no extracted text."""
     ctype = F.lower(trim_ws(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
     return (
         F.when(status.isNull() | (status != 200), F.format_string(L.PAGE_HTTP.replace("{}", "%s"), status.cast("string")))
         .when((ctype != "") & ~ctype.contains("html"), F.format_string(L.PAGE_NOT_HTML.replace("{}", "%s"), ctype))
-        .when(F.coalesce(n_bytes, F.lit(0)) > L.PAGE_MAX_BYTES, F.lit(L.PAGE_TOO_BIG))
+        .when(F.coalesce(n_bytes, F.lit(0)) > max_bytes, F.lit(L.PAGE_TOO_BIG))
         .when(F.coalesce(text, F.lit("")) == "", F.lit(L.PAGE_NO_TEXT))
     )
 
 
-def page_texts(pages: DataFrame, max_chars: int = L.EMBED_MAX_CHARS) -> DataFrame:
+def page_texts(pages: DataFrame, max_chars: int | None = None, max_bytes: int = L.PAGE_MAX_BYTES) -> DataFrame:
     """Main text or reason per page (S12): ``pages`` has ``code, pos, html`` and optionally
-    ``status, content_type, bytes``; returns ``code, pos, text, error`` with the text cut
-    like a text column (X9)."""
-    from ..functions.text import truncate
-
+    ``status, content_type, bytes, url``; returns ``code, pos, text, error`` (and ``url`` where
+    there is one) with the text cleaned, and cut if asked, like a text column (X9)."""
     cols = set(pages.columns)
     status = F.col("status").cast("int") if "status" in cols else F.lit(200)
     ctype = F.col("content_type") if "content_type" in cols else F.lit("")
     nbytes = F.col("bytes").cast("long") if "bytes" in cols else F.octet_length("html").cast("long")
     staged = pages.withColumn("__mt", main_text("html"))
-    reason = response_reason(status, ctype, nbytes, F.col("__mt"))
+    reason = response_reason(status, ctype, nbytes, F.col("__mt"), max_bytes)
     return staged.select(
-        "code", "pos",
+        "code", "pos", *(["url"] if "url" in cols else []),
         F.when(reason.isNull(), truncate(F.col("__mt"), max_chars)).otherwise(F.lit("")).alias("text"),
         reason.alias("error"),
     )
 
 
 def page_cache_rows(texts: DataFrame, url_col: str = "url") -> DataFrame:
-    """Rows for a page-text cache table (S11): successes only, text cut at 60,000 characters."""
-    return texts.where(F.col("error").isNull()).select(
-        F.col(url_col).alias("url"), F.substring("text", 1, L.PAGE_CACHE_CHARS).alias("text")
-    )
+    """Rows for a page-text cache table (S11): ``url, text`` of the successes, texts whole."""
+    return texts.where(F.col("error").isNull()).select(F.col(url_col).alias("url"), "text").dropDuplicates(["url"])
+
+
+def cached_page_texts(pages: DataFrame, cache: DataFrame, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts of ``pages`` (needs ``url``) with hits of ``cache(url, text)`` taken as they are, and
+    the new rows for the cache (S11): only misses are extracted."""
+    known = cache.select(F.col("url").alias("__u"), F.col("text").alias("__hit"))
+    fresh = page_texts(pages.join(known, F.col("url") == F.col("__u"), "left_anti"), max_chars)
+    hits = (pages.select("code", "pos", "url").join(known, F.col("url") == F.col("__u"))
+            .select("code", "pos", "url", truncate(F.col("__hit"), max_chars).alias("text"), F.lit(None).cast("string").alias("error")))
+    return fresh.unionByName(hits), page_cache_rows(fresh)
 
 
 # ---------------------------------------------------------------------------------------
 # address guard
 
+_V4 = r"^(?:::ffff:)?((?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3})$"
 
-def _ip_forbidden(ip: str | None, allow_loopback: bool, allow_private: bool) -> bool:
-    """Address rule of the contract, on one literal address (stdlib ``ipaddress``)."""
-    try:
-        a = ipaddress.ip_address((ip or "").split("%", 1)[0])
-    except ValueError:
-        return True
-    mapped = getattr(a, "ipv4_mapped", None)
-    if mapped is not None:
-        a = mapped
-    if a.is_loopback:
-        return not allow_loopback
-    if a.is_link_local or a.is_multicast or a.is_unspecified or a.is_reserved or (
-        a.version == 4 and a in ipaddress.ip_network("0.0.0.0/8")
-    ):
-        return True
-    if allow_private and a.is_private:
-        return False
-    return not a.is_global or a.is_private
 
+def _v4_number(ip: Column) -> Column:
+    octets = F.split(F.regexp_extract(F.lower(ip), _V4, 1), r"\.")
+    return reduce(lambda x, y: x * 256 + y, [F.get(octets, F.lit(i)).try_cast("long") for i in range(4)])
 
-def ip_forbidden_udf(allow_loopback: bool, allow_private: bool):
-    """Vectorized (Arrow) test over a column of literal addresses; apply to distinct addresses."""
 
-    @F.pandas_udf("boolean")
-    def forbidden(ips: pd.Series) -> pd.Series:
-        return ips.map(lambda x: _ip_forbidden(x, allow_loopback, allow_private)).astype(bool)
+def _v4_in(number: Column, blocks: list[str]) -> Column:
+    nets = [ipaddress.ip_network(b) for b in blocks]
+    return reduce(lambda x, y: x | y, [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets])
 
-    return forbidden
+
+def _v6_kind(ips):
+    """``loopback``, ``never``, ``private``, ``public`` or ``bad`` for IPv6 texts."""
+    rules = [([ipaddress.ip_network(b) for b in blocks], name) for blocks, name in (
+        (L.IPV6_LOOPBACK, "loopback"), (L.IPV6_NEVER, "never"), (L.IPV6_PUBLIC_INSIDE, "public"), (L.IPV6_PRIVATE, "private"))]
+
+    def kind(ip):
+        try:
+            a = ipaddress.IPv6Address((ip or "").partition("%")[0])
+        except ValueError:
+            return "bad"
+        return next((name for nets, name in rules if any(a in n for n in nets)), "public")
+
+    return ips.map(kind)
+
+
+def address_kind(ip: Column) -> Column:
+    """Kind of a literal address: IPv4 (also mapped into IPv6) by integer ranges, IPv6 by a table
+    of networks in an Arrow function; apply to distinct addresses."""
+    n = _v4_number(ip)
+    v4 = (
+        F.when(_v4_in(n, L.IPV4_LOOPBACK), "loopback").when(_v4_in(n, L.IPV4_NEVER + L.IPV4_SHARED), "never")
+        .when(_v4_in(n, L.IPV4_PRIVATE), "private").otherwise("public")
+    )
+    return F.when(F.lower(ip).rlike(_V4), v4).otherwise(F.pandas_udf(_v6_kind, "string")(ip))
+
+
+def address_forbidden(kind: Column, allow_loopback: bool = False, allow_private: bool = False) -> Column:
+    allowed = ["public"] + ["loopback"] * allow_loopback + ["private"] * allow_private
+    return ~F.coalesce(kind, F.lit("bad")).isin(*allowed)
 
 
 _URL_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?"
@@ -155,8 +193,9 @@ def url_guard(
         F.when(hostport.contains(":"), F.regexp_replace(hostport, "^[^:]*:", "")).otherwise(F.lit(""))
     )
     bad_brackets = (netloc.contains("[") != netloc.contains("]")) | (bracketed & ~hostport.rlike(r"^\[[^\]]*\](:.*)?$"))
-    bad_port = (port != "") & (~port.rlike("^[0-9]+$") | (port.try_cast("long") > 65535))
-    literal = host.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") | host.contains(":")
+    digits = F.regexp_replace(port, "^0+", "")
+    bad_port = (port != "") & (~port.rlike("^[0-9]+$") | (F.length(digits) > 5) | F.coalesce(digits.try_cast("long") > 65535, F.lit(False)))
+    literal = host.rlike(_V4) | host.contains(":")
     staged = urls.withColumns({
         "__scheme": scheme, "__host": host, "__literal": literal,
         "__invalid": bad_brackets | bad_port,
@@ -166,7 +205,7 @@ def url_guard(
         .unionByName(host_ips.select(F.lower("host").alias("host"), F.col("ip").cast("string").alias("ip")))
     )
     distinct_ips = addr.select("ip").distinct()
-    verdict = distinct_ips.withColumn("bad", ip_forbidden_udf(allow_loopback, allow_private)(F.col("ip")))
+    verdict = distinct_ips.withColumn("bad", address_forbidden(address_kind(F.col("ip")), allow_loopback, allow_private))
     per_host = (
         addr.join(verdict, "ip").groupBy("host").agg(F.bool_or("bad").alias("__bad_host"))
     )
@@ -211,33 +250,22 @@ def resolve_redirects(
             step = step.withColumn("gr", F.lit(None).cast("string"))
         is_redirect = F.col("st").isin(*L.REDIRECT_STATUSES) & F.col("loc").isNotNull() & (F.col("loc") != "")
         blocked = F.col("gr").isNotNull()
+        # whatever the guard table holds: a hop to another scheme is refused
+        foreign = ~F.col("cur").rlike("(?i)^https?://")
         reason = (
             F.when(blocked & (F.col("hops") == 0), F.col("gr"))
-            .when(blocked, F.lit(L.REDIRECT_FORBIDDEN))
+            .when(blocked | (foreign & (F.col("hops") > 0)), F.lit(L.REDIRECT_FORBIDDEN))
             .when(is_redirect & (F.col("hops") >= max_hops), F.lit(L.REDIRECT_TOO_MANY))
         )
         step = step.withColumn("reason", reason).withColumn("__more", reason.isNull() & is_redirect)
-        step = step.persist()
+        # each round is written once: the next round and the result both read it
+        step = cut_lineage(step)
         done_parts.append(step.where(~F.col("__more")).select(
             "url", F.col("cur").alias("final_url"), "hops", F.col("st").alias("status"), "reason"
         ))
-        front = step.where(F.col("__more")).select("url", _join_url(F.col("cur"), F.col("loc")).alias("cur"),
+        front = step.where(F.col("__more")).select("url", resolve_url(F.col("cur"), F.col("loc")).alias("cur"),
                                                     (F.col("hops") + 1).alias("hops"))
     out = done_parts[0]
     for p in done_parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def _join_url(base: Column, loc: Column) -> Column:
-    """Resolve a Location against the current URL: absolute, scheme-relative, root-relative
-    or path-relative."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    dir_ = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/)", 1)
-    return (
-        F.when(loc.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), loc)
-        .when(loc.startswith("//"), F.concat(scheme, F.lit(":"), loc))
-        .when(loc.startswith("/"), F.concat(origin, loc))
-        .otherwise(F.concat(F.when(dir_ != "", dir_).otherwise(F.concat(origin, F.lit("/"))), loc))
-    )

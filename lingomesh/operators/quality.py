@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from .. import labels as L
+from ..functions.codes import is_valid_code
 from ..functions.text import col_of, is_blank, text_or_empty, trim_ws
 from ..functions.urls import with_normalized_url
 from ..functions.vectors import as_vector, l2_normalize, norm_invalid, sum_squares
@@ -46,7 +47,7 @@ def stripped_url(url: Column | str) -> Column:
 def row_filter_reason(cols: CrawlColumns, filter_indexable: bool) -> Column:
     """Reason a row is dropped before its vector is looked at, NULL when kept (F1)."""
     url = stripped_url(cols.url)
-    chain = F.when(url == "", F.lit(L.DROP_EMPTY_URL))
+    chain = F.when(url == "", F.lit(L.DROP_EMPTY_URL)).when(col_of(cols.code).isNull(), F.lit(L.DROP_NO_CODE))
     if filter_indexable and cols.status is not None:
         num = trim_ws(col_of(cols.status).cast("string")).try_cast("double")
         as_int = num.try_cast("long")
@@ -86,8 +87,8 @@ def _finalize(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = with_normalized_url(rows, "url").select(
         "code", "pos", "url", "vec", "norm_url", F.size("vec").alias("n"), sum_squares("vec").alias("sumsq"),
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    # one row per language code: bounded by the code pattern, never by the data
-    dims = F.broadcast(majority_dim(rows))
+    # one row per code; the planner broadcasts it only while it is measured to be small
+    dims = majority_dim(rows)
     rows = rows.join(dims, "code").withColumn("dim_ok", F.col("n") == F.col("dim")).withColumn("bad_norm", norm_invalid(F.col("sumsq")))
     owners = (
         rows.where(F.col("dim_ok") & ~F.col("bad_norm"))
@@ -194,25 +195,38 @@ def set_metrics(valid: DataFrame, dropped: DataFrame) -> DataFrame:
     )
 
 
-def check_sets(valid: DataFrame, pivot: str | None = None) -> list[str]:
-    """Set validation (A11, A12): problems as messages; empty list means runnable.
+def invalid_codes(rows: DataFrame) -> DataFrame:
+    """Codes of ``rows`` that are no language code (F9), with their rows: ``code, n``; a row without
+    any code counts under NULL."""
+    bad = F.col("code").isNull() | ~is_valid_code("code")
+    return rows.where(bad).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
-    One small aggregate (one row per code) reaches the driver.
+
+def set_problems(valid: DataFrame, dropped: DataFrame | None = None, pivot: str | None = None) -> DataFrame:
+    """Set validation (A11, A12) as a table ``ord, problem``, one row per problem.
+
+    A language whose rows were all dropped counts as a set without valid URLs, which is why the
+    dropped rows belong to the check; rows without a code belong to no set.
     """
-    rows = valid.groupBy("code").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).alias("dmin"), F.max(F.size("vec")).alias("dmax")
-    ).collect()
-    problems: list[str] = []
-    codes = sorted(r["code"] for r in rows)
-    if len(codes) < 2:
-        problems.append("Mindestens zwei Sprachsets mit gültigem Code nötig.")
-    if pivot is not None and pivot not in codes:
-        problems.append(f"Pivot-Sprache '{pivot}' nicht in den Sprachsets.")
-    dims = {r["code"]: r["dmax"] for r in rows if r["n"] > 0}
-    if len(set(dims.values())) > 1 or any(r["dmin"] != r["dmax"] for r in rows):
-        detail = ", ".join(f"{c}: {d}" for c, d in sorted(dims.items()))
-        problems.append(
-            "Die Embedding-Dimensionen unterscheiden sich zwischen den Dateien "
-            f"({detail}). Alle Dateien müssen mit demselben Modell erzeugt sein."
-        )
-    return problems
+    spark = valid.sparkSession
+    sets = valid.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).alias("dmin"), F.max(F.size("vec")).alias("dmax"))
+    if dropped is not None:
+        gone = dropped.where(F.col("code").isNotNull()).select("code").distinct().join(sets.select("code"), "code", "left_anti")
+        none = F.lit(None).cast("int")
+        sets = sets.unionByName(gone.select("code", F.lit(0).cast("long").alias("n"), none.alias("dmin"), none.alias("dmax")))
+    rows = sets.withColumn("ok", is_valid_code("code")).collect()                   # one row per code
+    usable = {r["code"] for r in rows if r["ok"]}
+    filled = [r for r in rows if r["n"]]
+    found = [(0, L.SETS_INVALID_CODE.format(r["code"])) for r in sorted(rows, key=lambda r: r["code"] or "") if not r["ok"]]
+    found += [(1, L.SETS_TOO_FEW)] if len(usable) < 2 else []
+    found += [(2, L.SETS_EMPTY)] if len(filled) < len(rows) else []
+    found += [(3, L.SETS_NO_PIVOT.format(pivot))] if pivot is not None and pivot not in usable else []
+    widths = {d for r in filled for d in (r["dmin"], r["dmax"])}
+    if len(widths) > 1:
+        found.append((4, L.SETS_DIMENSIONS.format(", ".join(f"{r['code']}: {r['dmax']}" for r in sorted(filled, key=lambda r: r["code"])))))
+    return spark.createDataFrame(found, "ord int, problem string")
+
+
+def check_sets(valid: DataFrame, pivot: str | None = None, dropped: DataFrame | None = None) -> list[str]:
+    """The problems of :func:`set_problems` in order; an empty list means runnable."""
+    return [r["problem"] for r in set_problems(valid, dropped, pivot).orderBy("ord").collect()]

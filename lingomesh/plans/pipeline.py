@@ -13,6 +13,9 @@ from ..operators.match import MatchResult, run_matching
 from ..operators.quality import CrawlColumns, build_sets, check_sets
 
 
+FIRST_CODE = "(first code)"       # x-default: the first code of the sets; None turns x-default off
+
+
 @dataclass
 class MatchParams:
     pivot: str
@@ -23,7 +26,7 @@ class MatchParams:
     k: int = L.DEFAULT_K
     filter_indexable: bool = True
     include_review: bool = False
-    x_default: str | None = None
+    x_default: str | None = FIRST_CODE
     code_mode: str | None = None
 
 
@@ -47,14 +50,14 @@ def match_crawl(crawl: DataFrame, cols: CrawlColumns, params: MatchParams, codes
     # valid feeds the slug join, the similarity join, clusters and unmatched rows: write it
     # once, which also cuts the long URL / vector expression plan from every later stage
     valid = cut_lineage(valid)
-    problems = check_sets(valid, params.pivot)
+    problems = check_sets(valid, params.pivot, dropped)
     if problems:
         raise ValueError(" ".join(problems))
     result = run_matching(
         valid, params.pivot, params.threshold, params.band, params.min_margin, params.use_slug, params.k, codes=codes,
     )
     cl = report.clusters(result, valid)
-    x_default = params.x_default if params.x_default is not None else params.pivot
+    x_default = result.codes[0] if params.x_default == FIRST_CODE else params.x_default
     mode = report.export_code_mode(result.codes, params.code_mode)
     return RunOutput(
         valid=valid, dropped=dropped, result=result, clusters=cl,

@@ -13,14 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import labels as L
 from ..session import cut_lineage
 from ..functions.urls import host_and_path, normalize_url, strip_language, with_normalized_url
 from ..functions.vectors import parse_vector_text
 from ..operators import detect, embed, pages, report
 from ..sources.sinks import export_vectors
 from ..operators.match import run_matching, similarity, slug_match, split_sides
-from ..operators.quality import CrawlColumns, build_sets, majority_dim, row_filter, set_metrics
-from ..sources.tables import crawl_view, crawl_view_text, doc_crawl, page_log, table
+from ..operators.quality import CrawlColumns, build_sets, invalid_codes, majority_dim, row_filter, row_filter_reason, set_metrics, set_problems
+from ..sources.delimited import parse_lines
+from ..sources.tables import CSV_NAMES, crawl_csv_lines, crawl_view, crawl_view_text, doc_crawl, page_log, table
 from .oracle_more import SPLIT_PATTERNS
 from .pipeline import MatchParams, match_crawl
 
@@ -92,10 +94,8 @@ def q_language_set_dropped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_majority_dim(spark: SparkSession, sf: str) -> DataFrame:
-    c = crawl_view(spark, sf)
-    valid_rows = row_filter(c, CRAWL_COLS, True).where("reason IS NULL").select("code", "pos")
-    sizes = c.select("code", "pos", F.size("embedding").alias("n")).where("embedding IS NOT NULL AND size(embedding) > 0")
-    dims = majority_dim(valid_rows.join(sizes, ["code", "pos"]))
+    c = crawl_view(spark, sf).where(row_filter_reason(CRAWL_COLS, True).isNull())
+    dims = majority_dim(c.select("code", F.size("embedding").alias("n")).where("n > 0"))
     return dims.select("code", F.col("dim").cast("long").alias("dim"))
 
 
@@ -217,6 +217,57 @@ def q_column_profile(spark: SparkSession, sf: str) -> DataFrame:
     return detect.column_profile(crawl_view_text(spark, sf), "pos")
 
 
+def _csv(spark: SparkSession, sf: str):
+    return parse_lines(crawl_csv_lines(spark, sf), CSV_NAMES, ",")
+
+
+def q_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = _csv(spark, sf)
+    return rows.select("pos", F.col("Address").alias("address"), F.col("Status Code").alias("status"),
+                       F.size(parse_vector_text("Embedding")).cast("double").alias("numbers"), F.col("Title").alias("title"))
+
+
+def q_bad_lines(spark: SparkSession, sf: str) -> DataFrame:
+    _, bad = _csv(spark, sf)
+    return bad.select("pos")
+
+
+def q_crawl_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines → columns → detected columns → language sets."""
+    rows, _ = _csv(spark, sf)
+    found = detect.detect_columns(rows)
+    rows = rows.withColumn("code", F.regexp_extract(F.col(found.url), "^https?://[^/]+/([a-z]+)/", 1))
+    valid, dropped = build_sets(rows, CrawlColumns(url=found.url, embedding=found.embedding, status=found.status))
+    return (valid.select("pos", F.lit("").alias("reason")).unionByName(dropped.select("pos", "reason")))
+
+
+def q_set_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Validation of sets in which one language has no code of the right shape and another has lost
+    all its rows."""
+    c = crawl_view(spark, sf)
+    c = c.withColumn("status", F.when(F.col("code") == "fr", "404").otherwise(F.col("status")))
+    c = c.withColumn("code", F.when(F.col("code") == "es", "spanish").when(F.col("pos") % 50 == 7, F.lit(None)).otherwise(F.col("code")))
+    valid, dropped = build_sets(c, CRAWL_COLS)
+    return set_problems(cut_lineage(valid.select("code", "vec")), dropped, "it").select("problem")
+
+
+def q_invalid_codes(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^./]+)", 1).alias("code"))
+    return invalid_codes(p)
+
+
+def q_page_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs: even pages fill the cache, then all pages read it; new rows of both runs."""
+    p = table(spark, sf, "pages").select(F.lit("x").alias("code"), F.col("page_id").alias("pos"), "url", "html")
+    one = p.groupBy("code", "url").agg(F.min_by(F.struct("pos", "html"), "pos").alias("s")).select("code", "url", "s.pos", "s.html")
+    none = spark.createDataFrame([], "url string, text string")
+    _, first = pages.cached_page_texts(one.where("pos % 2 = 0"), none)
+    first = cut_lineage(first)
+    _, second = pages.cached_page_texts(one, first)
+    rows = first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+    return rows.select("url", "run", F.length("text").cast("long").alias("chars"))
+
+
 DOC_COLS = CrawlColumns(url="url", code="code", pos="pos")
 DOC_TEXT_COLS = ["text", "source"]
 
@@ -231,7 +282,8 @@ def _doc_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_build_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return _doc_texts(spark, sf).select(F.col("pos").alias("doc_id"), "text", "error")
+    cut = embed.texts_for_rows(doc_crawl(spark, sf), DOC_COLS, DOC_TEXT_COLS, max_chars=L.EMBED_MAX_CHARS, filter_indexable=False)
+    return cut.select(F.col("pos").alias("doc_id"), "text", "error")
 
 
 def q_text_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -367,6 +419,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suggest_patterns": q_suggest_patterns,
     "split_by_patterns": q_split_by_patterns,
     "column_profile": q_column_profile,
+    "csv_scan": q_csv_scan,
+    "bad_lines": q_bad_lines,
+    "crawl_from_csv": q_crawl_from_csv,
+    "set_problems": q_set_problems,
+    "invalid_codes": q_invalid_codes,
+    "page_cache": q_page_cache,
     "export_vectors": q_export_vectors,
     "build_texts": q_build_texts,
     "text_stats": q_text_stats,

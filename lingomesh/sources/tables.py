@@ -101,3 +101,24 @@ def page_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url", "html", status.alias("status"), ctype.alias("content_type"),
         F.octet_length("html").cast("long").alias("bytes"), location.alias("location"),
     )
+
+
+CSV_NAMES = ["Address", "Status Code", "Embedding", "Title"]
+
+
+def crawl_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl as lines of a delimited export, ``pos, line``: quoted addresses and vectors,
+    doubled quotes in the title, words for missing values; some lines are short, some have a field
+    too many."""
+    c = crawl_view_text(spark, sf_dir)
+    pos = F.col("pos")
+
+    def quoted(x):
+        return F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    status = F.when(pos % 7 == 3, "N/A").otherwise(F.col("status"))
+    title = F.concat(F.lit('page "'), pos.cast("string"), F.lit('", '), F.col("vec_kind"))
+    short = quoted(F.col("url"))
+    full = F.concat_ws(",", short, status, F.coalesce(quoted(F.col("embedding")), F.lit("NULL")), quoted(title))
+    line = F.when(pos % 17 == 5, short).when(pos % 13 == 6, F.concat(full, F.lit(",more"))).otherwise(full)
+    return c.select("pos", line.alias("line"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lingomesh import labels as L
 from lingomesh.operators import assign, similarity
 from lingomesh.operators.match import run_matching
-from lingomesh.operators.quality import CrawlColumns, build_sets, check_sets
+from lingomesh.operators.quality import CrawlColumns, build_sets, check_sets, invalid_codes
 
 COLS = CrawlColumns(url="url", embedding="emb", status="status", indexability="idx")
 
@@ -203,3 +203,31 @@ def test_unknown_pivot(spark):
     valid = _sets(spark, [("de", 0, "https://x.com/de/a", [1.0, 0.0]), ("fr", 0, "https://x.com/fr/a", [1.0, 0.0])])
     with pytest.raises(ValueError):
         run_matching(valid, "en", codes=["de", "fr"])
+
+
+def test_set_validation_sees_empty_sets_and_codes(spark):
+    rows = [(0, "de", "https://a.de/0", "[1,0]"), (1, "fr", "https://a.fr/0", "[0,1]"), (2, "it", "https://a.it/0", "[0,0]"),
+            (3, "not a code!!", "https://a.xx/0", "[1,1]"), (4, None, "https://a.yy/0", "[1,1]"), (5, "de", "https://a.de/5", "[1,2]")]
+    df = spark.createDataFrame(rows, "pos long, code string, url string, emb string")
+    valid, dropped = build_sets(df, CrawlColumns(url="url", embedding="emb"))
+    assert {r["pos"]: r["reason"] for r in dropped.collect()} == {2: L.DROP_ZERO, 4: L.DROP_NO_CODE}      # no row is lost
+    assert valid.count() == 4
+    problems = check_sets(valid, "en", dropped)
+    assert problems == [L.SETS_INVALID_CODE.format("not a code!!"), L.SETS_EMPTY, L.SETS_NO_PIVOT.format("en")]
+    assert {(r["code"], r["n"]) for r in invalid_codes(df).collect()} == {("not a code!!", 1), (None, 1)}
+
+
+def test_x_default_off_and_first_code(spark):
+    from lingomesh.plans.pipeline import MatchParams, match_crawl
+
+    rows = [(i, c, f"https://a.com/{c}/{i}", v) for i, (c, v) in enumerate([("de", "[1,0]"), ("de", "[0,1]"), ("en", "[1,0.1]"), ("en", "[0.1,1]")])]
+    df = spark.createDataFrame(rows, "pos long, code string, url string, emb string")
+    cols = CrawlColumns(url="url", embedding="emb")
+
+    def tags(x_default):
+        out = match_crawl(df, cols, MatchParams(pivot="en", threshold=0.5, include_review=True, x_default=x_default))
+        return "".join(r["block"] for r in out.html.collect())
+
+    assert "x-default" not in tags(None)
+    default = match_crawl(df, cols, MatchParams(pivot="en", threshold=0.5, include_review=True))
+    assert 'hreflang="x-default" href="https://a.com/de/' in "".join(r["block"] for r in default.html.collect())

@@ -6,6 +6,7 @@ import ipaddress
 import pytest
 from pyspark.sql import functions as F
 
+from lingomesh import labels as L
 from lingomesh.operators import embed, pages
 from lingomesh.operators.quality import CrawlColumns
 
@@ -105,10 +106,70 @@ def test_url_guard_against_stdlib(spark):
     assert got[7] is None and got[9] is None
     assert got[10] == "Host nicht auflösbar"
     assert got[11] == "interne oder lokale Adresse nicht erlaubt"
-    for ip in ["10.0.0.1", "127.0.0.1", "8.8.8.8", "::ffff:10.0.0.1", "100.64.0.1", "0.1.2.3", "fe80::1"]:
+
+
+def test_address_kinds_equal_the_standard_library(spark):
+    import random
+
+    rng = random.Random(1)
+    ips = ["10.0.0.1", "127.0.0.1", "8.8.8.8", "::ffff:10.0.0.1", "100.64.0.1", "0.1.2.3", "fe80::1", "192.0.0.9", "192.0.0.10", "192.0.0.11", "192.0.0.200",
+           "198.19.255.255", "198.20.0.0", "::1", "::", "2606:4700::1", "2001:db8::1", "fc00::1", "fec0::1", "2002::1", "255.255.255.255", "224.0.0.1", "64:ff9b::1"]
+    ips += [".".join(str(rng.choice([0, 10, 100, 127, 169, 172, 192, 198, 203, 224, rng.randrange(256)])) for _ in range(4)) for _ in range(300)]
+    df = spark.createDataFrame([(ip,) for ip in ips], "ip string")
+    kinds = {r["ip"]: r for r in df.select("ip", pages.address_forbidden(pages.address_kind(F.col("ip"))).alias("bad"),
+                                           pages.address_forbidden(pages.address_kind(F.col("ip")), True, True).alias("bad_open")).collect()}
+    for ip in ips:
         a = ipaddress.ip_address(ip)
         a = getattr(a, "ipv4_mapped", None) or a
-        assert pages._ip_forbidden(ip, False, False) == (not a.is_global or a.is_private or a.is_loopback)
+        never = a.is_link_local or a.is_multicast or a.is_unspecified or a.is_reserved or ip.startswith("0.")
+        assert kinds[ip]["bad"] == (a.is_loopback or never or not a.is_global or a.is_private), ip
+        assert kinds[ip]["bad_open"] == (not a.is_loopback and (never or not (a.is_private or a.is_global))), ip
+    odd = spark.createDataFrame([("999.1.1.1",), ("nonsense",), (None,), ("fe80::1%eth0",)], "ip string")
+    assert [r[0] for r in odd.select(pages.address_forbidden(pages.address_kind(F.col("ip")), True, True)).collect()] == [True] * 4
+    urls = spark.createDataFrame([(0, "http://a.b:" + "9" * 23 + "/"), (1, "http://999.1.1.1/"), (2, "http://8.8.8.8:0080/")], "i int, url string")
+    none = spark.createDataFrame([], "host string, ip string")
+    assert {r["i"]: r["guard_reason"] for r in pages.url_guard(urls, "url", none).collect()} == {0: L.GUARD_INVALID, 1: L.GUARD_UNRESOLVED, 2: None}
+
+
+def test_references_resolve_like_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    from lingomesh.functions.urls import resolve_url
+
+    bases = ["https://a.com/b/c?x=1", "https://a.com", "http://a.com/", "https://a.com/b/c/d/"]
+    refs = ["../q", "?p=2", "./z", "d/../e", "/p/../r", "//other.org/x/./y", "https://b.org/z", "#f", "q?y#z", "../../../g", "..", ".", "/", "g;x=1/../y", "", "mailto:x@y"]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "base string, ref string")
+    for row in df.select("base", "ref", resolve_url(F.col("base"), F.col("ref")).alias("got")).collect():
+        want = urljoin(row["base"], row["ref"]) if row["ref"] else row["base"]
+        assert row["got"] == want, (row["base"], row["ref"], row["got"], want)
+
+
+def test_redirects_to_other_schemes_are_refused(spark):
+    log = spark.createDataFrame([("https://a.com/1", 301, "mailto:x@y"), ("https://a.com/2", 301, "ftp://a.com/x")], "url string, status int, location string")
+    got = {r["url"]: r["reason"] for r in pages.resolve_redirects(log.select("url"), log).collect()}
+    assert got == {"https://a.com/1": L.REDIRECT_FORBIDDEN, "https://a.com/2": L.REDIRECT_FORBIDDEN}
+
+
+def test_main_text_cases(spark):
+    cases = {
+        "<body><article><p>one</p></article><nav>x</nav><article><p>two</p></article></body>": "one\ntwo",
+        "<body><main><p>never closed": "never closed",
+        "<body><article><p>&uuml;&#223;&euro; &amp;lt;</p></article></body>": "üß€ &lt;",
+        "<body><article>a<table><tr><td><table><tr><td>in</td></tr></table>REST</td></tr></table>b</article></body>": "a b",
+        "<body><nav>only</nav></body>": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "html string")
+    assert {r["html"]: r["t"] for r in df.select("html", pages.main_text("html").alias("t")).collect()} == cases
+
+
+def test_page_cache_holds_whole_texts(spark):
+    long = "<body><article>" + "word " * 30000 + "</article></body>"
+    df = spark.createDataFrame([("de", 1, "https://a/1", long), ("de", 2, "https://a/2", "<body>x</body>"), ("de", 3, "https://a/3", "")], "code string, pos long, url string, html string")
+    fresh, rows = pages.cached_page_texts(df.where("pos <> 2"), spark.createDataFrame([], "url string, text string"))
+    assert {r["url"]: len(r["text"]) for r in rows.collect()} == {"https://a/1": 149999}
+    both, new = pages.cached_page_texts(df, spark.createDataFrame([("https://a/1", "from the cache")], "url string, text string"))
+    assert {r["pos"]: r["text"] for r in both.collect()} == {1: "from the cache", 2: "x", 3: ""}
+    assert [r["url"] for r in new.collect()] == ["https://a/2"]
 
 
 def test_resolve_redirects(spark):
@@ -124,3 +185,66 @@ def test_resolve_redirects(spark):
     guard = spark.createDataFrame([("https://b.com/x", "interne oder lokale Adresse nicht erlaubt")], "url string, guard_reason string")
     g = {r["url"]: r["reason"] for r in pages.resolve_redirects(starts, log, guard=guard).collect()}
     assert g["https://a.com/1"] == "Weiterleitung zu unzulässiger Adresse"
+
+
+def test_embedding_errors(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "i long, text string")
+    asked = spark.sparkContext.accumulator(0)
+
+    class Refused(Exception):
+        status = 401
+
+    def refuse(texts):
+        asked.add(1)
+        raise Refused("HTTP 401 nein")
+
+    with pytest.raises(embed.FatalEmbeddingError, match="401"):
+        embed.embed_texts(df, "text", refuse, batch_size=4)
+    assert asked.value == 1                                      # the endpoint is asked once
+
+    def later(texts):                                            # fatal, but not in the first batch
+        if "t39" in texts:
+            raise embed.FatalEmbeddingError("HTTP 403 spät")
+        return [[1.0, 2.0]] * len(texts)
+
+    first = sorted((hashlib.sha1(f"||t{i}".encode()).hexdigest(), i) for i in range(40))
+    assert 39 not in [i for _, i in first[:4]]
+    rows = {r["i"]: r for r in embed.embed_texts(df, "text", later, batch_size=4).rows.collect()}
+    assert rows[39]["error"] == "Embedding-Anfrage fehlgeschlagen: HTTP 403 spät" and rows[first[0][1]]["vector"] == [1.0, 2.0]
+
+    def flaky():
+        state = {"n": 0}
+
+        def fn(texts):
+            state["n"] += 1
+            if state["n"] < 3:
+                raise embed.RetryableError("HTTP 429")
+            return [[1.0]] * len(texts)
+        return fn
+
+    assert embed._with_retries(flaky(), [0, 0, 0])(["x"]) == [[1.0]]
+    with pytest.raises(embed.FatalEmbeddingError):
+        embed._with_retries(flaky(), [0])(["x"])
+
+
+def test_cache_table_and_dimension(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a"), (1, "b")], "i long, text string")
+    run = embed.embed_texts(df, "text", embed.sha1_embedder(8), model="m")
+    assert run.dimension() == 8
+    embed.append_cache(str(tmp_path / "cache"), run.new_cache)
+
+    def never(texts):
+        raise AssertionError("all hits")
+
+    again = embed.embed_texts(df, "text", never, model="m", cache=embed.read_cache(spark, str(tmp_path / "cache")))
+    assert [r["vector"] for r in again.rows.orderBy("i").collect()] == [r["vector"] for r in run.rows.orderBy("i").collect()]
+
+
+def test_texts_are_not_cut_by_default(spark):
+    long = "x" * 25000
+    df = spark.createDataFrame([("de", 0, "https://a/0", long + "1"), ("de", 1, "https://a/1", long + "2")], "code string, pos long, url string, body string")
+    cols = CrawlColumns(url="url")
+    texts = embed.texts_for_rows(df, cols, ["body"], filter_indexable=False)
+    assert [len(r["text"]) for r in texts.collect()] == [25001, 25001]
+    assert len({r["key"] for r in embed.embed_texts(texts, "text", embed.sha1_embedder(4)).rows.collect()}) == 2
+    assert {len(r["text"]) for r in embed.texts_for_rows(df, cols, ["body"], L.EMBED_MAX_CHARS, False).collect()} == {20000}
