@@ -1,7 +1,7 @@
 """Document fingerprints: one-permutation MinHash, native DataFrame functions only.
 
-A text's five-word shingles are hashed once (xxhash64).  The hash picks one of ``BINS`` bins
-(low bits) and competes there with its other bits.  An empty bin takes the minimum of a
+A text's five-word shingles are hashed once (xxhash64).  The top bits of the hash pick one of
+``BINS`` bins, where the smallest hash wins.  An empty bin takes the minimum of a
 non-empty one by optimal densification: it walks the bins in a pseudo-random order of its own
 (``offset + step * t``, step odd, so every bin is met) and copies the first that was filled by a
 shingle.  Of each bin only the low ``BITS`` bits are stored (of the minimum hashed with the bin's
@@ -29,57 +29,68 @@ BINS = 256
 BITS = 4
 SHINGLE = 5
 _BIN_BITS = BINS.bit_length() - 1
-#: the walk of each bin: odd multipliers and offsets from a linear congruential rule; the walk is
-#: used backwards (bin → step number), so the inverse multipliers are what is needed
+#: the walk of each bin: odd steps and offsets from congruential rules
 _STEPS = [(1103515245 * (2 * j + 1) + 12345) * 2 + 1 & (BINS - 1) | 1 for j in range(BINS)]
 _OFFSETS = [(1664525 * (j + 7) * (j + 3) + 1013904223 >> 5) & (BINS - 1) for j in range(BINS)]
 _INVERSE = [pow(a, -1, BINS) for a in _STEPS]
+PROBES = 8                # steps of a walk that are looked up one by one
+
+
+def walk(j: int, t: int) -> int:
+    """The bin that the walk of bin ``j`` meets at step ``t``."""
+    return (_OFFSETS[j] + _STEPS[j] * t) % BINS
 
 
 def shingle_hashes(text: Column) -> Column:
     """xxhash64 of every five-word sequence (the whole sequence if it is shorter)."""
     def hashes(words: Column) -> Column:
         n = F.size(words)
-        many = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))),
-                           lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
+        many = F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
         return F.when(n == 0, F.array().cast("array<bigint>")).when(n < SHINGLE, F.array(F.xxhash64(words))).otherwise(many)
 
     return let(F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), ""), hashes)
 
 
-def _turn(h: Column) -> Column:
-    """The hash with its bin moved to the top bits."""
-    return F.shiftrightunsigned(h, _BIN_BITS).bitwiseOR(F.shiftleft(h.bitwiseAND(BINS - 1), 64 - _BIN_BITS))
-
-
-def _bin(turned: Column) -> Column:
-    return F.shiftrightunsigned(turned, 64 - _BIN_BITS).cast("int")
+def _bin(h: Column) -> Column:
+    """The bin of a hash; bins grow with the (signed) hash."""
+    return F.shiftright(h, 64 - _BIN_BITS).cast("int") + BINS // 2
 
 
 def bin_minima(hashes: Column) -> Column:
-    """The smallest turned hash of each non-empty bin: the first of its bin after one sort."""
-    return let(F.sort_array(F.transform(hashes, _turn)), lambda h: F.filter(
-        h, lambda x, i: F.coalesce(_bin(F.get(h, i - 1)) != _bin(x), F.lit(True))))
+    """The smallest hash of each non-empty bin: the first of its bin after one sort."""
+    return let(F.sort_array(hashes), lambda h: F.filter(
+        h, lambda x, i: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(F.get(h, i - 1)), 64 - _BIN_BITS) != 0, F.lit(True))))
 
 
 def pack(minima: Column) -> Column:
-    """One hexadecimal digit per bin: the low bits of its minimum, or of the minimum of the first
-    filled bin of its walk.  Walked backwards: the filled bin with the smallest step number
-    ``(bin - offset) / step mod BINS`` is the first that the walk meets."""
+    """One hexadecimal digit per bin: the low bits of its minimum hashed with the bin's number, or
+    of the minimum of the first filled bin of its walk.  The first steps of a walk are looked up;
+    beyond them the walk is turned round: the filled bin with the smallest step number
+    ``(bin - offset) / step mod BINS`` is the one it meets first."""
     inverse, offset = (F.array(*[F.lit(x) for x in xs]) for xs in (_INVERSE, _OFFSETS))
-    digits = F.lit("0123456789abcdef")
+    steps = [F.array(*[F.lit(walk(j, t)) for j in range(BINS)]) for t in range(PROBES)]
 
-    def body(bins: Column, m: Column) -> Column:
-        def digit(j: Column) -> Column:
+    def body(m: Column, bins: Column) -> Column:
+        def digit(h: Column, j: Column) -> Column:
+            # hashed with the bin: a minimum that fills many bins must not agree by chance in all of them
+            return F.substring(F.lit("0123456789abcdef"), F.xxhash64(h, j).bitwiseAND((1 << BITS) - 1).cast("int") + 1, F.lit(1))
+
+        def place(j: Column) -> Column:
+            looked = [F.nullif(F.array_position(bins, F.get(s, j)), F.lit(0).cast("long")).cast("int") - 1 for s in steps]
             nearest = F.array_min(F.transform(bins, lambda b, i: (
                 (b - F.get(offset, j)) * F.get(inverse, j)).bitwiseAND(BINS - 1) * BINS + i)).bitwiseAND(BINS - 1)
-            # hashed with the bin: a minimum that fills many bins must not agree by chance in all of them
-            return let(F.array_position(bins, j).cast("int"), lambda at: F.substring(
-                digits, F.xxhash64(F.get(m, F.when(at > 0, at - 1).otherwise(nearest)), j).bitwiseAND((1 << BITS) - 1).cast("int") + 1, F.lit(1)))
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), digit), "")
+            return F.coalesce(*looked, nearest)
+
+        def fill(a: Column, b: Column) -> Column:
+            empty = F.transform(F.sequence(a, b), lambda j: digit(F.get(m, place(j)), j))
+            return F.when(a <= b, F.array_join(empty, "")).otherwise(F.lit(""))
+
+        filled = F.transform(m, lambda h, i: F.concat(
+            fill(F.coalesce(F.get(bins, i - 1), F.lit(-1)) + 1, F.get(bins, i) - 1), digit(h, F.get(bins, i))))
+        return F.concat(F.array_join(filled, ""), fill(F.get(bins, F.size(bins) - 1) + 1, F.lit(BINS - 1)))
 
     def packed(m: Column) -> Column:
-        return F.when(F.size(m) == 0, F.lit("-" * BINS)).otherwise(let(F.transform(m, _bin), lambda bins: body(bins, m)))
+        return F.when(F.size(m) == 0, F.lit("-" * BINS)).otherwise(let(F.transform(m, _bin), lambda bins: body(m, bins)))
 
     return let(minima, packed)
 
@@ -90,7 +101,7 @@ def fingerprint(text: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Bias-corrected estimate of the Jaccard similarity, 0 to 1."""
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(BINS)), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))))
+    same = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) & (x != "")), lambda x: x))
     chance = 2.0 ** -BITS
     share = F.greatest((same / F.lit(float(BINS)) - chance) / (1 - chance), F.lit(0.0))
     return F.when(a == b, F.lit(1.0)).when(a.startswith("-") | b.startswith("-"), F.lit(0.0)).otherwise(share)
