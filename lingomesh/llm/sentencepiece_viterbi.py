@@ -62,6 +62,11 @@ class Vocabulary:
         self.unknown_score = min(s for s, _ in self.known.values()) - UNKNOWN_PENALTY
         self.unknown_id = m.unk_id()
         self.marks_lead = not any(MARK in p.lstrip(MARK) for p in self.known)
+        #: characters that some piece joins with another; any other is a boundary on both sides
+        self.joined = {c for p in self.known if len(p) > 1 for c in p} - {MARK}
+        #: what each id decodes to
+        self.decoded = [b"" if s else bytes([b]) if b >= 0 else p.replace(MARK, " ").encode()
+                        for p, s, b in zip(self.pieces, self.special, self.byte_of)]
 
     def bytes_of(self, char: str) -> list[int]:
         if len(self.byte_id) < 256:
@@ -144,11 +149,12 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.memo: dict[str, bytes] = {}                  # word → ids as little-endian 32-bit numbers
+        joined = "".join(map(re.escape, sorted(vocabulary.joined)))
+        self.words = re.compile(f"{MARK}*[{joined}]+|{MARK}+|.", re.S)
 
     def word(self, w: str) -> tuple[int, ...]:
-        """Ids of one word (no word mark inside)."""
+        """Ids of one word (every path has a boundary on both its sides)."""
         if len(w) > LONG:
             s = StreamingViterbi(self.v)
             ids: list[int] = []
@@ -184,27 +190,41 @@ class Codec:
             j = i
         return tuple(reversed(out))
 
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit numbers."""
         if not text:
-            return []
+            return b""
         marked = MARK + text.replace(" ", MARK)
         if not self.v.marks_lead:
             s = StreamingViterbi(self.v)
-            return s.feed(marked) + s.finish()
-        memo, out = self.memo, []
-        for w in self.words.findall(marked):
-            ids = memo.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(w) <= LONG:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[w] = ids
-            out += ids
-        return out
+            return np.array(s.feed(marked) + s.finish(), "<u4").tobytes()
+        words = self.words.findall(marked)
+        found = list(map(self.memo.get, words))
+        if None in found:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            for i, ids in enumerate(found):
+                if ids is None:
+                    w = words[i]
+                    ids = self.memo.get(w)
+                    if ids is None:
+                        ids = np.array(self.word(w), "<u4").tobytes()
+                        if len(w) <= LONG:
+                            self.memo[w] = ids
+                    found[i] = ids
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_parts(ids))
+        """The text of a whole id list; equals the parts of :meth:`decode_parts` joined."""
+        ids = list(ids)
+        raw = b"".join(map(self.v.decoded.__getitem__, ids))
+        first = next((i for i in ids if not self.v.special[i]), None)
+        if first is not None and self.v.pieces[first].startswith(MARK):
+            raw = raw[1:]
+        return raw.decode(errors="replace")
 
     def decode_parts(self, ids: Iterable[int]) -> Iterator[str]:
         """The text in parts, as ids arrive."""
@@ -235,11 +255,11 @@ def _round_trip(path: str, with_ids: bool):
             n, crc, sha, same, all_ids = [], [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                ids = codec.encode(text)
-                packed = np.array(ids, "<u4")
-                back = codec.decode(ids)
-                n.append(len(ids))
-                crc.append(zlib.crc32(packed.tobytes()))
+                raw = codec.encode_packed(text)
+                packed = np.frombuffer(raw, "<u4")
+                back = codec.decode(packed.tolist())
+                n.append(len(packed))
+                crc.append(zlib.crc32(raw))
                 sha.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == text.replace(MARK, " "))
                 if with_ids:
