@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints, html_text, ngram_join, packing, quality_rules, sentencepiece_viterbi, sharding, substring_dedup, toxicity, warc
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op1_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,8 @@ def op6_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.metrics(table(spark, sf_dir, "documents"))
+    # the distances stay in the operator's own result: the same sums in another order differ in the last bit
+    return quality_rules.metrics(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +60,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_sentencepiece_viterbi, op2_fingerprints, op3_warc_zip, op4_counterfactual_toxicity, op5_substring_dedup, op6_template_deduction, op7_quality_rules, op8_min_cost_flow_sharding, op9_pattern_packing, op10_ngram_join,
     )
 }
-ORACLE: dict[str, str] = {}
