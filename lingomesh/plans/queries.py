@@ -235,6 +235,7 @@ def q_bad_lines(spark: SparkSession, sf: str) -> DataFrame:
 def q_crawl_from_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Lines → columns → detected columns → language sets."""
     rows, _ = _csv(spark, sf)
+    rows = cut_lineage(rows)          # read by the detection and by the sets
     found = detect.detect_columns(rows)
     rows = rows.withColumn("code", F.regexp_extract(F.col(found.url), "^https?://[^/]+/([a-z]+)/", 1))
     valid, dropped = build_sets(rows, CrawlColumns(url=found.url, embedding=found.embedding, status=found.status))
