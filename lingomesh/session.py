@@ -4,6 +4,7 @@ checkpoint directory used to cut lineage in iterative operators."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):           # local-cluster has executors of its own
         raise RuntimeError("spark.checkpoint.dir is not set; iterative operators need a shared checkpoint folder")
     path = tempfile.mkdtemp(prefix="lingomesh-ckpt-")
     sc.setCheckpointDir(path)

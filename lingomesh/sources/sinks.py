@@ -22,6 +22,18 @@ def export_vectors(valid: DataFrame, decimals: int = 6) -> DataFrame:
     )
 
 
+BOM = "\ufeff"
+
+
+def _csv(df: DataFrame, writer_mode: str, path: str, partition_by: list[str] | None = None) -> None:
+    """CSV with a header whose first name carries a byte-order mark, as spreadsheet programs expect;
+    the scan takes it off again."""
+    data = [c for c in df.columns if c not in (partition_by or [])]
+    marked = df.withColumnRenamed(data[0], BOM + data[0]) if data else df
+    w = marked.write.mode(writer_mode).option("header", "true").option("encoding", "UTF-8").option("escape", '"')
+    (w.partitionBy(*partition_by) if partition_by else w).csv(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", order: list[str] | None = None,
                 drop: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write a result table (S8); ``order`` columns sort the rows and are then dropped
@@ -29,27 +41,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", order: list[str]
     out = df.orderBy(*order) if order else df
     if drop:
         out = out.drop(*drop)
-    w = out.write.mode(mode)
     if fmt == "csv":
-        w.option("header", "true").option("encoding", "UTF-8").option("escape", '"').csv(path)
+        _csv(out, mode, path)
     else:
-        w.format(fmt).save(path)
+        out.write.mode(mode).format(fmt).save(path)
 
 
 def write_html(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The tag file (S9): blocks in ``(pivot_pos, code_rank)`` order, separated by a blank line."""
-    (
-        blocks.orderBy("pivot_pos", "code_rank").select("block")
-        .write.mode(mode).option("lineSep", "\n\n").text(path)
-    )
+    """The tag file (S9): blocks in ``(pivot_pos, code_rank)`` order with a blank line between two
+    and one line feed at the end (the part files, one after another, are the file)."""
+    order = F.struct("pivot_pos", "code_rank")
+    first = blocks.agg(F.min(order).alias("k")).first()["k"]
+    is_first = (F.col("pivot_pos") == first["pivot_pos"]) & (F.col("code_rank") == first["code_rank"]) if first else F.lit(True)
+    text = F.when(is_first, F.col("block")).otherwise(F.concat(F.lit("\n"), F.col("block")))
+    blocks.orderBy("pivot_pos", "code_rank").select(text.alias("block")).write.mode(mode).text(path)
 
 
 def write_embeddings_csv(valid: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One CSV per language code (``code=<c>`` folders) with ``Address, Embedding``."""
-    (
-        export_vectors(valid).orderBy("code", "pos").drop("pos")
-        .write.mode(mode).partitionBy("code").option("header", "true").option("escape", '"').csv(path)
-    )
+    _csv(export_vectors(valid).orderBy("code", "pos").drop("pos"), mode, path, ["code"])
 
 
 __all__ = ["export_vectors", "write_table", "write_html", "write_embeddings_csv", "L"]

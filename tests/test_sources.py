@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lingomesh.operators import detect
 from lingomesh.operators.quality import CrawlColumns, build_sets
 from lingomesh.sources.delimited import detect_delimiter, read_delimited, read_variants, read_variants_with_problems
-from lingomesh.sources.sinks import export_vectors, write_table
+from lingomesh.sources.sinks import export_vectors, write_embeddings_csv, write_html, write_table
 
 
 def _write(tmp_path, name, data: bytes):
@@ -155,3 +155,23 @@ def test_patterns_of_the_other_engine_are_reported(spark):
     df = spark.createDataFrame([("https://x.com/de/a",)], "url string")
     split, invalid = detect.split_by_patterns(df, "url", [("(?P<l>de)", "fr"), ("/de/", "de")])
     assert invalid == ["(?P<l>de)"] and split.first()["variant"] == "de"
+
+
+def _files(folder):
+    return [p.read_bytes().decode("utf-8") for p in sorted(folder.glob("part-*"))]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", 'say "x", y'), (1, "a", None)], "pos long, Sprache string, URL string")
+    write_table(df, str(tmp_path / "t"), "csv", order=["pos"], drop=["pos"])
+    files = [f for f in _files(tmp_path / "t") if f]
+    assert all(f.startswith("﻿Sprache,URL\n") for f in files)
+    back = read_delimited(spark, str(tmp_path / "t"))
+    assert back.columns == ["Sprache", "URL"] and sorted((r["Sprache"], r["URL"]) for r in back.rows.collect()) == [("a", None), ("b", 'say "x", y')]
+    blocks = spark.createDataFrame([(3, 0, "<x>\n<y>"), (1, 1, "<b>"), (1, 0, "<a>")], "pivot_pos long, code_rank long, block string").repartition(3)
+    write_html(blocks, str(tmp_path / "h"))
+    assert "".join(_files(tmp_path / "h")) == "<a>\n\n<b>\n\n<x>\n<y>\n"
+    write_html(blocks.limit(0), str(tmp_path / "none"))
+    valid = spark.createDataFrame([("de", 0, "https://a.de/", [0.5, -1.0]), ("fr", 1, "https://a.fr/", [1.0, 0.0])], "code string, pos long, url string, vec array<float>")
+    write_embeddings_csv(valid, str(tmp_path / "e"))
+    assert _files(tmp_path / "e" / "code=de") == ['﻿Address,Embedding\nhttps://a.de/,"[0.500000,-1.000000]"\n']
