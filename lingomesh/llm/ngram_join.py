@@ -6,11 +6,11 @@ with the smallest id that links reach from it; copies are not expanded into pair
 
 How:
 
-1. One pass makes, per document, its set size, a 128-bit set signature, a hashed bitmap whose
-   width follows the size, and its *prefix*: the first ``n - ceil(0.8 n) + 1`` shingles in one
-   global order (shingles known to be frequent last, else by hash).  Sets with Jaccard >= 0.8
-   share a prefix shingle in any global order, so no link is lost.
-2. Equal sets collapse to their smallest document.
+1. A first pass makes, per document, its set size and a 128-bit set signature, and finds frequent
+   shingles.  Equal sets collapse to their smallest document.
+2. A second pass makes a hashed bitmap whose width follows the set's size, and the *prefix*: the
+   first ``n - ceil(0.8 n) + 1`` shingles in one global order (frequent shingles last, else by
+   hash).  Sets with Jaccard >= 0.8 share a prefix shingle in any global order, so no link is lost.
 3. Prefix shingles are grouped in Spark.  First every document meets only the smallest document
    of each of its groups (a star, not all pairs); bitmap bit counts bound the overlap from above,
    survivors get an exact sorted-array intersection, links become components.
@@ -35,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEADER_SCHEMA, checkpointed, components, first_of_key, leaders_of
-from .words import U, Block, binary_array, inside_row, int_column, mix, unique_pairs, window_hashes, word_blocks
+from .common import LEADER_SCHEMA, checkpointed, components, first_of_key, leaders_of, packed_texts
+from .words import U, Block, binary_array, inside_row, int_column, mix, text_words, unique_pairs, window_hashes, word_blocks
 
 SHINGLE = 5
 THRESHOLD = 80            # per cent
@@ -65,21 +66,35 @@ def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return unique_pairs(h, row)
 
 
-def _frequent_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in one of ``FREQUENT`` documents of a chunk: whatever is that frequent in the
-    whole table is so in one chunk at least."""
+def signatures(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two order-free 64-bit sums per set."""
+    sums = (np.concatenate(([U(0)], np.cumsum(mix(h ^ U(c)), dtype=np.uint64))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    return tuple((s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First pass: a row ``id, n, sig1, sig2`` per document, and rows ``key, often`` for shingles in
+    one of ``FREQUENT`` documents of a chunk: whatever is that frequent in the whole table is so in
+    one chunk at least."""
+    names = ["id", "n", "sig1", "sig2", "key", "often"]
+
     def flush(parts, docs):
         key, count = np.unique(np.concatenate(parts), return_counts=True)
         many = count >= max(2, docs / FREQUENT)
-        return pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["key", "n"])
+        k, none = int(many.sum()), pa.nulls(int(many.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none] * 4 + [pa.array(key[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names=names)
 
     parts, held, docs = [], 0, 0
     for block in word_blocks(batches, "id", "text", lower=True):
-        h, _ = shingle_sets(block)
+        h, row = shingle_sets(block)
+        n = np.bincount(row, minlength=len(block.ids))
+        sig1, sig2 = signatures(h, np.concatenate(([0], np.cumsum(n))))
+        none = pa.nulls(len(block.ids), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(block.ids, mask=block.null), pa.array(n), pa.array(sig1), pa.array(sig2), none, none], names=names)
         parts.append(h)
         held += len(h)
         docs += len(block.ids)
-        if held >= 1 << 21:
+        if held >= 1 << 20:
             yield flush(parts, docs)
             parts, held, docs = [], 0, 0
     if parts:
@@ -107,8 +122,7 @@ def _sketches(frequent):
             h, row = shingle_sets(block)
             n = np.bincount(row, minlength=len(block.ids))
             starts = np.concatenate(([0], np.cumsum(n)))
-            s1, s2 = (np.concatenate(([U(0)], np.cumsum(mix(h ^ U(c)), dtype=np.uint64))) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            sig1, sig2 = s1[starts[1:]] - s1[starts[:-1]], s2[starts[1:]] - s2[starts[:-1]]
+            sig1, sig2 = signatures(h, starts)
             late = np.isin(h, last, kind="sort") if len(last) else np.zeros(len(h), bool)
             order = np.lexsort((h, late, row))
             rank = np.arange(len(h)) - starts[row]
@@ -119,7 +133,7 @@ def _sketches(frequent):
             for a in range(0, len(block.ids), 4096):
                 b = min(a + 4096, len(block.ids))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(block.ids[a:b], mask=block.null[a:b]), pa.array(n[a:b]), pa.array(sig1[a:b].view(np.int64)), pa.array(sig2[a:b].view(np.int64)),
+                    pa.array(block.ids[a:b], mask=block.null[a:b]), pa.array(n[a:b]), pa.array(sig1[a:b]), pa.array(sig2[a:b]),
                     binary_array(prefix[at[a]:at[b]], at[a:b + 1] - at[a]), pa.array(bits[a:b], pa.binary())],
                     names=["id", "n", "sig1", "sig2", "prefix", "bits"])
     return run
@@ -172,12 +186,17 @@ def _bounded_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in word_blocks(batches, "id", "text", lower=True):
-        h, row = shingle_sets(block)
-        at = np.searchsorted(row, np.arange(len(block.ids) + 1))
-        for a in range(0, len(block.ids), 512):
-            b = min(a + 512, len(block.ids))
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids[a:b]), binary_array(h[at[a]:at[b]], at[a:b + 1] - at[a])], names=["sid", "shingles"])
+    """Sorted shingle hashes of packed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        ids, _ = int_column(batch.column("id"))
+        for lo in range(0, len(ids), 256):
+            sets = []
+            for packed in batch.column("packed")[lo: lo + 256].to_pylist():
+                words = text_words(np.frombuffer(b"" if packed is None else unpack.decompress(packed), np.uint8), lower=True)
+                h, _ = shingle_sets(Block(ids[:1], np.zeros(1, bool), words, np.zeros(len(words), np.int64)))
+                sets.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo: lo + 256]), pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
 
 def _exact_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,13 +271,13 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(rest)
 
 
-def _verify(pairs: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sketch: DataFrame, packed: DataFrame) -> DataFrame:
     """Links among the candidate pairs: bitmap bound, then exact intersection."""
     sa = sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     sb = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     passed = checkpointed(pairs.join(sa, "a").join(sb, "b").mapInArrow(_bounded_pairs, "a long, b long"))
     need = passed.select(F.col("a").alias("id")).unionByName(passed.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(need, "id", "left_semi").mapInArrow(_set_rows, "sid long, shingles binary")
+    sets = packed.join(need, "id", "left_semi").mapInArrow(_set_rows, "sid long, shingles binary")
     both = (passed.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b"))
     return checkpointed(both.mapInArrow(_exact_pairs, "a long, b long").distinct())
@@ -300,15 +319,15 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_docs = texts.count()
-    often = (texts.mapInArrow(_frequent_in_chunks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-             .where(F.col("n") >= max(2, n_docs / FREQUENT)))
+    survey = checkpointed(texts.mapInArrow(_survey, "id long, n long, sig1 long, sig2 long, key long, often long"))
+    often = survey.where("key IS NOT NULL").groupBy("key").agg(F.sum("often").alias("often")).where(F.col("often") >= max(2, n_docs / FREQUENT))
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(np.uint64)))
-    rows = checkpointed(texts.mapInArrow(_sketches(frequent), "id long, n long, sig1 long, sig2 long, prefix binary, bits binary"))
+    rows = survey.where("key IS NULL").select("id", "n", "sig1", "sig2")
     reps = checkpointed(rows.where("id IS NOT NULL AND n > 0").groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep")))
-    sketch = (rows.join(reps.withColumnRenamed("rep", "id"), ["id", "n", "sig1", "sig2"])
-              .dropDuplicates(["id", "n", "sig1", "sig2"]).select("id", "n", "prefix", "bits"))
-    sketch = checkpointed(sketch)
-    known = texts.where("id IS NOT NULL")
+    sketch = texts.where("id IS NOT NULL").mapInArrow(_sketches(frequent), "id long, n long, sig1 long, sig2 long, prefix binary, bits binary")
+    sketch = checkpointed(sketch.join(reps.withColumnRenamed("rep", "id"), ["id", "n", "sig1", "sig2"])
+                          .dropDuplicates(["id", "n", "sig1", "sig2"]).select("id", "n", "prefix", "bits"))
+    known = packed_texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     shared = checkpointed(first_of_key(sketch.select("id", "prefix").mapInArrow(_prefix_rows, LEADER_SCHEMA)).where("shared").select("key", "doc", "lead", "first"))
     star = (shared.select(F.col("doc").alias("b"), F.when(F.col("lead") < F.col("doc"), F.col("lead")).otherwise(F.col("first")).alias("a"))
             .where("a < b").distinct())

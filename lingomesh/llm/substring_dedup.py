@@ -28,13 +28,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEADER_SCHEMA, checkpointed, first_of_key, leaders_of
+from .common import LEADER_SCHEMA, checkpointed, first_of_key, leaders_of, packed_texts
 from .words import Block, inside_row, int_column, text_words, unique_pairs, window_hashes, word_blocks
 
 SIZE = 13
@@ -66,13 +66,6 @@ def _anchor_rows(size: int):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        packed = [None if t is None else pack.compress(t.encode()) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "packed"])
-
-
 def _bytes(packed: bytes | None, unpack: zstandard.ZstdDecompressor) -> bytes:
     return b"" if packed is None else unpack.decompress(packed)
 
@@ -139,10 +132,6 @@ def _kept(size: int, with_text: bool):
     return run
 
 
-def _packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack, "id long, packed binary")
-
-
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """``id, copy, keys``: for each document that loses words, whether it is an exact copy of a
     text with a smaller id, else the hashes of the windows to remove."""
@@ -156,7 +145,7 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = first_of_key(rows).where("shared").groupBy("doc").agg(F.collect_list("key").alias("keys"))
     # windows of a copy need no row of their own: its original has them under a smaller id
     shared = shared.join(copies.withColumnRenamed("id", "doc"), "doc", "left_anti")
-    suspects = _packed_texts(docs, id_col, text_col).join(shared, F.col("id") == F.col("doc")).select("id", "packed", "keys")
+    suspects = packed_texts(docs, id_col, text_col).join(shared, F.col("id") == F.col("doc")).select("id", "packed", "keys")
     windows = suspects.mapInArrow(_window_rows(size), LEADER_SCHEMA)
     again = first_of_key(windows).where("lead < doc OR first < doc").groupBy("doc").agg(F.collect_set("key").alias("keys"))
     found = again.select(F.col("doc").alias("id"), F.lit(False).alias("copy"), "keys")
@@ -168,7 +157,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """Per row: id, ``n_words, n_removed, kept_sha256`` (and ``kept``, the kept words joined by
     one space where any word was removed, else null)."""
     gone = removed_windows(docs, id_col, text_col, size).select(F.col("id").alias("gid"), "copy", "keys")
-    joined = _packed_texts(docs, id_col, text_col).join(gone, F.col("id") == F.col("gid"), "left").drop("gid")
+    joined = packed_texts(docs, id_col, text_col).join(gone, F.col("id") == F.col("gid"), "left").drop("gid")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     return joined.mapInArrow(_kept(size, with_text), schema).withColumnRenamed("id", id_col)
 
@@ -178,30 +167,36 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     loses no word stays as it is, white space included; a row whose words are all removed goes,
     and so does nothing else."""
     gone = removed_windows(docs, id_col, text_col, size).select(F.col("id").alias("__gid"), F.col("copy").alias("__copy"), F.col("keys").alias("__keys"))
-    cols = docs.columns
-    hit = docs.join(gone, F.col(id_col).cast("long") == F.col("__gid"), "left")
-    cut = F.pandas_udf(_cut_series(size), "string")
-    text = F.when(F.col("__gid").isNull(), F.col(text_col)).otherwise(
-        cut(F.coalesce(text_col, F.lit("")), F.coalesce("__copy", F.lit(False)), F.coalesce("__keys", F.array().cast("array<bigint>"))))
-    out = hit.withColumn(text_col, text).where(F.col("__gid").isNull() | (F.length(text_col) > 0))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("__gid").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*cols)
-
-
-def _cut_series(size: int):
-    def cut(text, copy, keys):
-        out = []
-        for t, c, k in zip(text, copy, keys):
-            raw = t.encode()
-            words = raw.split()
-            if c and len(words) >= size:
-                out.append("")
-                continue
-            hashes = np.asarray(k, dtype=np.int64).view(np.uint64)
-            h = window_hashes(text_words(np.frombuffer(raw, np.uint8)), size)
-            gone = _intervals(np.flatnonzero(np.isin(h, hashes)), size, len(words))
-            out.append(b" ".join([w for w, g in zip(words, gone) if not g]).decode() if gone.any() else t)
-        return pd.Series(out, dtype=object)
-
-    return cut
+    hit = docs.join(gone, F.col(id_col).cast("long") == F.col("__gid"), "left").select(*docs.columns, "__gid", "__copy", "__keys")
+    return hit.mapInArrow(_cut_rows(size, docs.columns, text_col), docs.schema)
+
+
+def _cut_rows(size: int, columns: list[str], text_col: str):
+    """Rows without the words to remove; ``n_chars``, where there is one, follows."""
+    def left_of(text: str | None, copy: bool, keys: np.ndarray) -> str:
+        raw = (text or "").encode()
+        words = raw.split()
+        if copy and len(words) >= size:
+            return ""
+        h = window_hashes(text_words(np.frombuffer(raw, np.uint8)), size)
+        gone = _intervals(np.flatnonzero(np.isin(h, keys)), size, len(words))
+        return b" ".join([w for w, g in zip(words, gone) if not g]).decode() if gone.any() else text or ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {c: batch.column(i) for i, c in enumerate(columns)}
+            mask = pc.is_valid(batch.column("__gid"))
+            hit = batch.filter(mask)
+            if hit.num_rows:
+                new = [left_of(t, bool(c), k) for t, c, k in zip(
+                    hit.column(columns.index(text_col)).to_pylist(), hit.column("__copy").to_pylist(), _hash_sets(hit, "__keys"))]
+                out[text_col] = pc.replace_with_mask(out[text_col], mask, pa.array(new, out[text_col].type))
+                if "n_chars" in out:
+                    out["n_chars"] = pc.replace_with_mask(out["n_chars"], mask, pa.array([len(t) for t in new]).cast(out["n_chars"].type))
+                keep = np.ones(batch.num_rows, bool)
+                keep[np.flatnonzero(mask.to_numpy(zero_copy_only=False))] = [bool(t) for t in new]
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=columns).filter(pa.array(keep))
+            else:
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=columns)
+
+    return run

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240917))
 BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
