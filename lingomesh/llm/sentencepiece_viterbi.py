@@ -23,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 1 << 19
+MEMO = 1 << 20          # words; about 170 bytes each
 LONG = 48                 # longer words are streamed and not kept in the memo
 
 
@@ -248,9 +249,15 @@ class Codec:
             yield held.decode(errors="replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One codec per worker process: its memo serves all tasks that the worker runs."""
+    return Codec(Vocabulary(path))
+
+
 def _round_trip(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(path))
+        codec = codec_of(path)
         for batch in batches:
             n, crc, sha, same, all_ids = [], [], [], [], []
             for text in batch.column("text"):
@@ -286,7 +293,7 @@ def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model
     path = model or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(path))
+        codec = codec_of(path)
         for batch in batches:
             texts = [None if x is None else codec.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
