@@ -102,11 +102,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmaps(h: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """Per row a bitmap of the power of two of bits that is at least twice the set's size."""
+    """Per row a bitmap of the power of two of bits that is at least four times the set's size."""
     n = np.diff(starts)
-    width = 1 << np.ceil(np.log2(np.clip(2 * n, 64, 1 << 16))).astype(np.int64)
+    width = 1 << np.ceil(np.log2(np.clip(4 * n, 64, 1 << 17))).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
-    at = (h & (U(1 << 16) - U(1))).astype(np.int64) & (width[row] - 1)
+    at = (h & (U(1 << 18) - U(1))).astype(np.int64) & (width[row] - 1)
     first = np.concatenate(([0], np.cumsum(width)))
     bits = np.zeros(int(first[-1]), np.uint8)
     bits[first[row] + at] = 1
@@ -207,68 +207,102 @@ def _exact_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _compare(tile: np.ndarray, ids, n, comp, left, right, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs inside runs of equal tile number: rows ``d`` apart are compared for all
-    tiles at once, for d = 1, 2, … up to the longest run."""
-    width = np.array([len(r) for r in rows], np.int64)
-    place = np.zeros(len(rows), np.int64)
-    by_width = {}
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        place[at] = np.arange(len(at))
-        by_width[int(w)] = np.stack([rows[i] for i in at])
+def _compare(tile, src, n, comp, left, right, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs that share a tile, are in different components and pass the bound.
+
+    ``tile`` (sorted) and ``src`` say which row stands in which tile; entries ``d`` apart are
+    paired for all tiles at once, for d = 1, 2, … up to the longest tile.  A pair that shares many
+    tiles is looked at once.
+    """
     end = np.searchsorted(tile, tile, "right")
-    out_a, out_b = [], []
-    i = np.arange(len(rows))
-    d = 1
+    size = len(rows)
+    found = np.zeros(0, np.int64)
+    waiting: list[np.ndarray] = []
+    i, d = np.arange(len(tile)), 1
     while True:
         i = i[end[i] - i > d]
         if not i.size:
             break
         j = i + d
-        lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = ((left[i] & right[j]) | (right[i] & left[j])) & (comp[i] != comp[j]) & (100 * lo >= THRESHOLD * hi)
-        x, y = i[ok], j[ok]
+        x, y = src[i], src[j]
+        lo, hi = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        ok = ((left[i] & right[j]) | (right[i] & left[j])) & (comp[x] != comp[y]) & (100 * lo >= THRESHOLD * hi)
+        waiting.append(np.minimum(x[ok], y[ok]) * size + np.maximum(x[ok], y[ok]))
+        if sum(map(len, waiting)) > 1 << 20:
+            found, waiting = np.unique(np.concatenate([found, *waiting])), []
+        d += 1
+    found = np.unique(np.concatenate([found, *waiting]))
+    width = np.array([len(r) for r in rows], np.int64)
+    out = []
+    for k in range(0, len(found), 1 << 13):
+        x, y = np.divmod(found[k: k + (1 << 13)], size)
         for u, v in set(zip(width[x].tolist(), width[y].tolist())):
             both = (width[x] == u) & (width[y] == v)
             p, q, w = x[both], y[both], min(u, v)
-            for s in range(0, len(p), 1 << 14):
-                pp, qq = p[s: s + (1 << 14)], q[s: s + (1 << 14)]
-                hit = may_link(n[pp], n[qq], _fold(by_width[u][place[pp]], w), _fold(by_width[v][place[qq]], w))
-                out_a.append(np.minimum(ids[pp[hit]], ids[qq[hit]]))
-                out_b.append(np.maximum(ids[pp[hit]], ids[qq[hit]]))
-        d += 1
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+            hit = may_link(n[p], n[q], _fold(np.stack([rows[r] for r in p]), w), _fold(np.stack([rows[r] for r in q]), w))
+            out.append(np.stack([p[hit], q[hit]]))
+    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one tile that are in different components and pass the bound.  Rows come
-    sorted by tile; the last tile of a batch waits for the next batch."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that never cut a run of equal values of the columns."""
     rest: pa.Table | None = None
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        at = [t.column(c).to_numpy() for c in ("key", "tb", "i", "j")]
-        new = np.ones(t.num_rows, bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in at])
-        x, y = _compare(np.cumsum(new), *(t.column(c).to_numpy() for c in ("id", "n", "comp", "left", "right")), _words64(t.column("bits")))
-        key = np.unique(np.stack([x, y], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key[:, 0], pa.int64()), pa.array(key[:, 1], pa.int64())], names=["a", "b"])
-
     for batch in batches:
         t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
         if not t.num_rows:
             continue
         last = np.ones(t.num_rows, bool)
-        for c in ("key", "tb", "i", "j"):
+        for c in columns:
             v = t.column(c).to_numpy()
             last &= v == v[-1]
         cut = t.num_rows - int(last.sum())
         if cut:
-            yield pairs(t.slice(0, cut))
+            yield t.slice(0, cut)
         rest = t.slice(cut)
     if rest is not None and rest.num_rows:
-        yield pairs(rest)
+        yield rest
+
+
+def _numbers(t: pa.Table, columns: list[str]) -> np.ndarray:
+    """0, 1, 2, … for the runs of equal values of the columns."""
+    new = np.zeros(t.num_rows, bool)
+    for c in columns:
+        v = t.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def _named(t: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    ids = t.column("id").to_numpy()
+    pairs = np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1)
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+
+
+def _small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``first, id, n, comp, bits, keys`` sorted by ``first``: the tiles are the keys."""
+    for t in _runs(batches, ["first"]):
+        lists = t.column("keys").combine_chunks()
+        count = np.diff(lists.offsets.to_numpy())
+        key = lists.flatten().to_numpy(zero_copy_only=False)
+        src = np.repeat(np.arange(t.num_rows), count)
+        run = _numbers(t, ["first"])[src]
+        order = np.lexsort((src, key, run))
+        key, src, run = key[order], src[order], run[order]
+        new = np.zeros(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+        yes = np.ones(len(key), bool)
+        yield _named(t, *_compare(np.cumsum(new), src, t.column("n").to_numpy(), t.column("comp").to_numpy(), yes, yes, _words64(t.column("bits"))))
+
+
+def _large_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles ``key, tb, i, j``, sorted by tile."""
+    where = ["key", "tb", "i", "j"]
+    for t in _runs(batches, where):
+        left, right = (t.column(c).to_numpy() for c in ("left", "right"))
+        yield _named(t, *_compare(_numbers(t, where), np.arange(t.num_rows), t.column("n").to_numpy(), t.column("comp").to_numpy(), left, right,
+                                  _words64(t.column("bits"))))
 
 
 def _verify(pairs: DataFrame, sketch: DataFrame, packed: DataFrame) -> DataFrame:
@@ -291,26 +325,33 @@ def _residual_pairs(shared: DataFrame, comp: DataFrame, sketch: DataFrame) -> Da
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"),
                                      F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("s")).where("c1 < c2")
     # shingles of one passage have the same members: one of them stands for all
-    groups = groups.groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
-    rows = rows.join(groups, "key").join(sketch.select("id", "n", "bits"), "id")
+    groups = groups.groupBy("m", "x", "s").agg(F.min("key").alias("key"), F.min("c1").alias("first")).select(
+        "key", "first", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
+    rows = checkpointed(rows.join(groups, "key"))
+    bits = sketch.select("id", "n", "bits")
+    # small groups that begin with the same component mostly hold the same documents: they are looked
+    # at together, each document once with the keys it has there
+    small = rows.where("k = 1").groupBy("first", "id").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("keys")).join(bits, "id")
+    small = small.select("first", "id", "n", "comp", "bits", "keys").repartition("first").sortWithinPartitions("first")
+    found = small.mapInArrow(_small_groups, "a long, b long")
+    rows = rows.where("k > 1").join(bits, "id")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.lit(BAND)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
 
     def role(band, i, j, left, right):
         return F.struct(band.alias("tb"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
 
-    # a group of up to TILE rows is one tile.  Of a larger one, tile (band, i, j) compares block i of
-    # the band with block j of the same band (i <= j) and of the next band (any i, j)
+    # of a group of more than TILE rows, tile (band, i, j) compares block i of the band with block j of
+    # the same band (i <= j) and of the next one (any i, j)
     others = F.sequence(F.lit(0), F.col("k") - 1)
     band, block, yes, no = F.col("band"), F.col("block"), F.lit(True), F.lit(False)
-    whole = F.array(role(F.lit(-1), F.lit(0), F.lit(0), yes, yes))
     split = F.concat(
         F.transform(others, lambda j: role(band, block, j, yes, j == block)),
         F.filter(F.transform(others, lambda i: role(band, i, block, no, yes)), lambda t: t["i"] < t["j"]),
         F.transform(others, lambda i: role(band - 1, i, block, no, yes)))
-    dealt = rows.select("key", "id", "n", "comp", "bits", F.explode(F.when(F.col("k") == 1, whole).otherwise(split)).alias("t"))
+    dealt = rows.select("key", "id", "n", "comp", "bits", F.explode(split).alias("t"))
     dealt = dealt.select("key", "id", "n", "comp", "bits", "t.tb", "t.i", "t.j", "t.left", "t.right")
     dealt = dealt.repartition("key", "tb", "i", "j").sortWithinPartitions("key", "tb", "i", "j")
-    return dealt.mapInArrow(_tiles, "a long, b long").where("a < b").distinct()
+    return found.unionByName(dealt.mapInArrow(_large_groups, "a long, b long")).where("a < b").distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
