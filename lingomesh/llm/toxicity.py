@@ -26,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,13 +226,14 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """The documents, all columns kept, that are not predicted toxic (a row is judged by its own
     text, so repeated and null ids do no harm)."""
     known, weights, bias = train(docs, labels, id_col, text_col, label_col)
+    place = docs.columns.index(text_col)
 
-    def toxic(texts):
-        out = []
-        one = pa.RecordBatch.from_arrays([pa.array(texts.tolist(), pa.string()), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.bool_())],
-                                         names=["text", "id", "held_out"])
-        for batch in _score(known, weights, bias)(iter([one])):
-            out += batch.column("score").to_pylist()
-        return pd.Series(out, dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _score(known, weights, bias)
+        for batch in batches:
+            n = batch.num_rows
+            texts = pa.RecordBatch.from_arrays([batch.column(place), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=["text", "id", "held_out"])
+            scores = [x.column("score").to_numpy() for x in judge(iter([texts]))]
+            yield batch.filter(pa.array(np.concatenate(scores) < 0.5)) if scores else batch
 
-    return docs.where(F.pandas_udf(toxic, "double")(F.coalesce(F.col(text_col), F.lit(""))) < 0.5)
+    return docs.mapInArrow(run, docs.schema)
