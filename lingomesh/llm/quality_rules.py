@@ -106,8 +106,14 @@ def common_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return top.select("lang", F.transform("t", lambda x: x["word"]).alias("common"), F.transform("t", lambda x: x["n"]).alias("common_counts"))
 
 
-def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: id, base counts, ``base_failed``, the two distances and ``kept``."""
+def _row_key(text_col: str, lang_col: str) -> list[Column]:
+    """128 bits of what a row is judged by."""
+    both = [F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col).cast("string"), F.lit(""))]
+    return [F.xxhash64(*both).alias("__h1"), F.xxhash64(*both[::-1]).alias("__h2")]
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """The columns of ``metrics`` and those of ``_row_key``."""
     d = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     total = d.count()
@@ -115,6 +121,7 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     lists = checkpointed(common_words(d, "text", "lang").join(enough, "lang").select("lang", "common"))      # <= 1000 rows
     counted = base_counts(d).join(F.broadcast(lists), "lang", "left").select(
         id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__chars", *class_counts("text"), "common",
+        *_row_key("text", "lang"),
         F.when(F.col("common").isNotNull(), F.array_join(F.transform("__words", lambda w: F.substring(
             F.lit("." + _CODES), (F.array_position("common", w) + 1).cast("int"), F.lit(1))), "")).alias("__codes"))
     rare = [F.col(f"__c_{k}") for k in CLASSES]
@@ -122,7 +129,7 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     other = F.greatest(F.col("word_chars") - sum(rare[1:], rare[0]), F.lit(0).cast("long"))
     code_n = [(F.length("__codes") - F.length(F.replace("__codes", F.lit(c)))).cast("long") for c in "." + _CODES]
     rows = checkpointed(counted.select(
-        id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__h1", "__h2",
         F.array(*rare, space, other).alias("chars"),
         F.when(F.col("common").isNotNull(), F.array(*code_n)).alias("commons")))
     width, height = len(CLASSES) + 2, COMMON + 1
@@ -137,11 +144,19 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         .withColumn("word_distance", F.when(guard, distance(_shares(F.col("commons")), F.col("ref_commons"))))
     far = F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         failed.alias("base_failed"), (~failed & ~far).alias("kept"), "char_distance", "word_distance")
+                         failed.alias("base_failed"), (~failed & ~far).alias("kept"), "char_distance", "word_distance", "__h1", "__h2")
+
+
+def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Per row: id, base counts, ``base_failed``, the two distances and ``kept``."""
+    return _judged(docs, id_col, text_col, lang_col).drop("__h1", "__h2")
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents, all columns kept, that pass.  Rows with a null id are judged too, but as
-    they cannot be found again by id they go if any row without id fails."""
-    verdict = metrics(docs, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(verdict, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents, all columns kept, that pass.  A failed row is found again by its id and the
+    hashes of its text and language, so rows that share an id or have none do not go with it."""
+    gone = _judged(docs, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), "__h1", "__h2").distinct()
+    h1, h2 = _row_key(text_col, lang_col)
+    rows = docs.withColumns({"__g1": h1, "__g2": h2})
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__g1") == F.col("__h1")) & (F.col("__g2") == F.col("__h2"))
+    return rows.join(gone, same, "left_anti").select(*docs.columns)

@@ -146,6 +146,16 @@ def test_quality_divergence(spark):
     assert ids == {i for i, r in kept.items() if r["kept"]}
 
 
+def test_quality_accepted_judges_rows(spark):
+    """A failing row takes neither the clean rows of its id nor, without an id, all rows without one."""
+    clean = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    rows = [(1, clean[0], "en"), (1, "too short", "en"), (None, clean[1], "en"), (None, "", "en"), (None, None, None), (2, clean[2], "en"), (2, clean[2], "en"), (3, "x", "en")]
+    rows += [(None, clean[3], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = [(i, t, g) for i, t, g in rows if t in clean]
+    assert sorted(map(tuple, quality_rules.accepted(df).collect()), key=repr) == sorted(want, key=repr)
+
+
 def xx64(words_):
     import xxhash
 
