@@ -146,6 +146,26 @@ def test_quality_divergence(spark):
     assert ids == {i for i, r in kept.items() if r["kept"]}
 
 
+def test_quality_wrong_language(spark):
+    """Against a reference of natural word shares (the 16 most frequent words make a fifth of all) a
+    text of another language or of invented words goes, whatever its length."""
+    rng = random.Random(4)
+    lists = {g: [f"{g}{''.join(rng.choice('abcdefghij') for _ in range(1 + k % 7))}{'qrstuvw'[k % 7]}" for k in range(3000)] for g in "lmn"}
+    shares = [1 / (k + 12) for k in range(3000)]
+
+    def text(g, n):
+        return " ".join(rng.choices(lists[g], shares, k=n))
+
+    rows = [(i, text("l" if i % 2 else "m", rng.randrange(60, 400)), "l" if i % 2 else "m") for i in range(400)]
+    odd = [(1000 + i, text("m", n), "l") for i, n in enumerate((60, 200, 1500))] + [(1010 + i, text("n", n), "m") for i, n in enumerate((60, 200, 1500))]
+    kept = {r["doc_id"]: r for r in quality_rules.metrics(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert sum(kept[i]["kept"] for i in range(400)) >= 396
+    assert not any(kept[i]["kept"] for i, *_ in odd) and min(kept[i]["common_distance"] for i, *_ in odd) > quality_rules.MAX_COMMON_DISTANCE
+    assert max(kept[i]["word_distance"] for i, *_ in odd) < quality_rules.MAX_WORD_DISTANCE
+    ids = {r["doc_id"] for r in quality_rules.accepted(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()}
+    assert ids == {i for i, r in kept.items() if r["kept"]}
+
+
 def test_quality_accepted_judges_rows(spark):
     """A failing row takes neither the clean rows of its id nor, without an id, all rows without one."""
     clean = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
