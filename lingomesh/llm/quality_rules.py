@@ -19,9 +19,10 @@ no distance is given.
 
 Scale: one pass over the texts counts words per language (map-side combine; the top list uses a
 window group limit, so a language that holds most rows sends ``COMMON`` rows per task), one pass
-makes the counts, small rows per document meet the references.  A language gets a reference only
-if it holds a thousandth of all documents at least, so there are at most 1000 references, each
-of ``COMMON`` words: that bounds what is broadcast, whatever the data size.
+makes the counts, small rows per document meet the references.  Every language of ``MIN_DOCS``
+documents has a reference.  Those that hold a thousandth of all documents or more, at most 1000,
+are broadcast; the rows of all others meet theirs in a shuffle by language, where none is hot, as
+each holds less than a thousandth.
 
 Edge cases: null or empty text has no words and fails the base rule; a null language is a
 language of its own; equal lines and windows count each time; a doc_id may repeat or be null
@@ -43,6 +44,7 @@ MAX_WORD_DISTANCE = 0.42
 WIDE = 300
 MAX_COMMON_DISTANCE = 0.35
 LEAST_EXPECTED = 15
+HOT_LANGS = 1000          # a language with one of so many documents is broadcast
 BUCKETS = 512             # of the wide list by word hash, so that a look-up meets a word or two
 SYMBOLS = r"[#*$%&|<>]"
 #: rarer character classes, counted by pattern; white space and "other" (letters) follow from the rest
@@ -156,33 +158,44 @@ def _median_share(rows: DataFrame) -> DataFrame:
     return upto.where(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg((F.min("share") / 1000).alias("ref_wide"))
 
 
+def _by_lang(rows: DataFrame, side: DataFrame, rare_langs: bool) -> DataFrame:
+    """Left join on ``lang``: languages marked ``hot`` by broadcast, the others, if any, by shuffle."""
+    hot = side.where("hot").drop("hot")                                                                              # <= HOT_LANGS rows
+    if not rare_langs:
+        return rows.join(F.broadcast(hot), "lang", "left")
+    rest = rows.join(F.broadcast(hot.select("lang")), "lang", "left_anti")
+    return rows.join(F.broadcast(hot), "lang").unionByName(rest.join(side.where(~F.col("hot")).drop("hot").hint("merge"), "lang", "left"))
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """The columns of ``metrics`` and those of ``_row_key``."""
     d = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     total = d.count()
-    enough = sizes.where((F.col("n_docs") >= MIN_DOCS) & (F.col("n_docs") * 1000 >= total))
-    lists = checkpointed(common_words(d, "text", "lang").join(enough, "lang").select("lang", "common", "wide"))      # <= 1000 rows
-    counted = base_counts(d).join(F.broadcast(lists), "lang", "left").select(
+    enough = sizes.where(F.col("n_docs") >= MIN_DOCS).select("lang", (F.col("n_docs") * HOT_LANGS >= total).alias("hot"))
+    lists = checkpointed(common_words(d, "text", "lang").join(enough, "lang").select("lang", "hot", "common", "wide"))
+    rare_langs = lists.where(~F.col("hot")).limit(1).count() > 0
+    counted = _by_lang(base_counts(d), lists, rare_langs).select(
         id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__chars", *class_counts("text"), "common",
         *_row_key("text", "lang"),
         F.when(F.col("common").isNotNull(), F.array_join(F.transform("__words", lambda w: F.substring(
             F.lit("." + _CODES), (F.array_position("common", w) + 1).cast("int"), F.lit(1))), "")).alias("__codes"),
         F.when(F.col("common").isNotNull(), F.size(F.filter("__words", lambda w: F.array_contains(F.get("wide", _bucket(w)), w)))).cast("long").alias("n_wide"))
-    rare = [F.col(f"__c_{k}") for k in CLASSES]
+    classes = [F.col(f"__c_{k}") for k in CLASSES]
     space = F.col("__chars") - F.col("word_chars")
-    other = F.greatest(F.col("word_chars") - sum(rare[1:], rare[0]), F.lit(0).cast("long"))
+    other = F.greatest(F.col("word_chars") - sum(classes[1:], classes[0]), F.lit(0).cast("long"))
     code_n = [(F.length("__codes") - F.length(F.replace("__codes", F.lit(c)))).cast("long") for c in "." + _CODES]
     rows = checkpointed(counted.select(
         id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__h1", "__h2",
-        F.array(*rare, space, other).alias("chars"),
+        F.array(*classes, space, other).alias("chars"),
         F.when(F.col("common").isNotNull(), F.array(*code_n)).alias("commons"), "n_wide"))
     width, height = len(CLASSES) + 2, COMMON + 1
     refs = rows.where("commons IS NOT NULL").groupBy("lang").agg(
         F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(width)]).alias("ref_chars"),
         F.array(*[F.sum(F.get("commons", F.lit(i))) for i in range(height)]).alias("ref_commons"))
-    refs = checkpointed(refs.join(_median_share(rows), "lang", "left").select("lang", _shares(F.col("ref_chars")).alias("ref_chars"), _shares(F.col("ref_commons")).alias("ref_commons"), "ref_wide"))
-    judged = rows.join(F.broadcast(refs), "lang", "left")
+    refs = checkpointed(refs.join(_median_share(rows), "lang", "left").select("lang", _shares(F.col("ref_chars")).alias("ref_chars"), _shares(F.col("ref_commons")).alias("ref_commons"), "ref_wide")
+                        .join(lists.select("lang", "hot"), "lang"))
+    judged = _by_lang(rows, refs, rare_langs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     guard = (F.col("n_words") >= MIN_WORDS) & F.col("ref_chars").isNotNull()
     judged = judged.withColumn("char_distance", F.when(guard, distance(_shares(F.col("chars")), F.col("ref_chars")))) \

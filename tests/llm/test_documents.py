@@ -166,6 +166,23 @@ def test_quality_wrong_language(spark):
     assert ids == {i for i, r in kept.items() if r["kept"]}
 
 
+def test_quality_rare_language(spark):
+    """A language below a thousandth of a large table is compared as in a small one."""
+    rng = random.Random(8)
+    words_ = [f"r{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.choices(words_, k=120)), "rare") for i in range(60)] + [(99, " ".join(f"{k}$$%%" for k in range(90)), "rare"), (98, "x", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.range(70_000).selectExpr("id + 1000 AS doc_id", "'a b' AS text", "'en' AS lang")
+    pick = "doc_id < 1000"
+    alone = {r["doc_id"]: (r["kept"], r["char_distance"], r["word_distance"], r["common_distance"]) for r in quality_rules.metrics(df).collect()}
+    got = quality_rules.metrics(df.unionByName(many)).where(pick).collect()
+    assert len(got) == len(rows) and not alone[99][0] and alone[0][1] is not None
+    for r in got:
+        assert r["kept"] == alone[r["doc_id"]][0]
+        for x, y in zip((r["char_distance"], r["word_distance"], r["common_distance"]), alone[r["doc_id"]][1:]):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
+
+
 def test_quality_accepted_judges_rows(spark):
     """A failing row takes neither the clean rows of its id nor, without an id, all rows without one."""
     clean = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
