@@ -22,7 +22,8 @@ How:
 Scale: a shingle that stands in a 512th of all documents is put last in the order; the list of
 those holds at most 512 x (mean set size) hashes whatever the number of documents, and is the
 only thing broadcast.  Groups of a hot shingle are decided inside the map chunks (see
-``common.chunk_leaders``), big residual groups are split into blocks.
+``common.chunk_leaders``), big residual groups are split into blocks, small ones with one first
+component are dealt into bins of about ``BIN`` members.
 
 Edge cases: null or empty text has an empty set and links with nothing; one to four words make
 one shingle of the whole sequence; a null id links with nothing and has a null component; rows
@@ -46,6 +47,8 @@ SHINGLE = 5
 THRESHOLD = 80            # per cent
 FREQUENT = 512            # a shingle in one of so many documents is ordered last
 TILE = 1024
+BIN = 4 * TILE            # members of small groups that are looked at together
+SALTS = 32
 BAND = float(np.log(100 / THRESHOLD)) * 1.0001    # a little wider, so that rounding parts no pair
 
 
@@ -281,13 +284,13 @@ def _named(t: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 
 
 def _small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``first, id, n, comp, bits, keys`` sorted by ``first``: the tiles are the keys."""
-    for t in _runs(batches, ["first"]):
+    """Rows ``first, bin, id, n, comp, bits, keys`` sorted by ``first, bin``: the tiles are the keys."""
+    for t in _runs(batches, ["first", "bin"]):
         lists = t.column("keys").combine_chunks()
         count = np.diff(lists.offsets.to_numpy())
         key = lists.flatten().to_numpy(zero_copy_only=False)
         src = np.repeat(np.arange(t.num_rows), count)
-        run = _numbers(t, ["first"])[src]
+        run = _numbers(t, ["first", "bin"])[src]
         order = np.lexsort((src, key, run))
         key, src, run = key[order], src[order], run[order]
         new = np.zeros(len(key), bool)
@@ -317,6 +320,17 @@ def _verify(pairs: DataFrame, sketch: DataFrame, packed: DataFrame) -> DataFrame
     return checkpointed(both.mapInArrow(_exact_pairs, "a long, b long").distinct())
 
 
+def _binned(groups: DataFrame) -> DataFrame:
+    """``key, first, k, bin``: the small groups (``k = 1``) of one first component are dealt by key
+    into bins of about ``BIN`` members.  Bin counts are copied per salt, so that no first component
+    gathers its groups in one task."""
+    many = groups.where("k = 1").groupBy("first").agg(F.ceil(F.sum("m") / BIN).cast("int").alias("bins")).where("bins > 1")
+    many = many.select(F.col("first").alias("__f"), "bins", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
+    salt = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SALTS)).cast("int")
+    rows = groups.withColumn("salt", salt).join(many, (F.col("first") == F.col("__f")) & (F.col("salt") == F.col("__s")), "left")
+    return rows.select("key", "first", "k", F.pmod(F.xxhash64("key"), F.coalesce("bins", F.lit(1))).cast("int").alias("bin"))
+
+
 def _residual_pairs(shared: DataFrame, comp: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs of different components in one prefix group, found tile by tile."""
     rows = (shared.select("key", F.col("doc").alias("id")).join(comp, F.col("id") == F.col("node"), "left")
@@ -326,13 +340,15 @@ def _residual_pairs(shared: DataFrame, comp: DataFrame, sketch: DataFrame) -> Da
                                      F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("s")).where("c1 < c2")
     # shingles of one passage have the same members: one of them stands for all
     groups = groups.groupBy("m", "x", "s").agg(F.min("key").alias("key"), F.min("c1").alias("first")).select(
-        "key", "first", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
+        "key", "first", "m", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
+    groups = _binned(checkpointed(groups))
     rows = checkpointed(rows.join(groups, "key"))
     bits = sketch.select("id", "n", "bits")
     # small groups that begin with the same component mostly hold the same documents: they are looked
-    # at together, each document once with the keys it has there
-    small = rows.where("k = 1").groupBy("first", "id").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("keys")).join(bits, "id")
-    small = small.select("first", "id", "n", "comp", "bits", "keys").repartition("first").sortWithinPartitions("first")
+    # at together, each document once with the keys it has there; bins bound what one task holds, and
+    # a pair found in several bins goes in the distinct below
+    small = rows.where("k = 1").groupBy("first", "bin", "id").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("keys")).join(bits, "id")
+    small = small.select("first", "bin", "id", "n", "comp", "bits", "keys").repartition("first", "bin").sortWithinPartitions("first", "bin")
     found = small.mapInArrow(_small_groups, "a long, b long")
     rows = rows.where("k > 1").join(bits, "id")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.lit(BAND)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))

@@ -107,6 +107,22 @@ def test_ngram_join_tiles(spark, monkeypatch):
     assert plain(ngram_join.classes(df)) == order(brute.jaccard_classes(rows))
 
 
+def test_ngram_join_bins(spark, monkeypatch):
+    """Small groups of one first component are not all looked at together, and no link is lost."""
+    from pyspark.sql import functions as F
+
+    groups = spark.range(5000).select(F.xxhash64("id").alias("key"), F.lit(7).cast("long").alias("first"), F.lit(100).alias("m"), F.lit(1).alias("k"))
+    got = ngram_join._binned(groups.union(groups.limit(3).selectExpr("key + 1", "8L", "m", "k")))
+    sizes = {(r["first"], r["bin"]): r["count"] * 100 for r in got.groupBy("first", "bin").count().collect()}
+    assert sum(sizes.values()) == 500_300 and max(sizes.values()) <= 2 * ngram_join.BIN and sizes[8, 0] == 300
+    monkeypatch.setattr(ngram_join, "BIN", 4)
+    rng = random.Random(8)
+    core = words(rng, 60)
+    rows = [(i, " ".join(core[: rng.randrange(30, 61)] + words(rng, rng.randrange(0, 14)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert plain(ngram_join.classes(df)) == order(brute.jaccard_classes(rows))
+
+
 def test_keep_one(docs):
     out = ngram_join.keep_one(docs)
     assert out.columns == docs.columns
