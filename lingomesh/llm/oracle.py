@@ -98,6 +98,44 @@ root AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN root ON root.a = doc_id"""
 
+#: products pass 64 bits: HUGEINT holds 38 digits
+OP12 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(x, '[\\x20\\x09]+'), lambda v: v <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, (VALUES (1), (2), (3)) AS size(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
+cut AS (SELECT lang, k, phrase, f AS a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM f, (VALUES (1), (2)) AS cuts(c) WHERE c < k),
+sc AS (SELECT cut.*, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_part AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(f) AS most FROM (SELECT *, unnest([1, 2]) AS i FROM f WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_part i ON i.lang = best.lang AND i.phrase = best.phrase WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
+def _share13(n: str, total: str) -> str:
+    return f"1 + CAST(1000000000::HUGEINT * ({n} + 1) // ({total} + v) AS BIGINT)"
+
+
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+t AS (SELECT nr, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT nr) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(c) AS ln FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(gn, 0) AS gn, coalesce(v, 0) AS v, ln FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(c) AS gn FROM own GROUP BY ALL) USING (lang, source) LEFT JOIN l USING (lang)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(own.c, 0) AS c, {_share13('coalesce(own.c, 0)', 'gn')} AS p, {_share13('kept.c', 'ln')} AS q
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = kept.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 200"""
+
 ORACLE = {
     "op3_warc_zip": OP3, "op5_substring_dedup": OP5, "op6_template_deduction": OP6, "op7_quality_rules": OP7, "op10_ngram_join": OP10,
+    "op12_phrase_collocations": OP12, "op13_source_divergence": OP13,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_text, ngram_join, packing, quality_rules, sentencepiece_viterbi, sharding, substring_dedup, toxicity, warc
+from . import (collocations, fingerprints, html_text, ngram_join, packing, quality_rules, random_indexing, sentencepiece_viterbi, sharding, source_divergence,
+               substring_dedup, toxicity, warc)
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -57,8 +58,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return random_indexing.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece_viterbi, op2_fingerprints, op3_warc_zip, op4_counterfactual_toxicity, op5_substring_dedup, op6_template_deduction, op7_quality_rules, op8_min_cost_flow_sharding, op9_pattern_packing, op10_ngram_join,
+        op11_random_indexing_quality, op12_phrase_collocations, op13_source_divergence,
     )
 }

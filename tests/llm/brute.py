@@ -94,3 +94,60 @@ def quality_base(text):
             for k in at:
                 hit.update((k, k + 1, k + 2))
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit))
+
+
+def collocations(docs, min_count=10, top=2000, inside=50):
+    """docs: list of (text, lang) → {(lang, rank, phrase, a, l, r, n, score)}, phrases of two and three words."""
+    f, n = {}, {}
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            if w:
+                n[lang] = n.get(lang, 0) + len(w)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    key = (lang, tuple(w[i:i + k]))
+                    f[key] = f.get(key, 0) + 1
+    rows = []
+    for (lang, p), a in f.items():
+        if len(p) < 2 or a < min_count:
+            continue
+        score, _, left, right = min((1000000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+        rows.append((lang, p, a, left, right, score))
+    longer = {}
+    for lang, p, a, *_ in rows:
+        if len(p) == 3:
+            for q in (p[:2], p[1:]):
+                longer[lang, q] = max(longer.get((lang, q), 0), a)
+    rows = [r for r in rows if 100 * longer.get((r[0], r[1]), 0) < inside * r[2]]
+    out = set()
+    for lang in {r[0] for r in rows}:
+        ranked = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[5], -r[2], " ".join(r[1]).encode()))
+        out |= {(lang, k + 1, " ".join(p), a, left, right, n[lang], s) for k, (_, p, a, left, right, s) in enumerate(ranked[:top])}
+    return out
+
+
+def source_divergence(docs, least=3, top=200):
+    """docs: list of (text, lang, source) → {(lang, source, part, item, value, rank)}."""
+    count, seen, groups = {}, {}, set()
+    for nr, (text, lang, source) in enumerate(docs):
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER)):
+            count[lang, source, t] = count.get((lang, source, t), 0) + 1
+            seen.setdefault((lang, t), set()).add(nr)
+    out = set()
+    for lang in {g[0] for g in groups}:
+        kept = [t for (x, t), at in seen.items() if x == lang and len(at) >= least]
+        sources = sorted(s for x, s in groups if x == lang)
+        table = {s: [count.get((lang, s, t), 0) for t in kept] for s in sources}
+        share = lambda row: [1 + 1000000000 * (c + 1) // (sum(row) + len(kept)) for c in row]      # noqa: E731
+        p = {s: share(row) for s, row in table.items()}
+        q = share([sum(col) for col in zip(*table.values())])
+        gap = lambda a, b: (a - b) * (a - b) // b                                                # noqa: E731
+        for s in sources:
+            pairs = sorted(((sum(map(gap, p[s], p[o])), o) for o in sources if o != s), key=lambda x: (-x[0], x[1].encode()))
+            terms = sorted(((gap(a, b), t) for a, b, c, t in zip(p[s], q, table[s], kept) if c > 0 and a > b), key=lambda x: (-x[0], x[1].encode()))[:top]
+            out |= {(lang, s, part, item, v, k + 1) for part, rows in (("pair", pairs), ("term", terms)) for k, (v, item) in enumerate(rows)}
+    return out
