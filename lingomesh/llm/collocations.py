@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and thos
 Every word position begins a suffix that is followed to ``max_words`` words or the end of its piece.
 
 1. Words are counted per language.  At most ``HOT`` words (those with one in ``HOT`` of all occurrences
-   or more) count as hot; their list is broadcast.
+   or more) count as hot; their list is broadcast.  So is a bitmap of ``BITS`` bits with one bit set for every
+   word that occurs ``min_count`` times: a word without its bit is in no phrase, so suffixes end before it.
 2. A map chunk makes one row per distinct suffix with its number of occurrences (a phrase that stands
    everywhere sends one row per chunk).  Rows are routed by language and two leading words, so that a
    route holds all suffixes of its leading words; suffixes that begin with two hot words are routed
@@ -49,7 +50,9 @@ INSIDE = 50               # per cent
 HOT = 1 << 16
 HOT_LEAST = 20_000        # occurrences that a hot word has at least
 ROUTE_ROWS = 1 << 18      # occurrences that an average route stands for
-CHUNK = 1 << 20           # words
+CHUNK = 1 << 19           # words
+BITS = 1 << 25            # of the bitmap of frequent words
+BIT_ROWS = 1 << 12        # rows that the bitmap is gathered in
 _GAP, _BREAK = 1, 2
 KIND = np.zeros(256, np.uint8)
 KIND[[32, 9]] = _GAP
@@ -192,13 +195,56 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _slices([_langs(listed, at), pa.nulls(len(at), pa.string()), pa.array(n)], ["lang", "word", "n"])
 
 
-def _route(routes: int, hot, max_words: int):
-    """Rows ``route, lang, phrase, n`` of the distinct suffixes of a chunk that have two words at least; suffixes that begin
-    with two hot words have routes of their own, from ``routes`` on."""
+def _frequent_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``part, bits`` of the bitmap: the bits of each batch's words by part of the bitmap."""
+    each = BITS // BIT_ROWS
+    for batch in batches:
+        if batch.num_rows:
+            marks = _marks(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
+            part, bit = np.divmod(np.unique((marks & U(BITS - 1)).astype(np.int64)), each)
+            known, at = np.unique(part, return_inverse=True)
+            bits = np.zeros((len(known), each), np.uint8)
+            bits[at, bit] = 1
+            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], names=["part", "bits"])
+
+
+def _joined_bits(table: pa.Table) -> pa.Table:
+    all_bits = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]))
+    return pa.table([table.column("part").slice(0, 1), pa.array([all_bits.tobytes()], pa.binary())], names=["part", "bits"])
+
+
+def frequent_bitmap(words: DataFrame) -> np.ndarray:
+    """The bitmap (bytes) over the rows ``lang, phrase``; it has ``BITS`` bits however many words there are."""
+    rows = words.select("lang", "phrase").mapInArrow(_frequent_bits, "part long, bits binary").groupBy("part").applyInArrow(_joined_bits, "part long, bits binary")
+    out = np.zeros((BIT_ROWS, BITS // BIT_ROWS // 8), np.uint8)
+    for r in rows.collect():                                                                   # <= BIT_ROWS rows
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _marks(langs: list[str], words: list[str]) -> np.ndarray:
+    """Mark of each word in its language, as the chunks have it."""
+    raw = [w.encode() for w in words]
+    end = np.cumsum([len(x) for x in raw])
+    known, at = np.unique(np.array(langs, object), return_inverse=True)
+    return _word_mark(span_hashes(np.frombuffer(b"".join(raw), np.uint8), end - [len(x) for x in raw], end), span_hashes(*_laid_out(known.tolist()))[at])
+
+
+def _route(routes: int, hot, bitmap, max_words: int):
+    """Rows ``route, lang, phrase, n`` of the distinct suffixes of a chunk that have two frequent words at least; suffixes that
+    begin with two hot words have routes of their own, from ``routes`` on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
         for rows, lang, words, hashes, of_lang, listed in _chunks(batches, max_words - 1):
+            open_end = np.ones(len(rows), bool)
+            for k in range(rows.shape[1]):
+                at = (_word_mark(hashes[rows[:, k]], of_lang[lang]) & U(BITS - 1)).astype(np.int64)
+                open_end &= (rows[:, k] >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+                rows[~open_end, k] = -1
             more = rows[:, 1] >= 0
             rows, n = _distinct(np.column_stack([lang[more], rows[more]]))
+            if not len(rows):
+                continue
             lang, rows = rows[:, 0], rows[:, 1:]
             first, second = (_word_mark(hashes[rows[:, k]], of_lang[lang]) for k in (0, 1))
             both = np.isin(first, hot.value) & np.isin(second, hot.value)
@@ -317,21 +363,16 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     total = totals.agg(F.sum("n")).first()[0] or 0
     hot = words.where("word IS NOT NULL").where(F.col("f") >= max(total / HOT, HOT_LEAST)).select("lang", F.col("word").alias("phrase"), "f")
     listed = hot.select("lang", "phrase").collect()                                            # <= HOT rows
-    marks = _word_mark(span_hashes(*_spans_of([r["phrase"] for r in listed])), span_hashes(*_laid_out([r["lang"] for r in listed]))) if listed else np.zeros(0, U)
+    marks = _marks(*zip(*listed)) if listed else np.zeros(0, U)
+    single = words.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
+    bitmap = spark.sparkContext.broadcast(frequent_bitmap(single))
     routes = max(256, -(-total // ROUTE_ROWS))
-    suffixes = texts.mapInArrow(_route(routes, spark.sparkContext.broadcast(np.sort(marks)), max_words), "route long, lang string, phrase string, n long")
+    suffixes = texts.mapInArrow(_route(routes, spark.sparkContext.broadcast(np.sort(marks)), bitmap, max_words), "route long, lang string, phrase string, n long")
     long = suffixes.groupBy("route").applyInArrow(_count_route(routes, min_count, max_words), "lang string, phrase string, words int, f long")
     long = long.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
-    single = words.where("word IS NOT NULL").select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
     return checkpointed(single.unionByName(long)), totals, hot
 
 
-def _spans_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = [w.encode() for w in words]
-    end = np.cumsum([len(x) for x in raw])
-    return np.frombuffer(b"".join(raw), np.uint8), end - [len(x) for x in raw], end
-
-
 def _with_count(cuts: DataFrame, part: str, name: str, counts: DataFrame, hot: DataFrame) -> DataFrame:
     """``name``: the count of the phrase in ``part``.  Hot words take theirs from the broadcast list, so the candidates that share one
     do not meet in one task."""
