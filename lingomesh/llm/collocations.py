@@ -37,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, first_of_group
 from .words import BLOCK, LOWER, U, mix, span_hashes, text_buffers
 
 MIN_COUNT = 10
@@ -60,7 +60,7 @@ KIND[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = _BREAK
 
 
 def _spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and piece number of every word of lower-cased bytes."""
+    """Start, end and piece number of every word."""
     kind = np.full(len(raw) + 2, _BREAK, np.uint8)
     kind[1:-1] = KIND[raw]
     gap = kind != 0
@@ -83,7 +83,6 @@ class Words:
 
 def _parts(raw: np.ndarray, off: np.ndarray, lang: np.ndarray, follow: int) -> Iterator[Words]:
     """Blocks of whole texts; a longer text in parts that begin with a word and see ``follow`` words more."""
-    raw = LOWER[raw]
     i = 0
     while i < len(off) - 1:
         j = max(int(np.searchsorted(off, off[i] + BLOCK, "right")) - 1, i + 1)
@@ -91,7 +90,7 @@ def _parts(raw: np.ndarray, off: np.ndarray, lang: np.ndarray, follow: int) -> I
         if j > i + 1:
             at = off[i: j + 1] - off[i]
             ends = at[:-1] + np.arange(j - i)
-            yield Words(np.insert(part, at[1:-1], 10), lambda s, e=ends, i=i: lang[i + np.searchsorted(e, s, "right") - 1], len(part) + j - i)
+            yield Words(np.insert(LOWER[part], at[1:-1], 10), lambda s, e=ends, i=i: lang[i + np.searchsorted(e, s, "right") - 1], len(part) + j - i)
         else:
             lo = 0
             while lo < len(part):
@@ -99,7 +98,7 @@ def _parts(raw: np.ndarray, off: np.ndarray, lang: np.ndarray, follow: int) -> I
                 end = hi
                 for _ in range(follow):
                     end = _word_start(part, _gap(part, end))
-                yield Words(part[lo:end], lambda s, i=i: np.full(len(s), lang[i]), hi - lo)
+                yield Words(LOWER[part[lo:end]], lambda s, i=i: np.full(len(s), lang[i]), hi - lo)
                 lo = hi
         i = j
 
@@ -416,8 +415,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """Per language the ``top`` best phrases: ``lang, rank, phrase, a, l, r, n, score``."""
     counts, totals, hot = phrase_counts(docs, text_col, lang_col, min_count, max_words)
     rows = outermost(scored(counts, hot), max_words, inside)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    rows = first_of_group(rows, ["lang"], [F.desc("score"), F.desc("a"), "phrase"], top, "phrase")
     n = totals.select(F.col("lang").alias("__l"), "n")
     rows = rows.join(n, F.col("lang") == F.col("__l"))
     return rows.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

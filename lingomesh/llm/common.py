@@ -118,6 +118,14 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], name: str, ro
             .drop("__bucket", "__b", "__base", "__rn", *[f"__k_{k}" for k in keys]))
 
 
+def first_of_group(df: DataFrame, keys: list[str], order: list, n: int, spread: str, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group with their ``rank`` (from 1).  A group is cut by a hash of ``spread`` first, so that
+    the last sort holds ``salts`` times ``n`` of its rows whatever the number of map tasks."""
+    part = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    part = part.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))).where(F.col("__r") <= n).drop("__r", "__salt")
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+
 def let(value, body):
     """``body(value)`` with the value computed once.  Naming a column does not do: the optimizer
     may put its expression back into a lambda, where it would run once per element."""

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, first_of_group
 from .words import BLOCK, LOWER, U, text_buffers
 
 SCALE = 1_000_000_000
@@ -322,10 +322,9 @@ def pair_values(shares: Shares, tile: int = TILE, block_terms: int = BLOCK_TERMS
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, top: int = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank``."""
     shares = Shares(docs, text_col, lang_col, source_col, least)
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    rank = F.row_number().over(order)
-    pairs = pair_values(shares).withColumn("rank", rank).withColumn("part", F.lit("pair"))
+    group, order = ["lang", "source"], [F.desc("value"), "item"]
+    pairs = pair_values(shares).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).withColumn("part", F.lit("pair"))
     terms = shares.terms.where("p > q").select("lang", "source", F.col("term").alias("item"), _gap("p", "q").alias("value"))
-    terms = terms.withColumn("rank", rank).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
+    terms = first_of_group(terms, group, order, top, "item").withColumn("part", F.lit("term"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.select(*columns).unionByName(terms.select(*columns))
