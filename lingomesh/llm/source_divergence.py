@@ -255,14 +255,16 @@ class Shares:
 
 
 def _tile_sums(head: pa.Table, rows: pa.Table, names: list[str]) -> pa.Table:
-    """For one block of terms and two tiles of sources: the sum over the block's terms of ``f`` less ``f`` of two absent terms."""
+    """For one block of terms and two tiles of sources: the sum over the block's terms of ``f`` less ``f`` of two absent terms.
+    Of a tile with itself there is a left side only."""
     lang, a, b, total = [], [], [], []
+    sides = (0, 1) if head.num_rows and head.column("i")[0] != head.column("j")[0] else (0, 0)
     side, source = head.column("side").to_numpy(), head.column("source").to_pylist()
     p0 = head.column("p0").to_numpy()
     if rows.num_rows and len(source):
         number, terms = np.unique(np.array(rows.column("term").to_pylist(), object), return_inverse=True)
         grid = []
-        for s in (0, 1):
+        for s in sides:
             at = np.flatnonzero(side == s)
             known = {source[k]: c for c, k in enumerate(at.tolist())}
             dense = np.repeat(p0[at][None, :], len(number), axis=0)
@@ -294,10 +296,10 @@ def pair_values(shares: Shares, tile: int = TILE, block_terms: int = BLOCK_TERMS
     other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
 
     def dealt(df: DataFrame) -> DataFrame:
-        """Every row as the left side of the tiles (own, any) and as the right side of (any, own)."""
+        """Every row as the left side of the tiles (own, any) and as the right side of (any, own), if that is another tile."""
         df = df.withColumn("own", at).withColumn("any", other)
         left = df.withColumn("side", F.lit(0)).withColumn("i", F.col("own")).withColumn("j", F.col("any"))
-        right = df.withColumn("side", F.lit(1)).withColumn("i", F.col("any")).withColumn("j", F.col("own"))
+        right = df.withColumn("side", F.lit(1)).withColumn("i", F.col("any")).withColumn("j", F.col("own")).where("any <> own")
         return left.unionByName(right).drop("own", "any")
 
     block = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
