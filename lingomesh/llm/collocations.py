@@ -74,10 +74,12 @@ class Words:
     begin suffixes (the rest only follow), and hash and bytes of every number."""
 
     def __init__(self, raw: np.ndarray, lang_of, own: int):
-        start, end, self.piece = _spans(raw)
-        self.hash, first, self.number = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        start, end, piece = _spans(raw)
+        self.piece = piece.astype(np.int32)
+        self.hash, first, number = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        self.number = number.astype(np.int32)
         self.bytes = [raw[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist())]
-        self.lang = lang_of(start)
+        self.lang = lang_of(start).astype(np.int32)
         self.own = int(np.searchsorted(start, own))
 
 
@@ -131,14 +133,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], follow: int) -> Iterator[tuple[np
     waiting: list[Words] = []
     held = 0
 
-    def flush():
+    def flush(waiting: list[Words]):
         hashes, first = np.unique(np.concatenate([w.hash for w in waiting]), return_index=True)
         every = [b for w in waiting for b in w.bytes]
         words = pa.array([every[k] for k in first.tolist()], pa.binary())
         rows, langs = [], []
         for w in waiting:
-            number = np.searchsorted(hashes, w.hash)[w.number]
-            out = np.full((w.own, follow + 1), -1, np.int64)
+            number = np.searchsorted(hashes, w.hash).astype(np.int32)[w.number]
+            out = np.full((w.own, follow + 1), -1, np.int32)
             out[:, 0] = number[:w.own]
             for d in range(1, follow + 1):
                 m = min(w.own, len(number) - d)
@@ -158,10 +160,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], follow: int) -> Iterator[tuple[np
             waiting.append(w)
             held += w.own
             if held >= CHUNK:
-                yield flush()
-                waiting, held = [], 0
+                full, waiting, held = flush(waiting), [], 0
+                yield full
+                del full
     if waiting:
-        yield flush()
+        full, waiting = flush(waiting), []
+        yield full
 
 
 def _laid_out(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +191,7 @@ def _langs(listed: list[str], number: np.ndarray) -> pa.Array:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``lang, word, n`` of a chunk; the row without a word holds the language's number of occurrences."""
     for rows, lang, words, _, _, listed in _chunks(batches, 0):
-        key, n = np.unique(lang * len(words) + rows[:, 0], return_counts=True)
+        key, n = np.unique(lang.astype(np.int64) * len(words) + rows[:, 0], return_counts=True)
         at, word = np.divmod(key, len(words))
         yield from _slices([_langs(listed, at), words.take(pa.array(word)).cast(pa.string()), pa.array(n)], ["lang", "word", "n"])
         at, n = np.unique(lang, return_counts=True)
@@ -241,6 +245,7 @@ def _route(routes: int, hot, bitmap, max_words: int):
                 open_end &= (rows[:, k] >= 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
                 rows[~open_end, k] = -1
             more = rows[:, 1] >= 0
+            del open_end, at
             rows, n = _distinct(np.column_stack([lang[more], rows[more]]))
             if not len(rows):
                 continue
@@ -263,7 +268,7 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of numbers from -1 on, and how often each stands there."""
     if not len(rows):
         return rows, np.zeros(0, np.int64)
-    key = rows[:, 0] + 1
+    key = rows[:, 0].astype(np.int64) + 1
     for k in range(1, rows.shape[1]):
         width = int(rows[:, k].max()) + 2
         if int(key.max()) >= (1 << 62) // width:            # number what there is so far anew
