@@ -36,10 +36,6 @@ def language_of(c: Column | str) -> Column:
     return F.lower(F.substring_index(_stripped(c), "-", 1))
 
 
-def format_hreflang_code(c: Column | str, mode: str) -> Column:
-    return language_of(c) if mode == "language" else normalize_code(c)
-
-
 def normalize_code_py(code: str | None) -> str:
     """Driver-side twin for the handful of parameter codes (pivot, x-default)."""
     text = (code or "").strip()
@@ -50,11 +46,6 @@ def normalize_code_py(code: str | None) -> str:
     return language.lower() + dash + region.upper()
 
 
-def language_of_py(code: str | None) -> str:
-    return (code or "").strip().split("-")[0].lower()
-
-
 __all__ = [
-    "is_valid_code", "normalize_code", "language_of", "format_hreflang_code", "col_of",
-    "normalize_code_py", "language_of_py",
+    "is_valid_code", "normalize_code", "language_of", "col_of", "normalize_code_py",
 ]

@@ -14,6 +14,12 @@ def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where the body uses it inside a lambda
+    (a named column would be put back into the lambda by the optimizer)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column | str) -> Column:
     """Strip leading and trailing Unicode whitespace (Spark's trim only removes spaces)."""
     return F.regexp_replace(col_of(c), f"(?U)^{WS}+|{WS}+$", "")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels as L
-from ..functions.text import col_of, trim_ws, truncate
+from ..functions.text import bound, col_of, trim_ws, truncate
 from ..functions.urls import resolve_url
 from ..session import cut_lineage
 
@@ -25,36 +25,75 @@ RAW_ELEMENTS = ["script", "style", "noscript", "template"]
 DROP_ELEMENTS = ["nav", "header", "footer", "aside", "form", "table"]
 # element names that break a line
 BLOCK_ELEMENTS = "p|div|br|h[1-6]|li|ul|ol|dl|dt|dd|tr|section|article|main|blockquote|pre|figure|figcaption|hr"
-NESTING = 4
+_DROP_TAG = f"<(/?)({'|'.join(DROP_ELEMENTS)})(?=[\\s/>])[^>]*>"
 
 
-def _unescaped(texts):
-    return texts.map(html.unescape)
+# stand-ins for the page's own angle brackets while its references are decoded: code points that are no characters
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+_AWAY = {ord(_OPEN): None, ord(_CLOSE): None, ord("<"): _OPEN, ord(">"): _CLOSE}
+_BACK = {ord(_OPEN): "<", ord(_CLOSE): ">", ord("<"): "&lt;", ord(">"): "&gt;", ord("&"): "&amp;"}
 
 
-def _without(h: Column, tag: str) -> Column:
-    """``h`` without the element, innermost first, so that nested ones go whole."""
-    inner = f"(?is)<{tag}\\b[^>]*+>(?:[^<]++|<(?!/?{tag}\\b))*+</{tag}\\s*>"
-    for _ in range(NESTING):
-        h = F.regexp_replace(h, inner, " ")
-    return h
+def _decoded(pages):
+    """Character references decoded, but for those of angle brackets and ampersands, which stay ``&lt; &gt; &amp;``
+    until the tags are gone.  The table of names is the standard library's."""
+    return pages.map(lambda page: html.unescape(page.translate(_AWAY)).translate(_BACK))
+
+
+def _open_and_cut(state: Column, tag: Column) -> Column:
+    """The state (open tags, ranges of chunks to cut) behind a tag.  An end tag closes the last open tag of its element, and the
+    range between them takes in the ranges of that element inside it; an end tag without a start is ignored."""
+    start = F.array_max(F.transform(F.filter(state["open"], lambda t: t["name"] == tag["name"]), lambda t: t["at"]))
+    opened = F.struct(F.concat(state["open"], F.array(F.struct(tag["name"].alias("name"), tag["at"].alias("at")))).alias("open"), state["cut"].alias("cut"))
+    outer = F.filter(state["cut"], lambda r: ~((r["name"] == tag["name"]) & (r["first"] > start)))
+    closed = F.struct(F.filter(state["open"], lambda t: t["at"] != start).alias("open"),
+                      F.concat(outer, F.array(F.struct(tag["name"].alias("name"), start.alias("first"), tag["at"].alias("last")))).alias("cut"))
+    return F.when(tag["end"] == "", opened).when(start.isNull(), state).otherwise(closed)
+
+
+def _tags_of(chunks: Column) -> Column:
+    """``name, end, at`` of the chunks that begin with a tag; ``end`` is a slash for end tags."""
+    def tag(c: Column, i: Column) -> Column:
+        return F.struct(F.lower(F.regexp_extract(c, f"(?is)^{_DROP_TAG}", 2)).alias("name"), F.regexp_extract(c, f"(?is)^{_DROP_TAG}", 1).alias("end"), i.alias("at"))
+
+    return F.filter(F.transform(chunks, tag), lambda t: t["name"] != "")
+
+
+def without_elements(h: Column) -> Column:
+    """``h`` without navigation, header, footer, aside, form and table elements, nested to any depth, each replaced by a space.
+
+    The page is split once, before every tag of these elements.  One pass over the tags keeps, per element, the tags that are
+    open; what lies between a start tag and its end tag goes.  A start tag that is never closed cuts nothing.
+    The work grows with the number of such tags times the number open at once.
+    """
+    chunks = F.split(h, f"(?is)(?={_DROP_TAG})")
+    none = F.expr("named_struct('open', cast(array() as array<struct<name:string,at:int>>), 'cut', cast(array() as array<struct<name:string,first:int,last:int>>))")
+
+    def kept(page: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            gone = F.exists(page["cut"], lambda r: (r["first"] <= i) & (i < r["last"]))
+            behind = F.exists(page["cut"], lambda r: r["last"] == i)
+            return F.when(gone, "").when(behind, F.regexp_replace(c, "(?s)^<[^>]*>", " ")).otherwise(c)
+
+        return F.array_join(F.transform(page["chunks"], piece), "")
+
+    return bound(chunks, lambda parts: bound(F.struct(parts.alias("chunks"), F.aggregate(_tags_of(parts), none, _open_and_cut)["cut"].alias("cut")), kept))
 
 
 def main_text(html_col: Column | str) -> Column:
     """Main text of an HTML page (X17), empty when nothing is left.
 
-    Comments and script / style / navigation / header / footer / aside / form / table elements are
-    removed; all ``<main>`` parts, else all ``<article>`` parts, else the ``<body>`` are kept (a
+    Comments and script / style / navigation / header / footer / aside / form / table elements, nested to
+    any depth, are removed; all ``<main>`` parts, else all ``<article>`` parts, else the ``<body>`` are kept (a
     part without an end tag runs to the end of the page); block elements become line breaks,
     other tags vanish, character references are decoded, blanks are collapsed and blank lines
     dropped.
     """
-    h = F.coalesce(col_of(html_col).cast("string"), F.lit(""))
+    h = F.pandas_udf(_decoded, "string")(F.coalesce(col_of(html_col).cast("string"), F.lit("")))
     h = F.regexp_replace(h, "(?s)<!--.*?-->", " ")
     for tag in RAW_ELEMENTS:
         h = F.regexp_replace(h, f"(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>", " ")
-    for tag in DROP_ELEMENTS:
-        h = _without(h, tag)
+    h = without_elements(h)
 
     def parts(tag: str) -> Column:
         return F.array_join(F.regexp_extract_all(h, F.lit(f"(?is)<{tag}\\b[^>]*>(.*?)(?:</{tag}\\s*>|$)"), F.lit(1)), "\n")
@@ -67,8 +106,8 @@ def main_text(html_col: Column | str) -> Column:
     )
     t = F.regexp_replace(t, f"(?i)</?({BLOCK_ELEMENTS})\\b[^>]*>", "\n")
     t = F.regexp_replace(t, "<[^>]*>", "")
-    # the table of character references is the standard library's, in an Arrow function
-    t = F.pandas_udf(_unescaped, "string")(t)
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(name), F.lit(mark))
     t = F.regexp_replace(t, "[ \\t\\r\\f\u00a0]+", " ")
     t = F.regexp_replace(t, " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$", "")

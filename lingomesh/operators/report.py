@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels as L
-from ..functions.codes import format_hreflang_code, language_of, language_of_py
+from ..functions.codes import language_of, normalize_code
 from ..functions.text import html_escape, link_tag
 from .match import MatchResult
 
@@ -154,10 +154,8 @@ def find_language_collisions(codes: DataFrame) -> DataFrame:
 def export_code_mode(codes: list[str], requested: str | None = None) -> str:
     """Code mode of the export (A13): collisions force ``language-region``; the default is
     ``language-region`` when any code has a region, else ``language``."""
-    langs: dict[str, list[str]] = {}
-    for c in codes:
-        langs.setdefault(language_of_py(c), []).append(c)
-    if any(len(v) > 1 for v in langs.values()):
+    languages = {c.strip().partition("-")[0].lower() for c in codes}
+    if len(languages) < len(codes):
         return "language-region"
     if requested:
         return requested
@@ -182,7 +180,7 @@ def html_blocks(
         c = c.where(F.col("confidence") != L.CONF_REVIEW)
     ordered = F.concat(F.array(F.lit(pivot)), F.array_sort(F.filter(F.map_keys("members"), lambda k: k != pivot)))
     c = c.withColumn("ordered", ordered).withColumn(
-        "fmt", F.transform("ordered", lambda x: format_hreflang_code(x, code_mode))
+        "fmt", F.transform("ordered", language_of if code_mode == "language" else normalize_code)
     )
     if code_mode == "language":
         clash = c.where(F.size(F.array_distinct("fmt")) < F.size("fmt")).select("ordered", "fmt").limit(1).collect()

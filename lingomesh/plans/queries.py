@@ -327,6 +327,17 @@ def q_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", pages.main_text("html").alias("text"))
 
 
+def q_main_text_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of pages that carry tables, navigation and asides nested one to fifty deep inside their article."""
+    p = table(spark, sf, "pages").select("page_id", "html")
+    depth = (F.col("page_id") % 50 + 1).cast("int")
+    name = F.when(F.col("page_id") % 3 == 0, "table").when(F.col("page_id") % 3 == 1, "nav").otherwise("aside")
+    start, end = F.concat(F.lit("<"), name, F.lit(" class=x>menu ")), F.concat(F.lit("</"), name, F.lit("> rest "))
+    block = F.concat(F.repeat(start, depth), F.repeat(end, depth - 1), F.lit("</"), name, F.lit(">"))
+    nested = F.replace("html", F.lit("</article>"), F.concat(block, F.lit("</article>")))
+    return p.select("page_id", pages.main_text(nested).alias("text"))
+
+
 def q_response_reasons(spark: SparkSession, sf: str) -> DataFrame:
     log = page_log(spark, sf)
     t = pages.page_texts(log)
@@ -433,6 +444,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "text_sets_valid": q_text_sets_valid,
     "text_sets_dropped": q_text_sets_dropped,
     "main_text": q_main_text,
+    "main_text_nested": q_main_text_nested,
     "response_reasons": q_response_reasons,
     "url_guard": q_url_guard,
     "resolve_redirects": q_resolve_redirects,

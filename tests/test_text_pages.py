@@ -162,6 +162,52 @@ def test_main_text_cases(spark):
     assert {r["html"]: r["t"] for r in df.select("html", pages.main_text("html").alias("t")).collect()} == cases
 
 
+def _random_page(rng, depth):
+    """A well-formed page with elements nested to ``depth``, some end tags without a start, and the words outside the dropped elements."""
+    kept, out = [], []
+
+    def text(inside):
+        word = f"w{rng.randrange(10**6)}"
+        out.append(f" {word} ")
+        if not inside:
+            kept.append(word)
+
+    def element(level, inside):
+        tag = rng.choice(["nav", "header", "footer", "aside", "form", "table", "div", "section", "TABLE", "Nav"])
+        drop = inside or tag.lower() not in ("div", "section")
+        out.append(f"<{tag}{rng.choice(['', ' class=x', chr(10) + 'id=1'])}>")
+        text(drop)
+        for _ in range(rng.choice([1, 1, 2]) if level < depth and len(out) < 3000 else 0):
+            element(level + 1, drop)
+            text(drop)
+        out.append(f"</{tag}{rng.choice(['', ' '])}>")
+
+    out.append("<html><body>")
+    for _ in range(3):
+        text(False)
+        out.append(rng.choice(["", "</table>", "</nav>"]))
+        element(1, False)
+    text(False)
+    return "".join(out) + "</body></html>", kept
+
+
+def test_main_text_of_nested_elements(spark):
+    """Tables, navigation and asides nested 1 to 50 deep, and mixed trees against the words a generator put outside."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for n in range(1, 51):
+        for tag in ("table", "nav", "aside"):
+            rows.append((f"<body><p>before</p>{f'<{tag}>menu ' * n}{f'</{tag}> rest ' * (n - 1)}</{tag}><p>after</p></body>", ["before", "after"]))
+        rows.append(_random_page(rng, n))
+    rows += [("<body>a <nav>open <p>b</p></body>", ["a", "open", "b"]), ("<body>a </nav> b <nav>x</nav> c</body>", ["a", "b", "c"]),
+             ("<body>a <tablet>b</tablet> <header-x>c</header-x></body>", ["a", "b", "c"]), ("<nav>" * 300 + "x" + "</nav>" * 299, ["x"][:0]), ("", [])]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(rows)], "i int, html string")
+    got = {r["i"]: r["t"].split() for r in df.select("i", pages.main_text("html").alias("t")).collect()}
+    assert [got[i] for i in range(len(rows))] == [kept for _, kept in rows]
+
+
 def test_page_cache_holds_whole_texts(spark):
     long = "<body><article>" + "word " * 30000 + "</article></body>"
     df = spark.createDataFrame([("de", 1, "https://a/1", long), ("de", 2, "https://a/2", "<body>x</body>"), ("de", 3, "https://a/3", "")], "code string, pos long, url string, html string")
