@@ -213,6 +213,20 @@ def q_split_by_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return split.select("page_id", "variant")
 
 
+def pattern_table(n: int = 5000, plain: int = 300) -> list[tuple[str, str]]:
+    """A long list of patterns: pages by number from the highest to the lowest, their codes in turn, and the patterns of the short list before the last
+    ``plain`` numbers."""
+    codes = ("de", "FR", "es", "en-gb", "it")
+    numbered = [(rf"/[a-z]{{2}}/[^?#]*{k}(\D|$)", codes[k % 5]) for k in range(n, 0, -1)]
+    return numbered[:-plain] + SPLIT_PATTERNS + numbered[-plain:]
+
+
+def q_split_by_pattern_table(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    split, _invalid = detect.split_by_pattern_table(pages, "url", pattern_table())
+    return split.select("page_id", "variant")
+
+
 def q_column_profile(spark: SparkSession, sf: str) -> DataFrame:
     return detect.column_profile(crawl_view_text(spark, sf), "pos")
 
@@ -430,6 +444,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suggest_code": q_suggest_code,
     "suggest_patterns": q_suggest_patterns,
     "split_by_patterns": q_split_by_patterns,
+    "split_by_pattern_table": q_split_by_pattern_table,
     "column_profile": q_column_profile,
     "csv_scan": q_csv_scan,
     "bad_lines": q_bad_lines,

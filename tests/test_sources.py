@@ -175,3 +175,55 @@ def test_sinks(spark, tmp_path):
     valid = spark.createDataFrame([("de", 0, "https://a.de/", [0.5, -1.0]), ("fr", 1, "https://a.fr/", [1.0, 0.0])], "code string, pos long, url string, vec array<float>")
     write_embeddings_csv(valid, str(tmp_path / "e"))
     assert _files(tmp_path / "e" / "code=de") == ['﻿Address,Embedding\nhttps://a.de/,"[0.500000,-1.000000]"\n']
+
+
+# --- many patterns
+
+PIECES = ["a", "b", "/", "de", "\\.", "\\-", "\\d", ".", "x?", "y*", "z+", "q{0,2}", "(cd|e)", "(?:f)", "[gh]", "[^i]", "(?=a)", "^", "K", "ü", "(j", "k)", "\\bl", "é+?"]
+
+
+def test_required_literal_is_in_every_match():
+    import random
+    import re
+
+    rng = random.Random(1)
+    found = 0
+    for _ in range(30000):
+        pattern = "".join(rng.choice(PIECES) for _ in range(rng.choice([1, 2, 4, 7])))
+        text = "".join(rng.choice("ab/de.-1xyzqcdfghjkKlüéÉ") for _ in range(12))
+        try:
+            m = re.search(pattern, text, re.I | re.A)
+        except re.error:
+            continue
+        literal = detect.required_literal(pattern)
+        if m:
+            found += bool(literal)
+            low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            assert literal in low, (pattern, text, literal)
+    assert found > 1000
+    assert detect.required_literal("^https?://[^/]+/de(/|$)") == "http" and detect.required_literal("/FR/") == "/fr/"
+    for none in ("a|b", "(?x)a b c", "\\Qabc\\E", "\\x41bc", "(abc)", "a?b*", "", "[]abc]xyz"):
+        assert detect.required_literal(none) in ("", none[:0])
+
+
+def test_pattern_table_equals_the_chain(spark):
+    import random
+
+    rng = random.Random(2)
+    urls = [f"https://{rng.choice(['www.', 'fr.', ''])}s{rng.randrange(9)}.{rng.choice(['de', 'com', 'AT'])}/{rng.choice(['de', 'FR', 'en', 'x'])}/p{rng.randrange(300)}" for _ in range(400)] + [None, "", "ab", "ü", "/de/", "/de/"]
+    patterns = [("^https?://[^/]+/de(/|$)", "DE"), ("", "en"), ("/es/", ""), ("([unclosed", "xx"), ("/fr/", "fr-be")]
+    patterns += [(f"/p{k}$", f"a{chr(97 + k % 26)}") for k in range(0, 300, 3)] + [(f"s{k}\\.(com|de)/", "it") for k in range(5)] + [("^.{2}$", "nl"), ("ü|ö", "sv"), (".at/", "de-at")]
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "i int, url string, variant string").repartition(3)
+    chain, bad = detect.split_by_patterns(df, "url", patterns)
+    table, bad2 = detect.split_by_pattern_table(df, "url", patterns)
+    assert bad == bad2 == ["([unclosed"] and set(table.columns) == {"i", "url", "variant"}
+    want = {r["i"]: r["variant"] for r in chain.collect()}
+    assert {r["i"]: r["variant"] for r in table.collect()} == want and len(set(want.values())) > 8
+    with pytest.raises(ValueError):
+        detect.split_by_pattern_table(df, "url", [("a", "de")] * (detect.MAX_PATTERNS + 1))
+
+
+def test_pattern_table_plan_does_not_grow(spark):
+    df = spark.createDataFrame([("https://a.de/p1",)], "url string")
+    size = lambda n: len(detect.split_by_pattern_table(df, "url", [(f"/p{k}$", "de") for k in range(n)])[0]._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(5000) - size(10)) < 200
