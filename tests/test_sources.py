@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lingomesh.operators import detect
 from lingomesh.operators.quality import CrawlColumns, build_sets
+from lingomesh.sources import files as files_module
 from lingomesh.sources.delimited import detect_delimiter, read_delimited, read_variants, read_variants_with_problems
 from lingomesh.sources.sinks import export_vectors, write_embeddings_csv, write_html, write_table
 
@@ -227,3 +228,73 @@ def test_pattern_table_plan_does_not_grow(spark):
     df = spark.createDataFrame([("https://a.de/p1",)], "url string")
     size = lambda n: len(detect.split_by_pattern_table(df, "url", [(f"/p{k}$", "de") for k in range(n)])[0]._jdf.queryExecution().optimizedPlan().toString())
     assert abs(size(5000) - size(10)) < 200
+
+
+# --- many files in one job, one pass over a file
+
+def _jobs(spark, group, run):
+    """The result of ``run`` and the number of jobs it took."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _export(tmp_path, name, k, kind):
+    """A small export: its bytes by layout, and the rows it holds."""
+    rows = [(f"https://s{k}.de/é{r}", f"Tïtel {k}") for r in range(k % 4 + 1)]
+    sep = {"semi": ";", "cp": ";"}.get(kind, ",")
+    text = sep.join(["Address", "Title"]) + "\n" + "".join(f'{u}{sep}"{t}"\n' for u, t in rows)
+    if kind == "bad":
+        text += f"a{sep}b{sep}c\n"
+    data = {"cp": lambda: text.encode("cp1252"), "bom": lambda: b"\xef\xbb\xbf" + text.encode()}.get(kind, text.encode)()
+    return _write(tmp_path, name, data), rows
+
+
+def test_scan_of_many_files(spark, tmp_path):
+    kinds = ["plain", "semi", "cp", "bad", "bom"]
+    files, want = [], []
+    for k in range(300):
+        path, rows = _export(tmp_path, f"f {k}+%.csv", k, kinds[k % 5])
+        files.append((path, f"c{k}"))
+        want += [(f"c{k}", *r) for r in rows]
+    other = _write(tmp_path, "wide.csv", b"URL|Status|Embedding\nhttps://x.de|200|[1]\nhttps://y.de|404\n")
+    lost = [(str(tmp_path / "none.csv"), "n1"), (str(tmp_path / "no folder" / "x.csv"), "n2"), (_write(tmp_path, "empty.csv", b""), "n3"), (_write(tmp_path, "blank.csv", b"\n  \n"), "n4"),
+            (_write(tmp_path, "broken.csv.gz", b"no gzip at all"), "n5")]
+    scan, jobs = _jobs(spark, "many", lambda: files_module.scan_files(spark, lost[:2] + files + lost[2:] + [(other, None)]))
+    assert [(f.encoding, f.delimiter) for f in scan.files[2:7]] == [("UTF-8", ","), ("UTF-8", ";"), ("windows-1252", ";"), ("UTF-8", ","), ("UTF-8", ",")]
+    assert {c: m for _, c, m in scan.problems()} == {"n1": "Datei nicht lesbar.", "n2": "Datei nicht lesbar.", "n3": "Datei ist leer.", "n4": "Datei ist leer.", "n5": "Datei nicht lesbar."}
+    got = scan.rows.orderBy("pos").collect()
+    assert [(r["variant"], r["Address"], r["Title"]) for r in got if r["variant"]] == want          # in the order of the list, then of the lines
+    assert [(r["URL"], r["Status"], r["Embedding"]) for r in got if not r["variant"]] == [("https://x.de", "200", "[1]"), ("https://y.de", "404", None)]
+    assert scan.bad_lines.count() == 60
+    few, few_jobs = _jobs(spark, "few", lambda: files_module.scan_files(spark, lost[:2] + files[:200] + lost[2:] + [(other, None)]))
+    assert jobs == few_jobs <= 10 and len(few.files) == 206        # jobs follow the layouts, not the files
+
+
+def test_scan_of_no_readable_file(spark, tmp_path):
+    scan = files_module.scan_files(spark, [(str(tmp_path / "x.csv"), "de")])
+    assert scan.rows is None and scan.problems() == [(str(tmp_path / "x.csv"), "de", "Datei nicht lesbar.")]
+
+
+@pytest.mark.parametrize("kind", ["plain", "semi", "cp", "bad", "bom"])
+def test_ingest_reads_once_and_equals_the_scan(spark, tmp_path, kind):
+    path, _ = _export(tmp_path, "x.csv", 7, kind)
+    scan = read_delimited(spark, path)
+    got, counts = files_module.ingest_delimited(spark, path, str(tmp_path / "out"))
+    assert (got.columns, got.encoding, got.delimiter) == (scan.columns, scan.encoding, scan.delimiter)
+    plain = lambda s: [tuple(r)[1:] for r in s.rows.orderBy("pos").collect()]              # noqa: E731
+    assert plain(got) == plain(scan) and got.bad_line_count() == scan.bad_line_count() == counts["bad_lines"]
+    assert counts["lines"] == len(plain(got)) + counts["bad_lines"] and (counts["not_utf8"] > 0) == (kind == "cp")
+    with pytest.raises(ValueError):
+        files_module.ingest_delimited(spark, _write(tmp_path, "e.csv", b"\n"), str(tmp_path / "none"))
+
+
+def test_multi_line_positions_follow_the_files(spark, tmp_path):
+    """Spark reads large files first; positions follow the names."""
+    for k in range(3):
+        _write(tmp_path, f"part-{k}.csv", ("a,b\n" + "".join(f'"{k} {r}\nx","y"\n' for r in range(5 + 400 * k))).encode())
+    rows = read_delimited(spark, str(tmp_path), multi_line=True).rows.orderBy("pos").collect()
+    assert [r["a"].split("\n")[0] for r in rows] == [f"{k} {r}" for k in range(3) for r in range(5 + 400 * k)]
