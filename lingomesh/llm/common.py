@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components  # noqa: F401  (used by the operators here)
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -26,6 +27,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+class Scratch:
+    """Tables written as compressed Parquet below the folder of ``spark.checkpoint.dir``: they cut lineage, survive lost
+    executors, take less room than a checkpoint and are read by column.  ``drop`` deletes those that are no longer read."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self._held = [*getattr(self, "_held", []), out]      # ids stay unique while the tables live
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(t)])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chunk_leaders(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     """Rows ``key, doc, lead`` of distinct (key, doc): ``lead`` is the smallest doc of the key
     in this chunk.  Only leaders (``lead = doc``) have to meet the rows of other chunks, so a

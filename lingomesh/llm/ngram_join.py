@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEADER_SCHEMA, checkpointed, components, first_of_key, leaders_of, packed_texts
+from .common import LEADER_SCHEMA, Scratch, components, first_of_key, leaders_of, packed_texts
 from .words import U, Block, binary_array, inside_row, int_column, mix, text_words, unique_pairs, window_hashes, word_blocks
 
 SHINGLE = 5
@@ -49,6 +49,7 @@ FREQUENT = 512            # a shingle in one of so many documents is ordered las
 TILE = 1024
 BIN = 4 * TILE            # members of small groups that are looked at together
 SALTS = 32
+FOLD = 1 << 20            # values of the folded list of rows that go
 BAND = float(np.log(100 / THRESHOLD)) * 1.0001    # a little wider, so that rounding parts no pair
 
 
@@ -308,16 +309,18 @@ def _large_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                   _words64(t.column("bits"))))
 
 
-def _verify(pairs: DataFrame, sketch: DataFrame, packed: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sketch: DataFrame, packed: DataFrame, stored: Scratch) -> DataFrame:
     """Links among the candidate pairs: bitmap bound, then exact intersection."""
     sa = sketch.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     sb = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    passed = checkpointed(pairs.join(sa, "a").join(sb, "b").mapInArrow(_bounded_pairs, "a long, b long"))
+    passed = stored(pairs.join(sa, "a").join(sb, "b").mapInArrow(_bounded_pairs, "a long, b long"))
     need = passed.select(F.col("a").alias("id")).unionByName(passed.select(F.col("b").alias("id"))).distinct()
     sets = packed.join(need, "id", "left_semi").mapInArrow(_set_rows, "sid long, shingles binary")
     both = (passed.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b"))
-    return checkpointed(both.mapInArrow(_exact_pairs, "a long, b long").distinct())
+    out = stored(both.mapInArrow(_exact_pairs, "a long, b long").distinct())
+    stored.drop(passed)
+    return out
 
 
 def _binned(groups: DataFrame) -> DataFrame:
@@ -331,7 +334,7 @@ def _binned(groups: DataFrame) -> DataFrame:
     return rows.select("key", "first", "k", F.pmod(F.xxhash64("key"), F.coalesce("bins", F.lit(1))).cast("int").alias("bin"))
 
 
-def _residual_pairs(shared: DataFrame, comp: DataFrame, sketch: DataFrame) -> DataFrame:
+def _residual_pairs(shared: DataFrame, comp: DataFrame, sketch: DataFrame, stored: Scratch) -> DataFrame:
     """Pairs of different components in one prefix group, found tile by tile."""
     rows = (shared.select("key", F.col("doc").alias("id")).join(comp, F.col("id") == F.col("node"), "left")
             .select("key", "id", F.coalesce("root", "id").alias("comp")))
@@ -341,8 +344,8 @@ def _residual_pairs(shared: DataFrame, comp: DataFrame, sketch: DataFrame) -> Da
     # shingles of one passage have the same members: one of them stands for all
     groups = groups.groupBy("m", "x", "s").agg(F.min("key").alias("key"), F.min("c1").alias("first")).select(
         "key", "first", "m", F.ceil(F.col("m") / TILE).cast("int").alias("k"))
-    groups = _binned(checkpointed(groups))
-    rows = checkpointed(rows.join(groups, "key"))
+    groups = _binned(stored(groups))
+    rows = stored(rows.join(groups, "key"))
     bits = sketch.select("id", "n", "bits")
     # small groups that begin with the same component mostly hold the same documents: they are looked
     # at together, each document once with the keys it has there; bins bound what one task holds, and
@@ -376,21 +379,23 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n_docs = texts.count()
-    survey = checkpointed(texts.mapInArrow(_survey, "id long, n long, sig1 long, sig2 long, key long, often long"))
+    stored = Scratch(spark, "ngram")
+    survey = stored(texts.mapInArrow(_survey, "id long, n long, sig1 long, sig2 long, key long, often long"))
     often = survey.where("key IS NOT NULL").groupBy("key").agg(F.sum("often").alias("often")).where(F.col("often") >= max(2, n_docs / FREQUENT))
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64).view(np.uint64)))
     rows = survey.where("key IS NULL").select("id", "n", "sig1", "sig2")
-    reps = checkpointed(rows.where("id IS NOT NULL AND n > 0").groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep")))
+    reps = stored(rows.where("id IS NOT NULL AND n > 0").groupBy("n", "sig1", "sig2").agg(F.min("id").alias("rep")))
     sketch = texts.where("id IS NOT NULL").mapInArrow(_sketches(frequent), "id long, n long, sig1 long, sig2 long, prefix binary, bits binary")
-    sketch = checkpointed(sketch.join(reps.withColumnRenamed("rep", "id"), ["id", "n", "sig1", "sig2"])
+    sketch = stored(sketch.join(reps.withColumnRenamed("rep", "id"), ["id", "n", "sig1", "sig2"])
                           .dropDuplicates(["id", "n", "sig1", "sig2"]).select("id", "n", "prefix", "bits"))
     known = packed_texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    shared = checkpointed(first_of_key(sketch.select("id", "prefix").mapInArrow(_prefix_rows, LEADER_SCHEMA)).where("shared").select("key", "doc", "lead", "first"))
+    shared = stored(first_of_key(sketch.select("id", "prefix").mapInArrow(_prefix_rows, LEADER_SCHEMA)).where("shared").select("key", "doc", "lead", "first"))
     star = (shared.select(F.col("doc").alias("b"), F.when(F.col("lead") < F.col("doc"), F.col("lead")).otherwise(F.col("first")).alias("a"))
             .where("a < b").distinct())
-    edges = _verify(star, sketch, known)
+    edges = _verify(star, sketch, known, stored)
     comp = components(edges)
-    rest = _verify(_residual_pairs(shared, comp, sketch), sketch, known)
+    rest = _verify(_residual_pairs(shared, comp, sketch, stored), sketch, known, stored)
+    stored.drop(sketch, shared)
     return rows, reps, edges.unionByName(rest)
 
 
@@ -406,9 +411,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, that are the smallest of their group.  Rows without a
-    set or an id are groups of their own.  Of rows that repeat an id and its text one stays."""
-    c = classes(docs, id_col, text_col)
-    gone = c.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return left
+    """The documents, all columns kept, one row of each group of linked sets: the one with the smallest id (of rows that
+    share it, the one with the smallest hash of id and text).  Rows are judged by their own text: of rows that repeat an id and its text
+    one stays, rows that share an id but not their text are judged apart.  Rows without a set or an id stay, all of them.
+
+    Most rows do not move: the hashes of the rows that go, folded to ``FOLD`` values, are broadcast, and only rows that meet one
+    are joined to the exact list.
+    """
+    node = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    rows, reps, edges = links(docs.select(node.alias("__node"), F.col(text_col).alias("__text")), "__node", "__text")
+    comp = components(edges)
+    root = reps.join(comp, F.col("rep") == F.col("node"), "left").select("n", "sig1", "sig2", F.coalesce("root", "rep").alias("component"))
+    stored = Scratch(docs.sparkSession, "keep")
+    named = rows.where("id IS NOT NULL AND n > 0").groupBy(F.col("id").alias("node"), "n", "sig1", "sig2").agg(F.count(F.lit(1)).alias("copies"))
+    named = named.join(root, ["n", "sig1", "sig2"]).select("node", "component", "copies")
+    ids = docs.select(node.alias("__node"), F.col(id_col).cast("long").alias("__id")).where("__node IS NOT NULL").distinct()
+    named = stored(named.join(ids, F.col("node") == F.col("__node")).select("node", "component", "copies", "__id"))
+    first = named.groupBy("component").agg(F.min(F.struct("__id", "node")).alias("m"), F.count(F.lit(1)).alias("members")).where("members > 1").select(
+        "component", F.col("m.node").alias("first"))
+    gone = named.join(first, "component").where("node <> first").select(F.col("node").alias("__gone"), F.lit(False).alias("__once"))
+    again = named.where("copies > 1").join(gone, F.col("node") == F.col("__gone"), "left_anti").select(F.col("node").alias("__gone"), F.lit(True).alias("__once"))
+    touched = stored(gone.unionByName(again))                # rows of these nodes go, or stay once
+    folded = F.broadcast(touched.select(F.pmod("__gone", F.lit(FOLD)).alias("__fold")).distinct())
+    marked = docs.withColumn("__node", node)
+    fold = F.pmod(F.coalesce("__node", F.lit(-1).cast("long")), F.lit(FOLD)) == F.col("__fold")
+    none = F.col("__node").isNull()
+    apart = marked.where(none).unionByName(marked.where(~none).join(folded, fold, "left_anti"))
+    met = marked.where(~none).join(folded, fold, "left_semi").join(touched, F.col("__node") == F.col("__gone"), "left")
+    once = met.where("__once").dropDuplicates(["__node"])
+    return apart.select(*docs.columns).unionByName(met.where("__gone IS NULL").select(*docs.columns)).unionByName(once.select(*docs.columns))

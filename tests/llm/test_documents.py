@@ -123,11 +123,30 @@ def test_ngram_join_bins(spark, monkeypatch):
     assert plain(ngram_join.classes(df)) == order(brute.jaccard_classes(rows))
 
 
+def kept_by_hand(rows):
+    """One (id, text) of each group of linked sets of the distinct (id, text): the smallest id; all without a set or an id."""
+    nodes = sorted({(i, t) for i, t in rows if i is not None and brute.shingles(t)})
+    classes = brute.jaccard_classes([(k, t) for k, (_, t) in enumerate(nodes)])
+    rest = [(i, t) for i, t in rows if i is None or not brute.shingles(t)]
+    return sorted([nodes[k][0] for k, _, c in classes if k == c] + [i for i, _ in rest if i is not None]), len([1 for i, _ in rest if i is None])
+
+
 def test_keep_one(docs):
     out = ngram_join.keep_one(docs)
     assert out.columns == docs.columns
-    want = sorted(i for i, _, c in brute.jaccard_classes(ROWS) if i is not None and i == c)
-    assert sorted(r["doc_id"] for r in out.collect() if r["doc_id"] is not None) == want
+    got = [r["doc_id"] for r in out.collect()]
+    want, nulls = kept_by_hand(ROWS)
+    assert sorted(i for i in got if i is not None) == want and got.count(None) == nulls == 2
+
+
+def test_keep_one_judges_rows_by_their_set(spark, none):
+    """An id that repeats loses neither its unique text nor keeps its copies."""
+    a, b, c, d = ("alpha beta gamma delta eps", "one two three four five six", "x y z", "only here under a repeated id")
+    rows = [(3, a), (5, b), (5, a), (7, c), (7, c), (7, d), (7, d), (8, None), (8, None), (None, a), (None, a), (9, ""), (2, c.upper())]
+    df = spark.createDataFrame([(i, t, "en", "x", "y", 7, "z", "s") for i, t in rows], SCHEMA).repartition(4)
+    got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (2, c.upper()), (7, d), (8, None), (8, None), (None, a), (None, a), (9, "")], key=str)
+    assert ngram_join.keep_one(none).count() == 0
 
 
 def test_quality_base_counts(docs, none):

@@ -57,7 +57,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     names = [n for n in E.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
