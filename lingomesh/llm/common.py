@@ -28,7 +28,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables written as compressed Parquet below the folder of ``spark.checkpoint.dir``: they cut lineage, survive lost
+    """Tables written as Parquet (snappy: little memory beside the heap) below the folder of ``spark.checkpoint.dir``: they cut lineage, survive lost
     executors, take less room than a checkpoint and are read by column.  ``drop`` deletes those that are no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
@@ -38,7 +38,7 @@ class Scratch:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._held = [*getattr(self, "_held", []), out]      # ids stay unique while the tables live

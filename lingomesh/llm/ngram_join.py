@@ -315,7 +315,8 @@ def _verify(pairs: DataFrame, sketch: DataFrame, packed: DataFrame, stored: Scra
     sb = sketch.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     passed = stored(pairs.join(sa, "a").join(sb, "b").mapInArrow(_bounded_pairs, "a long, b long"))
     need = passed.select(F.col("a").alias("id")).unionByName(passed.select(F.col("b").alias("id"))).distinct()
-    sets = packed.join(need, "id", "left_semi").mapInArrow(_set_rows, "sid long, shingles binary")
+    # never a broadcast join: packing and unpacking would run in one task, with a Python worker each
+    sets = packed.join(need.hint("merge"), "id", "left_semi").mapInArrow(_set_rows, "sid long, shingles binary")
     both = (passed.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b"))
     out = stored(both.mapInArrow(_exact_pairs, "a long, b long").distinct())
