@@ -6,13 +6,18 @@ costs nothing; a row that moves costs its bytes.
 
 1. Spark counts rows and bytes per block: old shard x size class (powers of two, two classes
    each); a table of at most old_shards x ~128 rows, whatever the number of documents.
-2. The driver solves the transfer as a minimum-cost flow from blocks to shards: supply is the
-   block's rows, capacity the new shard's rows, cost the block's mean bytes if the shard changes.
-   The flow moves the cheapest blocks of overfull shards and nothing else.
+2. The driver solves the transfer as a minimum-cost flow: every row of every block enters it.  A
+   row of a block costs nothing on the arc to its own shard and the block's mean bytes on the arc
+   to the pool, from which all shards are reached.  A shard passes ``base`` rows on, and one more
+   through a gate that is open as often as there are rows left over.  So the flow decides what
+   stays, what moves where, and which shards take the extra row.
 3. Spark ranks the rows of each block (``common.gapless_rank``, salted), and the flow's ranges of
    ranks say where a row goes.  Slots are ranks within the new shard.
 4. ``rewrite`` writes only the files of shards that gain or lose rows.
 
+Groups of equal texts are dealt like any other rows: under this law a group larger than a shard
+cannot lie in one, so equal texts may lie in different shards.
+
 Edge cases: null text has size 16; a null id is in old shard 0; ids may repeat, rows are placed one
 by one.  Fewer rows than shards leaves shards empty.  Extra columns are ignored by ``placement``
 and kept by ``rewrite``.
@@ -31,95 +36,85 @@ OLD_SHARDS = 32
 NEW_SHARDS = 40
 
 
-def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[tuple[int, int, int]]:
-    """Cheapest transport of all supplies into the capacities (sums are equal): ``(source, target,
-    amount)``.  ``cost(s, t)`` is 0 or more.  Successive shortest paths with potentials; the
-    amount of a path is as large as its edges allow, so the number of paths is bounded by the
-    table sizes and not by the rows."""
-    ns, nt = len(supply), len(capacity)
-    left, room = list(supply), list(capacity)
-    flow = [dict() for _ in range(ns)]                # target → amount
-    users = [set() for _ in range(nt)]                # sources that send to the target
-    costs = [[float(cost(s, t)) for t in range(nt)] for s in range(ns)]
-    pot_s, pot_t = [0.0] * ns, [min(costs[s][t] for s in range(ns)) if ns else 0.0 for t in range(nt)]
-    for start in range(ns):
-        while left[start] > 0:
-            dist_s, dist_t = {start: 0.0}, {}
-            from_t, from_s = {}, {}                   # target ← source, source ← target
-            heap, done, goal = [(0.0, 0, start)], set(), None
+def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, float]], supplies: list[tuple[int, int]], sink: int) -> list[int]:
+    """Amounts on ``arcs`` (``tail, head, capacity, cost`` of 0 or more) that bring all supplies (``node, amount``) to
+    the sink at the least cost.  Successive shortest paths with potentials; a path takes as much as its arcs allow,
+    so the number of paths follows the size of the network and not the amounts."""
+    head, room, cost, out = [], [], [], [[] for _ in range(nodes)]
+    for tail, to, capacity, price in arcs:                    # arc k is edge 2k, its way back edge 2k + 1
+        for u, v, c, w in ((tail, to, capacity, float(price)), (to, tail, 0, -float(price))):
+            out[u].append(len(head))
+            head.append(v)
+            room.append(c)
+            cost.append(w)
+    potential = [0.0] * nodes
+    for start, left in supplies:
+        while left > 0:
+            dist, via, heap, done = {start: 0.0}, {}, [(0.0, start)], set()
             while heap:
-                d, kind, v = heapq.heappop(heap)
-                if (kind, v) in done:
+                d, u = heapq.heappop(heap)
+                if u in done:
                     continue
-                done.add((kind, v))
-                if kind == 0:
-                    row, base = costs[v], d + pot_s[v]
-                    for t in range(nt):
-                        nd = max(base + row[t] - pot_t[t], d)
-                        if nd < dist_t.get(t, float("inf")) - 1e-9:
-                            dist_t[t], from_t[t] = nd, v
-                            heapq.heappush(heap, (nd, 1, t))
-                else:
-                    if room[v] > 0:
-                        goal = v
-                        break
-                    for s in users[v]:
-                        nd = max(d + pot_t[v] - costs[s][v] - pot_s[s], d)
-                        if nd < dist_s.get(s, float("inf")) - 1e-9:
-                            dist_s[s], from_s[s] = nd, v
-                            heapq.heappush(heap, (nd, 0, s))
-            reach = dist_t[goal]
-            path, t = [], goal
-            while True:
-                s = from_t[t]
-                path.append((s, t, 1))
-                if s == start:
+                done.add(u)
+                if u == sink:
                     break
-                t = from_s[s]
-                path.append((s, t, -1))
-            amount = min([left[start], room[goal], *(flow[s][t] for s, t, sign in path if sign < 0)])
-            for s, t, sign in path:
-                flow[s][t] = flow[s].get(t, 0) + sign * amount
-                if flow[s][t]:
-                    users[t].add(s)
-                else:
-                    del flow[s][t]
-                    users[t].discard(s)
-            left[start] -= amount
-            room[goal] -= amount
-            for s, d in dist_s.items():
-                pot_s[s] += min(d, reach) - reach
-            for t, d in dist_t.items():
-                pot_t[t] += min(d, reach) - reach
-    return [(s, t, n) for s in range(ns) for t, n in sorted(flow[s].items())]
+                for e in out[u]:
+                    v = head[e]
+                    if room[e] > 0 and v not in done:
+                        reach = d + max(cost[e] + potential[u] - potential[v], 0.0)
+                        if reach < dist.get(v, float("inf")):
+                            dist[v], via[v] = reach, e
+                            heapq.heappush(heap, (reach, v))
+            if sink not in done:
+                raise ValueError("the network cannot take all supplies")
+            path, v = [], sink
+            while v != start:
+                path.append(via[v])
+                v = head[via[v] ^ 1]
+            amount = min(left, *(room[e] for e in path))
+            for e in path:
+                room[e] -= amount
+                room[e ^ 1] += amount
+            left -= amount
+            for v in done:                                    # nodes beyond the sink keep their distance to it
+                potential[v] += dist[v] - dist[sink]
+    return [room[2 * k + 1] for k in range(len(arcs))]
 
 
 def transfers(blocks: list[tuple[int, int, int, int]], new_shards: int) -> list[tuple[int, int, int, int, int]]:
-    """``old, class, first_rank, n, shard`` for blocks ``(old, class, rows, bytes)``; row counts of
-    the new shards differ by one at most, the larger ones are those that hold most already."""
-    total = sum(b[2] for b in blocks)
-    have = [0] * new_shards
-    for old, _, rows, _ in blocks:
-        if old < new_shards:
-            have[old] += rows
+    """``old, class, first_rank, n, shard`` for blocks ``(old, class, rows, bytes)``: new shards whose
+    row counts differ by one at most, with the fewest moved bytes over all choices of the larger ones."""
+    blocks = sorted(blocks)
+    total, nb = sum(b[2] for b in blocks), len(blocks)
     base, more = divmod(total, new_shards)
-    capacity = [base] * new_shards
-    for j in sorted(range(new_shards), key=lambda j: (-have[j], j))[:more]:
-        capacity[j] += 1
-    # what fits stays: the dearest blocks of each shard first; only the surplus enters the flow
-    room, out, surplus = list(capacity), [], []
-    for old, cls, rows, size in sorted(blocks, key=lambda b: (b[0], -b[3] / b[2], b[1])):
-        stay = min(rows, room[old]) if old < new_shards else 0
-        if stay:
-            out.append((old, cls, 0, stay, old))
-            room[old] -= stay
-        if rows > stay:
-            surplus.append((old, cls, stay, rows - stay, size / rows))
-    used = [0] * len(surplus)
-    for s, t, n in min_cost_flow([b[3] for b in surplus], room, lambda s, t: 0.0 if surplus[s][0] == t else surplus[s][4]):
-        old, cls, first, _, _ = surplus[s]
-        out.append((old, cls, first + used[s], n, t))
-        used[s] += n
+    shard, pool = range(nb, nb + new_shards), nb + new_shards
+    gate, sink = pool + 1, pool + 2
+    arcs = []
+    for i, (old, _, rows, size) in enumerate(blocks):
+        if old < new_shards:
+            arcs.append((i, shard[old], rows, 0.0))
+        arcs.append((i, pool, rows, size / rows))
+    arcs += [arc for s in shard for arc in ((pool, s, total, 0.0), (s, sink, base, 0.0), (s, gate, 1, 0.0))]
+    arcs.append((gate, sink, more, 0.0))
+    flow = min_cost_flow(sink + 1, arcs, [(i, b[2]) for i, b in enumerate(blocks)], sink)
+    stays, leaves, wanted = [0] * nb, [0] * nb, [0] * new_shards
+    for (tail, to, _, _), amount in zip(arcs, flow):
+        if tail < nb:
+            if to == pool:
+                leaves[tail] = amount
+            else:
+                stays[tail] = amount
+        elif tail == pool:
+            wanted[to - nb] = amount
+    out = [(old, cls, 0, n, old) for (old, cls, _, _), n in zip(blocks, stays) if n]
+    at = 0                                                    # what the pool holds is dealt in order
+    for (old, cls, _, _), first, n in zip(blocks, stays, leaves):
+        while n:
+            while not wanted[at]:
+                at += 1
+            part = min(n, wanted[at])
+            out.append((old, cls, first, part, at))
+            first, n, wanted[at] = first + part, n - part, wanted[at] - part
     return out
 
 

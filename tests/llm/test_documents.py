@@ -298,12 +298,24 @@ def test_sharding(docs, none):
     assert sharding.placement(none).count() == 0
 
 
+def test_sharding_groups_of_equal_texts(spark):
+    """Equal texts are dealt like other rows: a group larger than a shard lies in several, counts stay equal."""
+    df = spark.createDataFrame([(i, "the same text" if i < 300 else f"text {i}") for i in range(400)], "doc_id long, text string")
+    rows = sharding.placement(df, old_shards=3, new_shards=4).collect()
+    assert sorted(sum(r["shard"] == s for r in rows) for s in range(4)) == [100] * 4
+    assert len({r["shard"] for r in rows if r["doc_id"] < 300}) > 1
+
+
 def test_sharding_moves_the_fewest_bytes():
+    """Against every choice of the shards that take an extra row."""
+    import itertools
+
     rng = random.Random(3)
-    for _ in range(30):
+    for _ in range(500):
         old, new = rng.randrange(1, 5), rng.randrange(1, 6)
-        blocks = [(o, c, rng.randrange(1, 6), 0) for o in range(old) for c in range(rng.randrange(1, 4))]
-        blocks = [(o, c, n, n * 10 ** c) for o, c, n, _ in blocks]
+        blocks = [(o, c, rng.randrange(1, 6), 0) for o in range(old) for c in rng.sample(range(4), rng.randrange(0, 4))]
+        size = {(o, c): rng.randrange(1, 30) for o, c, *_ in blocks}
+        blocks = [(o, c, n, n * size[o, c]) for o, c, n, _ in blocks]
         plan = sharding.transfers(blocks, new)
         got = {}
         for o, c, first, n, s in plan:
@@ -313,12 +325,16 @@ def test_sharding_moves_the_fewest_bytes():
             assert [a for a, _ in ranges] == [sum(m for _, m in ranges[:k]) for k in range(len(ranges))] and sum(m for _, m in ranges) == n
         rows = [sum(n for *_, n, s in plan if s == j) for j in range(new)]
         assert max(rows) - min(rows) <= 1
-        moved = sum(n * 10 ** c for o, c, _, n, s in plan if o != s)
-        least = 0                                       # what leaves an overfull shard is its smallest rows
-        for o in range(old):
-            sizes = sorted(10 ** c for oo, c, n, _ in blocks if oo == o for _ in range(n))
-            least += sum(sizes[: max(0, len(sizes) - rows[o])]) if o < new else sum(sizes)
-        assert moved == least
+        base, more = divmod(sum(b[2] for b in blocks), new)
+
+        def least(larger):                               # what leaves an overfull shard is its smallest rows
+            moved = 0
+            for o in range(old):
+                sizes = sorted(size[oo, c] for oo, c, n, _ in blocks if oo == o for _ in range(n))
+                moved += sum(sizes[: max(0, len(sizes) - base - (o in larger))]) if o < new else sum(sizes)
+            return moved
+
+        assert sum(n * size[o, c] for o, c, _, n, s in plan if o != s) == min(least(k) for k in itertools.combinations(range(new), more))
 
 
 def test_min_cost_flow_is_cheapest():
@@ -327,17 +343,18 @@ def test_min_cost_flow_is_cheapest():
     rng = random.Random(1)
     for _ in range(40):
         supply = [rng.randrange(0, 3) for _ in range(3)]
-        total = sum(supply)
         capacity = [0, 0, 0]
-        for _ in range(total):
+        for _ in range(sum(supply)):
             capacity[rng.randrange(3)] += 1
         cost = [[rng.randrange(0, 9) for _ in range(3)] for _ in range(3)]
-        flow = sharding.min_cost_flow(supply, capacity, lambda s, t: cost[s][t])
+        arcs = [(s, 3 + t, 99, cost[s][t]) for s in range(3) for t in range(3)] + [(3 + t, 6, capacity[t], 0) for t in range(3)]
+        flow = sharding.min_cost_flow(7, arcs, list(enumerate(supply)), 6)
         units = [s for s, n in enumerate(supply) for _ in range(n)]
         seats = [t for t, n in enumerate(capacity) for _ in range(n)]
         best = min((sum(cost[s][t] for s, t in zip(units, p)) for p in set(itertools.permutations(seats))), default=0)
-        assert sum(n * cost[s][t] for s, t, n in flow) == best
-        assert [sum(n for a, _, n in flow if a == s) for s in range(3)] == supply
+        assert sum(n * price for (*_, price), n in zip(arcs, flow)) == best
+        assert [sum(flow[3 * s: 3 * s + 3]) for s in range(3)] == supply
+        assert all(n <= arc[2] for arc, n in zip(arcs, flow))
 
 
 def test_rewrite(spark, tmp_path):
