@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import CLASSES, COMMON, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_DOCS, MIN_WORDS
+from .quality_rules import CLASSES, COMMON, LEAST_EXPECTED, MAX_CHAR_DISTANCE, MAX_COMMON_DISTANCE, MAX_WORD_DISTANCE, MIN_DOCS, MIN_WORDS, WIDE
 
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,9 +65,14 @@ b AS (SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
 tri AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, k FROM tri GROUP BY doc_id, k HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM tri JOIN twice USING (doc_id, k)) GROUP BY doc_id),
-langs AS (SELECT lang FROM d GROUP BY lang HAVING count(*) >= {MIN_DOCS} AND count(*) * 1000 >= (SELECT count(*) FROM d)),
+langs AS (SELECT lang FROM d GROUP BY lang HAVING count(*) >= {MIN_DOCS}),
 freq AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM d JOIN langs USING (lang)) GROUP BY lang, x),
-top AS (SELECT lang, list(x ORDER BY r) AS common FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM freq) WHERE r <= {COMMON} GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM freq QUALIFY r <= {WIDE}),
+top AS (SELECT lang, list(x ORDER BY r) AS common FROM ranked WHERE r <= {COMMON} GROUP BY lang),
+nw AS (SELECT doc_id, count(*) AS n_wide FROM (SELECT doc_id, lang, unnest(w) AS x FROM d) SEMI JOIN ranked USING (lang, x) GROUP BY doc_id),
+share AS (SELECT lang, 1000 * coalesce(n_wide, 0) // n_words AS share FROM b JOIN top USING (lang) LEFT JOIN nw USING (doc_id) WHERE n_words >= {MIN_WORDS}),
+upto AS (SELECT lang, share, count(*) OVER (PARTITION BY lang ORDER BY share) AS upto, count(*) OVER (PARTITION BY lang) AS n FROM share),
+med AS (SELECT lang, min(share) / 1000 AS ref_wide FROM upto WHERE 2 * upto >= n GROUP BY lang),
 h AS (SELECT b.*, common, [{', '.join(_RARE)}] AS rare,
   list_transform(range(0, {COMMON + 1}), lambda k: len(list_filter(list_transform(w, lambda x: coalesce(list_position(common, x), 0)), lambda v: v = k))) AS commons
   FROM b LEFT JOIN top USING (lang)),
@@ -77,13 +82,16 @@ rc AS (SELECT lang, list(s ORDER BY i) AS ref FROM (SELECT lang, i, sum(v)::DOUB
 u2 AS (SELECT lang, unnest(commons) AS v, unnest(range(1, {COMMON + 2})) AS i FROM c WHERE common IS NOT NULL),
 rw AS (SELECT lang, list(s ORDER BY i) AS ref2 FROM (SELECT lang, i, sum(v)::DOUBLE AS s FROM u2 GROUP BY lang, i) GROUP BY lang),
 s AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, {_shares('chars')} AS p1, {_shares('ref')} AS q1, {_shares('commons')} AS p2, {_shares('ref2')} AS q2,
-  n_words >= {MIN_WORDS} AND ref IS NOT NULL AS guard
-  FROM c LEFT JOIN rc USING (lang) LEFT JOIN rw USING (lang) LEFT JOIN rep USING (doc_id)),
+  n_words >= {MIN_WORDS} AND ref IS NOT NULL AS guard, ref_wide, coalesce(n_wide, 0) / greatest(n_words, 1) AS ws,
+  [ws, 1 - ws] AS p3, [ref_wide, 1 - ref_wide] AS q3, [0, 1] AS none
+  FROM c LEFT JOIN rc USING (lang) LEFT JOIN rw USING (lang) LEFT JOIN rep USING (doc_id) LEFT JOIN med USING (lang) LEFT JOIN nw USING (doc_id)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  CASE WHEN guard THEN {_distance('p1', 'q1')} END AS cd, CASE WHEN guard THEN {_distance('p2', 'q2')} END AS wd FROM s)
+  CASE WHEN guard THEN {_distance('p1', 'q1')} END AS cd, CASE WHEN guard THEN {_distance('p2', 'q2')} END AS wd,
+  CASE WHEN guard AND n_words * ref_wide >= {LEAST_EXPECTED} THEN CASE WHEN ws >= ref_wide THEN 0 ELSE {_distance('p3', 'q3')} / {_distance('none', 'q3')} END END AS od FROM s)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(cd > {MAX_CHAR_DISTANCE}, false) AND NOT coalesce(wd > {MAX_WORD_DISTANCE}, false) AS kept
+  NOT base_failed AND NOT coalesce(cd > {MAX_CHAR_DISTANCE}, false) AND NOT coalesce(wd > {MAX_WORD_DISTANCE}, false)
+    AND NOT coalesce(od > {MAX_COMMON_DISTANCE}, false) AS kept, guard AS compared
 FROM j"""
 
 OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(f"translate(text, '{UPPER}', '{LOWER}')")} AS w FROM documents),

@@ -24,8 +24,9 @@ documents has a reference.  Those that hold a thousandth of all documents or mor
 are broadcast; the rows of all others meet theirs in a shuffle by language, where none is hot, as
 each holds less than a thousandth.
 
-Edge cases: null or empty text has no words and fails the base rule; a null language is a
-language of its own; equal lines and windows count each time; a doc_id may repeat or be null
+Edge cases: null or empty text has no words and fails the base rule; a null language
+counts as the empty one; texts of a language with fewer than ``min_docs`` documents meet the base
+rule only (``compared`` says of each row whether it met the references); equal lines and windows count each time; a doc_id may repeat or be null
 (each row is judged alone).  Extra columns are ignored by ``metrics`` and kept by ``accepted``.
 """
 
@@ -143,9 +144,12 @@ def _row_key(text_col: str, lang_col: str) -> list[Column]:
 
 
 def within_limits(failed: Column) -> Column:
-    """The rules that the SQL twin states: all but ``common_distance``."""
-    far = F.coalesce(F.col("char_distance") > MAX_CHAR_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
-    return ~failed & ~far
+    """Neither the base rule nor a distance rejects the text; a distance that is not given rejects nothing."""
+    limits = {"char_distance": MAX_CHAR_DISTANCE, "word_distance": MAX_WORD_DISTANCE, "common_distance": MAX_COMMON_DISTANCE}
+    kept = ~failed
+    for name, limit in limits.items():
+        kept = kept & ~F.coalesce(F.col(name) > limit, F.lit(False))
+    return kept
 
 
 def _median_share(rows: DataFrame) -> DataFrame:
@@ -167,12 +171,12 @@ def _by_lang(rows: DataFrame, side: DataFrame, rare_langs: bool) -> DataFrame:
     return rows.join(F.broadcast(hot), "lang").unionByName(rest.join(side.where(~F.col("hot")).drop("hot").hint("merge"), "lang", "left"))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, min_docs: int) -> DataFrame:
     """The columns of ``metrics`` and those of ``_row_key``."""
     d = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     total = d.count()
-    enough = sizes.where(F.col("n_docs") >= MIN_DOCS).select("lang", (F.col("n_docs") * HOT_LANGS >= total).alias("hot"))
+    enough = sizes.where(F.col("n_docs") >= min_docs).select("lang", (F.col("n_docs") * HOT_LANGS >= total).alias("hot"))
     lists = checkpointed(common_words(d, "text", "lang").join(enough, "lang").select("lang", "hot", "common", "wide"))
     rare_langs = lists.where(~F.col("hot")).limit(1).count() > 0
     counted = _by_lang(base_counts(d), lists, rare_langs).select(
@@ -202,21 +206,20 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
         .withColumn("word_distance", F.when(guard, distance(_shares(F.col("commons")), F.col("ref_commons")))) \
         .withColumn("common_distance", F.when(guard & (F.col("n_words") * F.col("ref_wide") >= LEAST_EXPECTED),
                                               relative_distance(F.col("n_wide") / F.col("n_words"), F.col("ref_wide"))))
-    strange = F.coalesce(F.col("common_distance") > MAX_COMMON_DISTANCE, F.lit(False))
     return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         failed.alias("base_failed"), (within_limits(failed) & ~strange).alias("kept"), "char_distance", "word_distance",
+                         failed.alias("base_failed"), within_limits(failed).alias("kept"), guard.alias("compared"), "char_distance", "word_distance",
                          "common_distance", "__h1", "__h2")
 
 
-def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: id, base counts, ``base_failed``, the three distances and ``kept``."""
-    return _judged(docs, id_col, text_col, lang_col).drop("__h1", "__h2")
+def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_docs: int = MIN_DOCS) -> DataFrame:
+    """Per row: id, base counts, ``base_failed``, ``kept``, ``compared`` and the three distances."""
+    return _judged(docs, id_col, text_col, lang_col, min_docs).drop("__h1", "__h2")
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents, all columns kept, that pass.  A failed row is found again by its id and the
     hashes of its text and language, so rows that share an id or have none do not go with it."""
-    gone = _judged(docs, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), "__h1", "__h2").distinct()
+    gone = _judged(docs, id_col, text_col, lang_col, min_docs).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), "__h1", "__h2").distinct()
     h1, h2 = _row_key(text_col, lang_col)
     rows = docs.withColumns({"__g1": h1, "__g2": h2})
     same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__g1") == F.col("__h1")) & (F.col("__g2") == F.col("__h2"))

@@ -27,9 +27,7 @@ def op6_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the distances stay in the operator's own result: the same sums in another order differ in the last bit
-    # kept is what the SQL twin defines, without common_distance; the pipeline's stage applies all rules
-    rows = quality_rules.metrics(table(spark, sf_dir, "documents"))
-    return rows.withColumn("kept", quality_rules.within_limits(F.col("base_failed"))).drop("char_distance", "word_distance", "common_distance")
+    return quality_rules.metrics(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance", "common_distance")
 
 
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,31 @@ def test_quality_wrong_language(spark):
     assert ids == {i for i, r in kept.items() if r["kept"]}
 
 
+def test_quality_query_gives_the_operators_verdict(spark, tmp_path):
+    """The query and its SQL twin reject wrong-language texts too, and both say which rows met a reference."""
+    import duckdb
+
+    from lingomesh.llm import queries
+
+    rng = random.Random(6)
+    lists = {g: [f"{g}{''.join(rng.choice('abcdefghij') for _ in range(1 + k % 7))}{'qrstuvw'[k % 7]}" for k in range(3000)] for g in "lmn"}
+    shares = [1 / (k + 12) for k in range(3000)]
+    rows = [(i, " ".join(rng.choices(lists["lm"[i % 2]], shares, k=rng.randrange(40, 200))), "lm"[i % 2]) for i in range(200)]
+    odd = [(1000 + i, " ".join(rng.choices(lists["m"], shares, k=200)), "l") for i in range(3)]
+    edge = [(2000 + i, " ".join(rng.choices(lists["n"], shares, k=90)), "n") for i in range(quality_rules.MIN_DOCS)]
+    few = [(3000 + i, f"{rng.randrange(9)} $ " * 90, "few") for i in range(quality_rules.MIN_DOCS - 1)]
+    rows += odd + edge + few + [(4000, None, None), (4001, "", "")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op7_quality_rules(spark, str(tmp_path)).collect()}
+    assert not any(got[i]["kept"] for i, *_ in odd) and all(got[i]["compared"] for i, *_ in odd + edge) and not any(got[i]["compared"] for i, *_ in few)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cursor = con.execute(queries.ORACLE["op7_quality_rules"])
+    names = [c[0] for c in cursor.description]
+    assert sorted(names) == sorted(next(iter(got.values())).asDict())
+    assert {r[names.index("doc_id")]: dict(zip(names, r)) for r in cursor.fetchall()} == {i: r.asDict() for i, r in got.items()}
+
+
 def test_quality_rare_language(spark):
     """A language below a thousandth of a large table is compared as in a small one."""
     rng = random.Random(8)
