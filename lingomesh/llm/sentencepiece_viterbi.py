@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 Encoding takes the segmentation of a text into vocabulary pieces with the greatest sum of piece
-scores (the unigram reading of the model file; on equal sums the piece that starts earlier wins).
+scores (the unigram reading of the model file; of equal sums up to a position the one whose last piece
+starts earlier wins).
 The text is read as a stream: scores are kept for as many positions as the longest piece has
 characters, back pointers only until all paths that are still alive meet in one boundary; then the
 ids before that boundary are final and are handed out.  A character without a piece becomes its
-UTF-8 bytes (byte pieces).  No vocabulary piece has a word mark after another character, so every
-word mark is such a boundary; words are therefore encoded one by one, with a bounded memo.
+UTF-8 bytes (byte pieces).  No vocabulary piece has a word mark after another character, so all
+paths meet at every word mark: a text is fed segment by segment, and a bounded memo keeps what the
+stream committed for a segment of up to ``KEPT`` characters, so that it need not be fed again.
 
 Decoding joins pieces, byte pieces as UTF-8, word marks as spaces, without the leading mark that
 encoding put there; ``decode(encode(text))`` is the text (``\\u2581`` itself decodes as a space).
 
-Edge cases: null and empty text has no ids and decodes to the empty text; texts of any length use
-memory for their ids only.  ``doc_id`` may be null or repeat.  Extra columns are ignored.
+Edge cases: null and empty text has no ids and decodes to the empty text; beside the text itself a
+text of any length takes memory for its ids, one part of ``PART`` characters and the memo, whose
+bound is kept at every insertion.  ``doc_id`` may be null or repeat.  Extra columns are ignored.
 
 Scale: one pass without a shuffle; each task loads the vocabulary once.
 """
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO = 1 << 20          # words; about 170 bytes each
-LONG = 48                 # longer words are streamed and not kept in the memo
+MEMO = 1 << 20          # segments; about 170 bytes each
+KEPT = 48                 # what longer segments commit is not kept in the memo
+PART = 1 << 16            # characters that are cut into segments at a time
+FED = 1 << 12             # characters of a segment that are fed at a time
 
 
 def model_path(name: str = MODEL) -> str:
@@ -103,15 +108,19 @@ class StreamingViterbi:
         return ids
 
     def _advance(self, to: int) -> None:
-        text, score, back, piece, known, longest = self.text, self.score, self.back, self.piece, self.v.known, self.v.longest
+        text, score, back, piece, prefix, n = self.text, self.score, self.back, self.piece, self.v.prefix, len(self.text)
         for i in range(self.seen, to):
             here, alone = score[i], True
-            for j in range(i + 1, min(i + longest, len(text)) + 1):
-                hit = known.get(text[i:j])
+            for j in range(i + 1, n + 1):
+                hit = prefix.get(text[i:j], 0)
+                if hit == 0:                      # no piece begins like this
+                    break
                 if hit is not None:
-                    alone = alone and j > i + 1
-                    if here + hit[0] > score[j]:
-                        score[j], back[j], piece[j] = here + hit[0], i, hit[1]
+                    if j == i + 1:
+                        alone = False
+                    total = here + hit[0]
+                    if total > score[j]:
+                        score[j], back[j], piece[j] = total, i, hit[1]
             if alone and here + self.v.unknown_score > score[i + 1]:
                 score[i + 1], back[i + 1], piece[i + 1] = here + self.v.unknown_score, i, -1
         self.seen = max(self.seen, to)
@@ -150,70 +159,45 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memo: dict[str, bytes] = {}                  # word → ids as little-endian 32-bit numbers
+        self.stream = StreamingViterbi(vocabulary)
+        self.memo: dict[str, bytes] = {}                  # segment → committed ids as little-endian 32-bit numbers
         joined = "".join(map(re.escape, sorted(vocabulary.joined)))
-        self.words = re.compile(f"{MARK}*[{joined}]+|{MARK}+|.", re.S)
+        self.segments = re.compile(f"{MARK}*[{joined}]+|{MARK}+|.", re.S)
+        self.word_start = re.compile(f"(?<=[^ {MARK}])[ {MARK}]")
 
-    def word(self, w: str) -> tuple[int, ...]:
-        """Ids of one word (every path has a boundary on both its sides)."""
-        if len(w) > LONG:
-            s = StreamingViterbi(self.v)
+    def _committed(self, segment: str) -> bytes:
+        """Ids that the stream commits for a segment (every path has a boundary on both its sides)."""
+        packed = self.memo.get(segment)
+        if packed is None:
             ids: list[int] = []
-            for k in range(0, len(w), 1 << 12):
-                ids += s.feed(w[k: k + (1 << 12)])
-            return tuple(ids + s.finish())
-        prefix, n = self.v.prefix, len(w)
-        score, back, piece = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            here, alone = score[i], True
-            for j in range(i + 1, n + 1):
-                hit = prefix.get(w[i:j], 0)
-                if hit == 0:
-                    break
-                if hit is not None:
-                    if j == i + 1:
-                        alone = False
-                    s = here + hit[0]
-                    if s > score[j]:
-                        score[j] = s
-                        back[j] = i
-                        piece[j] = hit[1]
-            if alone and here + self.v.unknown_score > score[i + 1]:
-                score[i + 1], back[i + 1], piece[i + 1] = here + self.v.unknown_score, i, -1
-        out: list[int] = []
-        j = n
-        while j:
-            i = back[j]
-            if piece[j] >= 0:
-                out.append(piece[j])
-            else:
-                out += reversed(self.v.bytes_of(w[i:j]))
-            j = i
-        return tuple(reversed(out))
+            for k in range(0, len(segment), FED):
+                ids += self.stream.feed(segment[k: k + FED])
+            packed = np.array(ids + self.stream.finish(), "<u4").tobytes()
+            if len(segment) <= KEPT:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[segment] = packed
+        return packed
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        marked = MARK + text.replace(" ", MARK)
-        if not self.v.marks_lead:
-            s = StreamingViterbi(self.v)
-            return np.array(s.feed(marked) + s.finish(), "<u4").tobytes()
-        words = self.words.findall(marked)
-        found = list(map(self.memo.get, words))
-        if None in found:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    ids = self.memo.get(w)
-                    if ids is None:
-                        ids = np.array(self.word(w), "<u4").tobytes()
-                        if len(w) <= LONG:
-                            self.memo[w] = ids
-                    found[i] = ids
-        return b"".join(found)
+        out, a, lead = bytearray(), 0, MARK
+        while a < len(text):
+            cut = self.word_start.search(text, a + PART) if self.v.marks_lead else None
+            b = cut.start() if cut else len(text)
+            if not self.v.marks_lead or b - a > 2 * PART:         # no boundary is known ahead: the stream alone finds them
+                for k in range(a, b, FED):
+                    out += np.array(self.stream.feed(lead + text[k: min(k + FED, b)].replace(" ", MARK)), "<u4").tobytes()
+                    lead = ""
+                out += np.array(self.stream.finish(), "<u4").tobytes()
+            else:
+                segments = self.segments.findall(lead + text[a:b].replace(" ", MARK))
+                known = list(map(self.memo.get, segments))
+                if None in known:
+                    known = [self._committed(x) if ids is None else ids for x, ids in zip(segments, known)]
+                out += b"".join(known)
+            a, lead = b, ""
+        return bytes(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()

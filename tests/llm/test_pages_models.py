@@ -280,6 +280,47 @@ def test_streaming_commits_the_same_ids(codec):
             assert longest_window < 120
 
 
+def test_every_id_comes_from_the_stream(monkeypatch):
+    """Each segment is fed once and served from what was committed afterwards; the memo is bounded
+    at every insertion, also inside one long text of distinct words."""
+    fed = []
+    feed = spv.StreamingViterbi.feed
+    monkeypatch.setattr(spv.StreamingViterbi, "feed", lambda self, part: (fed.append(part), feed(self, part))[1])
+    c = spv.Codec(spv.Vocabulary(spv.model_path()))
+    ids = c.encode("one two one two one")
+    assert fed == ["▁one", "▁two"] and c.decode(ids) == "one two one two one"
+    whole = spv.Codec(c.v)
+    monkeypatch.setattr(spv, "MEMO", 1000)
+    text = " ".join(f"{k:x}word{k * 7919 % 104729}" + " " * (k % 4) for k in range(30_000))
+    assert len(text) > 4 * spv.PART
+    got = c.encode(text)
+    assert len(c.memo) <= 1000
+    monkeypatch.setattr(spv, "MEMO", 1 << 20)
+    monkeypatch.setattr(spv, "PART", 1 << 30)
+    assert got == whole.encode(text) and c.decode(got) == text
+
+
+def test_text_without_a_boundary_is_streamed(monkeypatch):
+    """Cuts fall at word starts only: neither runs of marks nor a long unbroken text change the ids."""
+    c = spv.Codec(spv.Vocabulary(spv.model_path()))
+    rng = random.Random(12)
+    cases = ["a" * 700 + "b" * 5, "x" + " " * 300 + "y", "".join(rng.choice("abc▁ é") for _ in range(900)), "thequickbrownfox" * 40, " " * 500]
+    want = [c.encode(t) for t in cases]
+    monkeypatch.setattr(spv, "PART", 16)
+    monkeypatch.setattr(spv, "FED", 7)
+    assert [spv.Codec(c.v).encode(t) for t in cases] == want
+
+
+def test_ties_go_to_the_piece_that_starts_earlier():
+    v = object.__new__(spv.Vocabulary)
+    v.known = {"a": (-1.0, 1), "b": (-1.0, 2), "c": (-1.0, 3), "ab": (-2.0, 4), "bc": (-2.0, 5), "▁": (-1.0, 6)}
+    v.longest, v.unknown_score, v.unknown_id, v.byte_id, v.marks_lead = 2, -20.0, 0, {}, True
+    v.prefix = {p[:k]: v.known.get(p[:k]) for p in v.known for k in range(1, len(p) + 1)}
+    v.joined = set("abc")
+    assert spv.Codec(v).encode("abc") == [6, 1, 5]           # ab+c, a+b+c and a+bc have one sum: bc starts before c
+    assert spv.Codec(v).encode("bcab?") == [6, 5, 4, 0]
+
+
 def test_library_lattice_agrees(codec):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
