@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -50,41 +52,58 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def chunk_leaders(key: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The Arrow function ``run``, after whose last batch the worker gives freed memory back: workers outlive their
+    tasks, and what they keep is missing to the next stage of the executor."""
+    @wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)        # glibc only
+        if trim is not None:
+            trim(0)
+    return inner
+
+
+def chunk_leaders(key: np.ndarray, doc: np.ndarray, size: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows ``key, doc, lead`` of distinct (key, doc): ``lead`` is the smallest doc of the key
     in this chunk.  Only leaders (``lead = doc``) have to meet the rows of other chunks, so a
-    key that stands in a third of all documents sends one row per chunk to its group."""
+    key that stands in a third of all documents sends one row per chunk to its group.  With the
+    sizes of the docs, ``n`` and ``lead_n`` follow."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    lead = np.repeat(doc[at], np.diff(np.append(at, len(key))))
+    length = np.diff(np.append(at, len(key)))
     keep = np.ones(len(key), bool)
     keep[1:] = new[1:] | (doc[1:] != doc[:-1])
-    many = np.repeat(np.add.reduceat(keep.astype(np.int64), at), np.diff(np.append(at, len(key)))) > 1 if len(key) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array(lead[keep]), pa.array(many[keep])],
-        names=["key", "doc", "lead", "many"])
+    many = np.repeat(np.add.reduceat(keep.astype(np.int64), at), length) > 1 if len(key) else np.zeros(0, bool)
+    out = [pa.array(key[keep].view(np.int64)), pa.array(doc[keep]), pa.array(np.repeat(doc[at], length)[keep]), pa.array(many[keep])]
+    names = ["key", "doc", "lead", "many"]
+    if size is not None:
+        size = size[order]
+        out += [pa.array(size[keep]), pa.array(np.repeat(size[at], length)[keep])]
+        names += ["n", "lead_n"]
+    return pa.RecordBatch.from_arrays(out, names=names)
 
 
 LEADER_SCHEMA = "key long, doc long, lead long, many boolean"
+SIZED_LEADER_SCHEMA = LEADER_SCHEMA + ", n long, lead_n long"
 
 
-def leaders_of(pairs: Iterator[tuple[np.ndarray, np.ndarray]], chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Gather (keys, docs) to chunks of about ``chunk`` entries and find their leaders."""
-    keys: list[np.ndarray] = []
-    docs: list[np.ndarray] = []
+def leaders_of(parts: Iterator[tuple[np.ndarray, ...]], chunk: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Gather (keys, docs) or (keys, docs, sizes) to chunks of about ``chunk`` entries and find their leaders."""
+    waiting: list[tuple[np.ndarray, ...]] = []
     held = 0
-    for k, d in pairs:
-        keys.append(k)
-        docs.append(d)
-        held += len(k)
+    for part in parts:
+        waiting.append(part)
+        held += len(part[0])
         if held >= chunk:
-            yield from slices(chunk_leaders(np.concatenate(keys), np.concatenate(docs)))
-            keys, docs, held = [], [], 0
+            yield from slices(chunk_leaders(*map(np.concatenate, zip(*waiting))))
+            waiting, held = [], 0
     if held:
-        yield from slices(chunk_leaders(np.concatenate(keys), np.concatenate(docs)))
+        yield from slices(chunk_leaders(*map(np.concatenate, zip(*waiting))))
 
 
 def slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -94,13 +113,15 @@ def slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatc
 
 def first_of_key(leaders: DataFrame) -> DataFrame:
     """Add ``first``, the smallest doc of the key among all chunks' leaders (for followers, the
-    doc itself), and ``shared``, whether the key stands in two documents at least.  Followers
+    doc itself; ``first_n`` its size, where sizes are given), and ``shared``, whether the key stands in two documents at least.  Followers
     are spread by their doc: they neither wait for nor crowd the group of a hot key."""
     salt = F.when(F.col("lead") == F.col("doc"), F.lit(-1).cast("long")).otherwise(F.col("doc"))
     w = Window.partitionBy("key", "salt")
+    found = leaders.withColumn("salt", salt)
+    if "n" in leaders.columns:
+        found = found.withColumn("first_n", F.min(F.struct("doc", "n")).over(w)["n"])
     return (
-        leaders.withColumn("salt", salt)
-        .withColumn("first", F.min("doc").over(w))
+        found.withColumn("first", F.min("doc").over(w))
         .withColumn("last", F.max("doc").over(w))
         .withColumn("shared", F.col("many") | (F.col("first") < F.col("last")))
         .drop("salt", "last", "many")

@@ -12,7 +12,7 @@ How:
    first ``n - ceil(0.8 n) + 1`` shingles in one global order (frequent shingles last, else by
    hash).  Sets with Jaccard >= 0.8 share a prefix shingle in any global order, so no link is lost.
 3. Prefix shingles are grouped in Spark.  First every document meets only the smallest document
-   of each of its groups (a star, not all pairs); bitmap bit counts bound the overlap from above,
+   of each of its groups (a star, not all pairs), if their sizes allow a link; bitmap bit counts bound the overlap from above,
    survivors get an exact sorted-array intersection, links become components.
 4. Groups that still hold several components are tiled: a group of up to ``TILE`` documents is one
    tile, a larger one is cut into size bands and blocks.  Inside a tile only pairs of different
@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEADER_SCHEMA, Scratch, components, first_of_key, leaders_of, packed_texts
+from .common import SIZED_LEADER_SCHEMA, Scratch, components, first_of_key, leaders_of, packed_texts, tidy
 from .words import U, Block, binary_array, inside_row, int_column, mix, text_words, unique_pairs, window_hashes, word_blocks
 
 SHINGLE = 5
@@ -49,6 +49,7 @@ FREQUENT = 512            # a shingle in one of so many documents is ordered las
 TILE = 1024
 BIN = 4 * TILE            # members of small groups that are looked at together
 SALTS = 32
+CHUNK = 1 << 19           # prefix rows whose leaders are found at once
 FOLD = 1 << 20            # values of the folded list of rows that go
 BAND = float(np.log(100 / THRESHOLD)) * 1.0001    # a little wider, so that rounding parts no pair
 
@@ -76,6 +77,7 @@ def signatures(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple((s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
 
 
+@tidy
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First pass: a row ``id, n, sig1, sig2`` per document, and rows ``key, often`` for shingles in
     one of ``FREQUENT`` documents of a chunk: whatever is that frequent in the whole table is so in
@@ -120,6 +122,7 @@ def bitmaps(h: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 def _sketches(frequent):
     """Pass over all texts: id, set size, set signature, prefix and bitmap."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
         for block in word_blocks(batches, "id", "text", lower=True):
@@ -143,14 +146,16 @@ def _sketches(frequent):
     return run
 
 
+@tidy
 def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs():
         for batch in batches:
             ids, _ = int_column(batch.column("id"))
             parts = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
             if parts:
-                yield np.concatenate(parts), np.repeat(ids, [len(p) for p in parts])
-    yield from leaders_of(pairs())
+                count = [len(p) for p in parts]
+                yield np.concatenate(parts), np.repeat(ids, count), np.repeat(batch.column("n").to_numpy(), count)
+    yield from leaders_of(pairs(), CHUNK)
 
 
 def linked(n_a, n_b, overlap):
@@ -176,6 +181,7 @@ def _words64(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
+@tidy
 def _bounded_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
@@ -189,6 +195,7 @@ def _bounded_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+@tidy
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted shingle hashes of packed texts."""
     unpack = zstandard.ZstdDecompressor()
@@ -203,6 +210,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo: lo + 256]), pa.array(sets, pa.binary())], names=["sid", "shingles"])
 
 
+@tidy
 def _exact_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -284,6 +292,7 @@ def _named(t: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
 
+@tidy
 def _small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows ``first, bin, id, n, comp, bits, keys`` sorted by ``first, bin``: the tiles are the keys."""
     for t in _runs(batches, ["first", "bin"]):
@@ -300,6 +309,7 @@ def _small_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _named(t, *_compare(np.cumsum(new), src, t.column("n").to_numpy(), t.column("comp").to_numpy(), yes, yes, _words64(t.column("bits"))))
 
 
+@tidy
 def _large_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of tiles ``key, tb, i, j``, sorted by tile."""
     where = ["key", "tb", "i", "j"]
@@ -390,9 +400,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     sketch = stored(sketch.join(reps.withColumnRenamed("rep", "id"), ["id", "n", "sig1", "sig2"])
                           .dropDuplicates(["id", "n", "sig1", "sig2"]).select("id", "n", "prefix", "bits"))
     known = packed_texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    shared = stored(first_of_key(sketch.select("id", "prefix").mapInArrow(_prefix_rows, LEADER_SCHEMA)).where("shared").select("key", "doc", "lead", "first"))
-    star = (shared.select(F.col("doc").alias("b"), F.when(F.col("lead") < F.col("doc"), F.col("lead")).otherwise(F.col("first")).alias("a"))
-            .where("a < b").distinct())
+    shared = first_of_key(sketch.select("id", "n", "prefix").mapInArrow(_prefix_rows, SIZED_LEADER_SCHEMA)).where("shared")
+    follows = F.col("lead") < F.col("doc")
+    hub, hub_n = F.when(follows, F.col("lead")).otherwise(F.col("first")), F.when(follows, F.col("lead_n")).otherwise(F.col("first_n"))
+    fits = (hub < F.col("doc")) & (100 * F.least("n", hub_n) >= THRESHOLD * F.greatest("n", hub_n))
+    shared = stored(shared.select("key", "doc", F.when(fits, hub).alias("hub")))
+    star = shared.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     edges = _verify(star, sketch, known, stored)
     comp = components(edges)
     rest = _verify(_residual_pairs(shared, comp, sketch, stored), sketch, known, stored)

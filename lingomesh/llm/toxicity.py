@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 from .words import BLOCK, U, span_hashes, text_buffers, unique_pairs
 
 MAX_ROWS = 20_000
@@ -228,6 +228,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known, weights, bias = train(docs, labels, id_col, text_col, label_col)
     place = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _score(known, weights, bias)
         for batch in batches:
