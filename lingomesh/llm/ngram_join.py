@@ -12,8 +12,7 @@ How:
    first ``n - ceil(0.8 n) + 1`` shingles in one global order (frequent shingles last, else by
    hash).  Sets with Jaccard >= 0.8 share a prefix shingle in any global order, so no link is lost.
 3. Prefix shingles are grouped in Spark.  First every document meets only the smallest document
-   of each of its groups (a star, not all pairs), if their sizes allow a link, and of those the
-   ``HUBS`` with which it shares most prefix shingles; step 4 covers all others.  Bitmap bit counts bound the overlap from above,
+   of each of its groups (a star, not all pairs); bitmap bit counts bound the overlap from above,
    survivors get an exact sorted-array intersection, links become components.
 4. Groups that still hold several components are tiled: a group of up to ``TILE`` documents is one
    tile, a larger one is cut into size bands and blocks.  Inside a tile only pairs of different
@@ -38,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIZED_LEADER_SCHEMA, Scratch, components, first_of_key, leaders_of, packed_texts, tidy
+from .common import LEADER_SCHEMA, Scratch, components, first_of_key, leaders_of, packed_texts, tidy
 from .words import U, Block, binary_array, inside_row, int_column, mix, text_words, unique_pairs, window_hashes, word_blocks
 
 SHINGLE = 5
@@ -50,7 +49,6 @@ FREQUENT = 512            # a shingle in one of so many documents is ordered las
 TILE = 1024
 BIN = 4 * TILE            # members of small groups that are looked at together
 SALTS = 32
-HUBS = 4                  # a document's first comparisons; step 4 finds every link that they leave
 CHUNK = 1 << 19           # prefix rows whose leaders are found at once
 FOLD = 1 << 20            # values of the folded list of rows that go
 BAND = float(np.log(100 / THRESHOLD)) * 1.0001    # a little wider, so that rounding parts no pair
@@ -155,8 +153,7 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, _ = int_column(batch.column("id"))
             parts = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
             if parts:
-                count = [len(p) for p in parts]
-                yield np.concatenate(parts), np.repeat(ids, count), np.repeat(batch.column("n").to_numpy(), count)
+                yield np.concatenate(parts), np.repeat(ids, [len(p) for p in parts])
     yield from leaders_of(pairs(), CHUNK)
 
 
@@ -402,14 +399,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     sketch = stored(sketch.join(reps.withColumnRenamed("rep", "id"), ["id", "n", "sig1", "sig2"])
                           .dropDuplicates(["id", "n", "sig1", "sig2"]).select("id", "n", "prefix", "bits"))
     known = packed_texts(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    shared = first_of_key(sketch.select("id", "n", "prefix").mapInArrow(_prefix_rows, SIZED_LEADER_SCHEMA)).where("shared")
-    follows = F.col("lead") < F.col("doc")
-    hub, hub_n = F.when(follows, F.col("lead")).otherwise(F.col("first")), F.when(follows, F.col("lead_n")).otherwise(F.col("first_n"))
-    fits = (hub < F.col("doc")) & (100 * F.least("n", hub_n) >= THRESHOLD * F.greatest("n", hub_n))
-    shared = stored(shared.select("key", "doc", F.when(fits, hub).alias("hub")))
-    likely = Window.partitionBy("doc").orderBy(F.desc("common"), "hub")
-    star = (shared.where("hub IS NOT NULL").groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("common")).withColumn("r", F.row_number().over(likely))
-            .where(F.col("r") <= HUBS).select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    shared = stored(first_of_key(sketch.select("id", "prefix").mapInArrow(_prefix_rows, LEADER_SCHEMA)).where("shared").select("key", "doc", "lead", "first"))
+    star = (shared.select(F.col("doc").alias("b"), F.when(F.col("lead") < F.col("doc"), F.col("lead")).otherwise(F.col("first")).alias("a"))
+            .where("a < b").distinct())
     edges = _verify(star, sketch, known, stored)
     comp = components(edges)
     rest = _verify(_residual_pairs(shared, comp, sketch, stored), sketch, known, stored)
