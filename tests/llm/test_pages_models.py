@@ -158,11 +158,100 @@ def test_html_template_of_a_host(spark):
     assert got[3] == got[99] == " ".join(f"word3x{j}" for j in range(60))
     df = spark.createDataFrame([("host", k, plain(k)) for k in range(8)], "host string, mark long, html string")
     classes = html_text.templates(df).first()["classes"]
-    paths = {e["path"] for c in classes for e in c["elements"]}
+    paths = {t["path"] for c in classes for t in c["tokens"]}
     assert {"/body", "/body/div.c1", "/body/div.c2", "/body/div.c3", "/body/div.c2/p"} <= paths
     assert len(classes) == 1                                     # every token stands once on every page
 
 
+LONG = "the quick brown fox jumps over the lazy dog near the river bank " * 12
+LONE = [
+    (f"<body><div class='layout no-sidebar'><p>{LONG}</p></div></body>", LONG.strip()),
+    (f"<body><div class='has-banner'><article><p>{LONG}</p></article></div></body>", LONG.strip()),
+    (f"<body><article><div class='social science'><p>{LONG}</p></div></article></body>", LONG.strip()),
+    (f"<body><article><p>{LONG}</p><div class='social'>tweet this</div></article></body>", LONG.strip()),
+    (f"<body><form id='aspnet'><div class='content'><p>{LONG}</p></div></form></body>", LONG.strip()),
+    (f"<body><div class='content'><p>short text</p></div><div class='comments'><p>{LONG}</p></div></body>", "short text"),
+    (f"<body><article><p>short text</p><div class='comments'><p>{LONG}</p></div></article></body>", "short text"),
+    ("<body><div class='ad'>only an advert</div></body>", None),
+    ("</div></p><body><p>stray</article> ends</b></body>", "stray ends"),
+    (f"<body><main><h1>T</h1><p>{LONG}</p></main></body>", "T\n" + LONG.strip()),
+]
+
+
+@pytest.mark.parametrize("k", range(len(LONE)))
+def test_html_shapes(k):
+    html, want = LONE[k]
+    if want is not None:
+        assert html_text.page_text(html, None) == want
+
+
+def test_main_text_beats_teasers():
+    html = f"<body><main><p>{LONG}</p><article><p>teaser one</p></article><article><p>teaser two</p></article></main></body>"
+    assert LONG.strip() in html_text.page_text(html, None).split("\n")
+
+
+def hosted(spark, pages):
+    rows = [(k, f"http://host/{k}", html) for k, html in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    return {r["page_id"]: r["text"] for r in html_text.main_texts(df).collect()}
+
+
+def words(k, n=60):
+    return " ".join(f"word{k}x{j}" for j in range(n))
+
+
+def test_html_constant_text_is_template(spark):
+    """Text that stands on every page of the host goes, without a telling name or an element of its own."""
+    got = hosted(spark, [f"<body><article><h1>t{k}</h1><p>{words(k)}</p><p>join our club</p><p>{words(k + 100, 20)}</p></article></body>" for k in range(20)])
+    assert got == {k: f"t{k}\n{words(k)}\n{words(k + 100, 20)}" for k in range(20)}
+
+
+def test_html_classes_need_one_vector(spark):
+    """A paragraph on half of the pages is constant text only if tags share its occurrence vector:
+    pages 0 to 9 share a paragraph (copied text), pages 10 to 19 a box with a notice."""
+    def html(k):
+        box = "<p>a passage that ten pages share</p>" if k < 10 else "<section><p>box of ten pages</p></section>"
+        return f"<body><article><p>{words(k)}</p>{box}</article></body>"
+    got = hosted(spark, [html(k) for k in range(20)])
+    assert got == {k: words(k) + ("\na passage that ten pages share" if k < 10 else "") for k in range(20)}
+
+
+def test_html_classes_need_one_order(spark):
+    """A page whose tokens of the class come in another order is no instance of it and keeps the text."""
+    def html(k):
+        parts = [f"<h1>t{k}</h1>", f"<p>{words(k)}</p>", "<p>join our club</p>"]
+        return "<body><article>" + "".join(reversed(parts) if k == 3 else parts) + "</article></body>"
+    got = hosted(spark, [html(k) for k in range(20)])
+    assert got[3] == f"join our club\n{words(3)}\nt3" and got[4] == f"t4\n{words(4)}"
+
+
+def test_html_constant_block_is_not_main(spark):
+    """The slot with the most varying text wins against a longer one that never changes."""
+    got = hosted(spark, [f"<body><div class='c1'><p>{LONG * 3}</p></div><div class='c2'><p>{words(k)}</p></div></body>" for k in range(12)])
+    assert got == {k: words(k) for k in range(12)}
+
+
+def test_html_copies_keep_their_text(spark):
+    html = f"<body><article><h1>t</h1><p>{words(1)}</p></article></body>"
+    assert set(hosted(spark, [html] * 20).values()) == {f"t\n{words(1)}"}
+    mixed = [html] * 3 + [f"<body><article><h1>t{k}</h1><h2>s</h2><p>{words(k)}</p></article></body>" for k in range(10, 20)]
+    got = hosted(spark, mixed)
+    assert got[0] == f"t\n{words(1)}" and got[3] == f"t10\n{words(10)}" or got[3] == f"t10\ns\n{words(10)}"
+
+
+def test_html_page_with_its_own_layout(spark):
+    pages = [f"<body><div class='c2'><p>{words(k)}</p></div></body>" for k in range(9)]
+    got = hosted(spark, pages + [f"<body><div class='c2'><p>see below</p></div><article><p>{words(50)}</p></article></body>"])
+    assert got[9] == words(50) and got[8] == words(8)
+
+
+def test_html_repeated_and_unbalanced_pages(spark):
+    good = [f"<body><article><p>{words(k)}</p></article></body>" for k in range(6)]
+    rows = [(1, "http://host/1", h) for h in good] * 2 + [(2, "http://host/2", f"<body></div><article><p>{words(70)}</span></section>")]
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 13 and sorted(r["text"] for r in got) == sorted([words(k) for k in range(6)] * 2 + [words(70)])
+
+
 def test_html_empty_table(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
