@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .. import labels as L
 from ..functions.text import build_text, col_of
 from ..session import cut_lineage
+from ..sources.cache import KeyedCache
 from .quality import CrawlColumns, row_filter_reason, sets_from_vectors
 
 EMBED_SCHEMA = "key string, vector array<float>, error string"
@@ -177,12 +178,12 @@ class Embedded:
 
 def append_cache(cache_path: str, new_cache: DataFrame) -> None:
     """Add the vectors of a run to a cache table (S10); only keys it does not hold yet."""
-    new_cache.write.mode("append").parquet(cache_path)
+    KeyedCache(new_cache.sparkSession, cache_path).append(new_cache.select("key", "vector"))
 
 
 def read_cache(spark, cache_path: str) -> DataFrame:
-    """A cache table as :func:`embed_texts` takes it: one vector per key."""
-    return spark.read.parquet(cache_path).dropDuplicates(["key"]).select("key", "vector")
+    """A cache table as :func:`embed_texts` takes it: one vector per key, empty before the first append."""
+    return KeyedCache(spark, cache_path, "vector array<float>").read()
 
 
 def embed_texts(
