@@ -9,13 +9,13 @@ expressions, joins and aggregates over the table.
 from __future__ import annotations
 
 import html
-import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import labels as L
+from ..functions.addresses import V4, ipv6_digits, network_of, v4_in, v4_number
 from ..functions.text import bound, col_of, trim_ws, truncate
 from ..functions.urls import resolve_url
 from ..session import cut_lineage
@@ -160,43 +160,19 @@ def cached_page_texts(pages: DataFrame, cache: DataFrame, max_chars: int | None
 # ---------------------------------------------------------------------------------------
 # address guard
 
-_V4 = r"^(?:::ffff:)?((?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3})$"
-
-
-def _v4_number(ip: Column) -> Column:
-    octets = F.split(F.regexp_extract(F.lower(ip), _V4, 1), r"\.")
-    return reduce(lambda x, y: x * 256 + y, [F.get(octets, F.lit(i)).try_cast("long") for i in range(4)])
-
-
-def _v4_in(number: Column, blocks: list[str]) -> Column:
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    return reduce(lambda x, y: x | y, [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets])
-
-
-def _v6_kind(ips):
-    """``loopback``, ``never``, ``private``, ``public`` or ``bad`` for IPv6 texts."""
-    rules = [([ipaddress.ip_network(b) for b in blocks], name) for blocks, name in (
-        (L.IPV6_LOOPBACK, "loopback"), (L.IPV6_NEVER, "never"), (L.IPV6_PUBLIC_INSIDE, "public"), (L.IPV6_PRIVATE, "private"))]
-
-    def kind(ip):
-        try:
-            a = ipaddress.IPv6Address((ip or "").partition("%")[0])
-        except ValueError:
-            return "bad"
-        return next((name for nets, name in rules if any(a in n for n in nets)), "public")
-
-    return ips.map(kind)
+_V6_NETWORKS = [("loopback", L.IPV6_LOOPBACK), ("never", L.IPV6_NEVER), ("public", L.IPV6_PUBLIC_INSIDE), ("private", L.IPV6_PRIVATE)]
 
 
 def address_kind(ip: Column) -> Column:
-    """Kind of a literal address: IPv4 (also mapped into IPv6) by integer ranges, IPv6 by a table
-    of networks in an Arrow function; apply to distinct addresses."""
-    n = _v4_number(ip)
+    """Kind of a literal address: ``loopback``, ``never``, ``private``, ``public`` or ``bad``.  IPv4
+    (also mapped into IPv6) by integer ranges, IPv6 by the first network of the table that holds it."""
+    n = v4_number(ip)
     v4 = (
-        F.when(_v4_in(n, L.IPV4_LOOPBACK), "loopback").when(_v4_in(n, L.IPV4_NEVER + L.IPV4_SHARED), "never")
-        .when(_v4_in(n, L.IPV4_PRIVATE), "private").otherwise("public")
+        F.when(v4_in(n, L.IPV4_LOOPBACK), "loopback").when(v4_in(n, L.IPV4_NEVER + L.IPV4_SHARED), "never")
+        .when(v4_in(n, L.IPV4_PRIVATE), "private").otherwise("public")
     )
-    return F.when(F.lower(ip).rlike(_V4), v4).otherwise(F.pandas_udf(_v6_kind, "string")(ip))
+    v6 = F.coalesce(network_of(ipv6_digits(ip), _V6_NETWORKS, "public"), F.lit("bad"))
+    return F.when(F.lower(ip).rlike(V4), v4).otherwise(v6)
 
 
 def address_forbidden(kind: Column, allow_loopback: bool = False, allow_private: bool = False) -> Column:
@@ -234,7 +210,7 @@ def url_guard(
     bad_brackets = (netloc.contains("[") != netloc.contains("]")) | (bracketed & ~hostport.rlike(r"^\[[^\]]*\](:.*)?$"))
     digits = F.regexp_replace(port, "^0+", "")
     bad_port = (port != "") & (~port.rlike("^[0-9]+$") | (F.length(digits) > 5) | F.coalesce(digits.try_cast("long") > 65535, F.lit(False)))
-    literal = host.rlike(_V4) | host.contains(":")
+    literal = host.rlike(V4) | host.contains(":")
     staged = urls.withColumns({
         "__scheme": scheme, "__host": host, "__literal": literal,
         "__invalid": bad_brackets | bad_port,

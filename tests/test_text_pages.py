@@ -2,11 +2,13 @@
 
 import hashlib
 import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lingomesh import labels as L
+from lingomesh.functions import addresses
 from lingomesh.operators import embed, pages
 from lingomesh.operators.quality import CrawlColumns
 
@@ -108,6 +110,48 @@ def test_url_guard_against_stdlib(spark):
     assert got[11] == "interne oder lokale Adresse nicht erlaubt"
 
 
+def test_ipv6_digits_equal_the_standard_library(spark):
+    """Random texts, written in full, shortened, with gaps in every place, dotted tails and faults."""
+    rng = random.Random(5)
+    texts = [None, "", ":", "::", ":::", "1", "1::2::3", "::1%eth0", "::1.2.3.4", "::ffff:1.2.3.04", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "1:2:3:4:5:6:7::",
+             "::2:3:4:5:6:7:8", "1::3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "12345::", "g::", "::1 ", "1:2:3:4:5:6:7:8:9", "FE80::ABCD", ":1::", "1:", "::1.2.3", "1.2.3.4", "::256.1.1.1"]
+    for _ in range(600):
+        groups = [f"{rng.choice([0, 0, 1, rng.getrandbits(16)]):x}" for _ in range(rng.choice([8, 8, 8, 7, 9, 3]))]
+        text = ":".join(groups)
+        if rng.random() < 0.6:
+            i = rng.randrange(len(groups))
+            j = rng.randrange(i, len(groups)) + 1
+            text = ":".join(groups[:i]) + "::" + ":".join(groups[j:])
+        if rng.random() < 0.2:
+            text = text.rsplit(":", 1)[0] + ":" + ".".join(str(rng.randrange(300)) for _ in range(4))
+        texts += [text, text.upper()]
+
+    def want(t):
+        try:
+            return f"{int(ipaddress.IPv6Address((t or '').partition('%')[0])):032x}"
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, ip string")
+    out = df.select("i", addresses.ipv6_digits(F.col("ip")).alias("d"))
+    assert {r["i"]: r["d"] for r in out.collect()} == {k: want(t) for k, t in enumerate(texts)}
+    assert sum(want(t) is not None for t in texts) > 400
+
+
+def test_ipv6_kinds_at_the_edges_of_every_network(spark):
+    """First and last address of every network of the table and their neighbours, by the rules in their order."""
+    rules = [("loopback", L.IPV6_LOOPBACK), ("never", L.IPV6_NEVER), ("public", L.IPV6_PUBLIC_INSIDE), ("private", L.IPV6_PRIVATE)]
+    nets = [(ipaddress.ip_network(b), name) for name, blocks in rules for b in blocks]
+    numbers = {n + d for net, _ in nets for n in (int(net.network_address), int(net.broadcast_address)) for d in (-1, 0, 1)}
+    ips = [ipaddress.IPv6Address(n) for n in sorted(numbers) if 0 <= n < 1 << 128]
+    df = spark.createDataFrame([(str(ip).split("%")[0],) for ip in ips if ip.ipv4_mapped is None], "ip string")
+    kinds = df.select("ip", pages.address_kind(F.col("ip")).alias("kind"))
+    assert "Python" not in kinds._jdf.queryExecution().executedPlan().toString()
+    for r in kinds.collect():
+        a = ipaddress.IPv6Address(r["ip"])
+        assert r["kind"] == next((name for net, name in nets if a in net), "public"), r
+
+
 def test_address_kinds_equal_the_standard_library(spark):
     import random
 
