@@ -170,7 +170,7 @@ dropped AS (
   UNION ALL SELECT code, pos, 3::BIGINT, url, r3 FROM rows3 WHERE r3 IS NOT NULL)"""
 
 
-def _match_ctes() -> str:
+def _match_ctes(x_default: str = PIVOT) -> str:
     okey = strip_language("norm_url", "code")
     pkey = strip_language("norm_url", f"'{PIVOT}'")
     return _sets_ctes() + f""",
@@ -242,14 +242,14 @@ unm AS (
   UNION ALL
   SELECT '{PIVOT}', p.a, p.pivot_url FROM piv p WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.pivot_pos = p.a)),
 clus AS (
-  SELECT p.a AS pivot_pos, p.pivot_url, count(m.code) AS n_matches,
+  SELECT p.a AS pivot_pos, p.pivot_url, count(m.code) AS n_matches, coalesce(list(m.code), []) AS others,
     coalesce(bool_or(m.confidence = 'prüfen'), false) AS any_review
   FROM piv p LEFT JOIN matches m ON m.pivot_pos = p.a GROUP BY p.a, p.pivot_url),
 grid AS (
   SELECT c.pivot_pos, c.pivot_url, k.code, k.code_rank, c.n_matches, c.any_review, m.other_url, m.score, m.method,
     m.confidence AS m_conf, m.reason, m.second_url, m.second_score, m.preferred_pivot_url, m.preferred_pivot_score,
     CASE WHEN c.n_matches > 0 THEN CASE WHEN c.any_review THEN 'prüfen' ELSE 'sicher' END ELSE 'kein Treffer' END AS cluster_conf,
-    CASE WHEN 1 + c.n_matches >= 2 AND false THEN 'ja' ELSE 'nein' END AS fallback
+    CASE WHEN 1 + c.n_matches >= 2 AND NOT list_contains(list_append(c.others, '{PIVOT}'), '{x_default}') THEN 'ja' ELSE 'nein' END AS fallback
   FROM clus c CROSS JOIN (SELECT code, (row_number() OVER (ORDER BY code)) - 1 AS code_rank FROM codes) k
   LEFT JOIN matches m ON m.pivot_pos = c.pivot_pos AND m.code = k.code)"""
 
@@ -381,6 +381,8 @@ FROM mem2 m JOIN tags t USING (pivot_pos)""")
 cc AS (SELECT DISTINCT code FROM crawl)""", f"""
 SELECT {lang} AS language, string_agg(code, ',' ORDER BY code) AS codes FROM cc GROUP BY 1 HAVING count(*) > 1""")
     from .oracle_more import oracle_sql_more
+    from .oracle_output import oracle_sql_output
 
     out.update(oracle_sql_more())
+    out.update(oracle_sql_output())
     return out

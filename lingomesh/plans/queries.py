@@ -467,4 +467,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_sets_dropped": q_page_sets_dropped,
 }
 
-__all__ = ["QUERIES", "PARAMS", "CRAWL_COLS", "normalize_url"]
+__all__ = ["QUERIES", "PARAMS", "CRAWL_COLS"]

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import labels as L
 from ..functions.vectors import vector_json
+from ..operators.order import with_positions
 
 
 def export_vectors(valid: DataFrame, decimals: int = 6) -> DataFrame:
@@ -35,9 +35,12 @@ def _csv(df: DataFrame, writer_mode: str, path: str, partition_by: list[str] | N
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", order: list[str] | None = None,
-                drop: list[str] | None = None, mode: str = "overwrite") -> None:
+                drop: list[str] | None = None, mode: str = "overwrite", position: str | None = None) -> None:
     """Write a result table (S8); ``order`` columns sort the rows and are then dropped
-    unless they are data columns the caller keeps."""
+    unless they are data columns the caller keeps.  ``position`` names a column that carries
+    each row's gapless number in that order."""
+    if position and order:
+        df, order = with_positions(df, *order, name=position), [position]
     out = df.orderBy(*order) if order else df
     if drop:
         out = out.drop(*drop)
@@ -62,4 +65,4 @@ def write_embeddings_csv(valid: DataFrame, path: str, mode: str = "overwrite") -
     _csv(export_vectors(valid).orderBy("code", "pos").drop("pos"), mode, path, ["code"])
 
 
-__all__ = ["export_vectors", "write_table", "write_html", "write_embeddings_csv", "L"]
+__all__ = ["export_vectors", "write_table", "write_html", "write_embeddings_csv"]

@@ -1,9 +1,12 @@
 """Clusters, mapping tables and hreflang blocks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lingomesh.operators import report
 from lingomesh.operators.match import run_matching
+from lingomesh.operators.order import with_positions
+from lingomesh.sources.sinks import write_table
 
 
 def _run(spark):
@@ -62,3 +65,31 @@ def test_code_mode_collision(spark):
     codes = spark.createDataFrame([("de",), ("de-AT",), ("fr",)], "code string")
     got = report.find_language_collisions(codes).collect()
     assert [(r["language"], r["codes"]) for r in got] == [("de", ["de", "de-AT"])]
+
+
+def test_positions_are_gapless_and_follow_the_order(spark):
+    rows = spark.range(0, 5000, 1, 16).select(F.pmod(F.xxhash64("id"), F.lit(700)).alias("k"), "id", F.lit(-1).alias("ord"))
+    got = sorted((r["ord"], -r["k"], r["id"]) for r in with_positions(rows, F.col("k").desc(), "id").collect())
+    assert [r[0] for r in got] == list(range(5000))
+    assert [r[1:] for r in got] == sorted(r[1:] for r in got)
+    empty = with_positions(rows.where("id < 0"), "k", name="place")
+    assert empty.columns == ["k", "id", "ord", "place"] and empty.count() == 0
+
+
+def test_positions_in_a_written_table(spark, tmp_path):
+    write_table(spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "k string, v int"), str(tmp_path / "t"), order=["k"], position="ord")
+    assert [(r["ord"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).orderBy("ord").collect()] == [(0, 2), (1, 3), (2, 1)]
+
+
+def test_two_variants_of_a_language_need_region_mode(spark):
+    """Language mode would give two pages one code: an error that names both variants, before anything is written."""
+    result = type("R", (), {"pivot": "de"})()
+    schema = "pivot_pos long, pivot_url string, members map<string,string>, confidence string"
+    both = spark.createDataFrame([(0, "u", {"de": "u", "en-gb": "v", "en-us": "w"}, "sicher")], schema)
+    with pytest.raises(ValueError, match="'en-gb', 'en-us'"):
+        report.html_blocks(result, both, None, "language")
+    codes = [r["code"] for r in report.html_blocks(result, both, None, "language-region").orderBy("code_rank").collect()]
+    assert codes == ["de", "en-gb", "en-us"]
+    assert report.html_blocks(result, both.withColumn("confidence", F.lit("prüfen")), None, "language").count() == 0
+    assert report.export_code_mode(["de", "en-gb", "en-us"], "language") == "language-region"
+    assert report.export_code_mode(["de", "en-gb"]) == "language-region" and report.export_code_mode(["de", "en"]) == "language"
