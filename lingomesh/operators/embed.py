@@ -226,6 +226,43 @@ def embed_texts(
     return Embedded(rows=rows, new_cache=computed.where(F.col("error").isNull()).select("key", "vector"))
 
 
+def embed_in_slices(
+    df: DataFrame,
+    text_col: str,
+    fn: Callable[[list[str]], Sequence],
+    cache_path: str,
+    *,
+    slices: int = 16,
+    model: str = "",
+    base_url: str = "",
+    **embed_kw,
+) -> Embedded:
+    """:func:`embed_texts` in ``slices`` parts of the distinct keys, each committed to the cache at
+    ``cache_path`` when it is done (K1, S10).
+
+    A run that dies, by a fatal answer or a lost driver, is simply started again: finished slices
+    are hits, only the open one and those after it are asked for.  Texts that failed are asked for
+    again, too.  ``new_cache`` holds what this run computed; null and empty texts get no vector.
+    """
+    cache = KeyedCache(df.sparkSession, cache_path, "vector array<float>")
+    usable = df.where(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
+    key = cache_key(text_col, model, base_url)
+    asked = cut_lineage(usable.select(F.col(text_col).alias("text"), key.alias("key")).dropDuplicates(["key"]))
+    before, errors = cut_lineage(cache.read().select("key")), []
+    for part in range(slices):
+        todo = asked.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == part)
+        todo = todo.join(cache.read().select("key"), "key", "left_anti").select("text")
+        run = embed_texts(todo, "text", fn, model=model, base_url=base_url, **embed_kw)
+        cache.append(run.new_cache)
+        errors.append(run.rows.where(F.col("error").isNotNull()).select("key", F.lit(None).cast("array<float>").alias("vector"), "error"))
+    stored = cache.read()
+    results = stored.withColumn("error", F.lit(None).cast("string"))
+    for e in errors:
+        results = results.unionByName(e)
+    keyed = df.drop(*[c for c in ("key", "vector", "error") if c in df.columns and c != text_col]).withColumn("key", key)
+    return Embedded(rows=keyed.join(results, "key", "left"), new_cache=stored.join(before, "key", "left_anti"))
+
+
 def texts_for_rows(df: DataFrame, cols: CrawlColumns, text_cols: list[str], max_chars: int | None = None,
                    filter_indexable: bool = True) -> DataFrame:
     """``code, pos, text, error`` of the rows kept by the row filter."""

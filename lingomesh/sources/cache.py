@@ -39,14 +39,16 @@ class KeyedCache:
         self._schema = StructType.fromDDL(schema) if schema else None
 
     def versions(self) -> list[tuple[int, int, str]]:
-        """``(version, buckets, folder)`` of the committed versions, oldest first."""
+        """``(version, buckets, folder)`` of the committed versions that hold rows, oldest first."""
         if not self._fs.exists(self._path):
             return []
         out = []
         for status in self._fs.listStatus(self._path):
             m = _VERSION.match(status.getPath().getName())
-            marker = status.getPath().toString() + "/_SUCCESS"
-            if m and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(marker)):
+            if not m:
+                continue
+            names = [f.getPath().getName() for f in self._fs.listStatus(status.getPath())]
+            if "_SUCCESS" in names and any(n.startswith("part-") for n in names):
                 out.append((int(m[1]), int(m[2]), status.getPath().toString()))
         return sorted(out)
 

@@ -81,6 +81,11 @@ def test_empty_cache(spark, tmp_path):
     assert KeyedCache(spark, str(tmp_path / "none"), "text string").read().collect() == []
     with pytest.raises(FileNotFoundError):
         KeyedCache(spark, str(tmp_path / "none")).read()
+    cache = KeyedCache(spark, str(tmp_path / "c"), "vector array<float>", buckets=4)
+    cache.append(spark.createDataFrame([], SCHEMA))               # a run without one vector
+    assert stored(cache) == {}
+    cache.append(spark.createDataFrame([("a", [1.0])], SCHEMA))
+    assert stored(cache) == {"a": [1.0]}
     assert embed.read_cache(spark, str(tmp_path / "none")).dtypes == [("key", "string"), ("vector", "array<float>")]
 
 
@@ -93,3 +98,48 @@ def test_embedding_twice_asks_once(spark, tmp_path):
     assert run.new_cache.count() == 1
     embed.append_cache(path, run.new_cache)
     assert embed.read_cache(spark, path).count() == 3
+
+
+def test_a_run_that_dies_asks_again_for_open_slices_only(spark, tmp_path):
+    path = str(tmp_path / "c")
+    df = spark.createDataFrame([(i, f"text {i % 40}") for i in range(80)] + [(80, ""), (81, None)], "i long, text string")
+    asked = spark.sparkContext.accumulator(0)
+    whole = embed.sha1_embedder(4)
+
+    def flaky(limit):
+        stop = tmp_path / f"stop{limit}"
+
+        def fn(texts):
+            done = len(list(stop.parent.glob("*.asked")))
+            if done >= limit:
+                raise embed.FatalEmbeddingError("HTTP 401")
+            for t in texts:
+                (stop.parent / f"{hash(t)}.asked").touch()
+            asked.add(len(texts))
+            return whole(texts)
+        return fn
+
+    with pytest.raises(embed.FatalEmbeddingError):
+        embed.embed_in_slices(df, "text", flaky(15), path, slices=4, batch_size=100)
+    first = asked.value
+    done = embed.read_cache(spark, path).count()
+    assert 0 < first < 40 and done == first
+    run = embed.embed_in_slices(df, "text", flaky(1000), path, slices=4, batch_size=100)
+    assert asked.value == 40                                        # no text was asked for twice
+    rows = {r["i"]: r["vector"] for r in run.rows.collect()}
+    assert len(rows) == 82 and rows[80] is None and rows[81] is None
+    assert all(rows[i] == rows[i + 40] == pytest.approx(whole([f"text {i}"])[0]) for i in range(40))
+    assert run.new_cache.count() == 40 - done
+
+
+def test_texts_that_fail_in_a_slice_keep_their_reason(spark, tmp_path):
+    def fn(texts):
+        if "bad" in texts:
+            raise RuntimeError("HTTP 400")
+        return [[1.0]] * len(texts)
+
+    df = spark.createDataFrame([(0, "good"), (1, "bad")], "i long, text string")
+    run = embed.embed_in_slices(df, "text", fn, str(tmp_path / "c"), slices=2, batch_size=1)
+    rows = {r["i"]: r for r in run.rows.collect()}
+    assert rows[0]["vector"] == [1.0] and rows[0]["error"] is None
+    assert rows[1]["vector"] is None and "HTTP 400" in rows[1]["error"]
