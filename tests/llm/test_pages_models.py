@@ -435,3 +435,94 @@ def test_round_trip_query(spark, codec):
     back = {r["doc_id"]: r["text"] for r in spv.decoded(spv.encoded(df.where("doc_id <> 3"), with_ids=True)).collect()}
     assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(texts()) if i != 3)
     assert spv.encoded(df.limit(0)).count() == 0
+
+
+# --- toxicity against plain restatements ---------------------------------------------------------
+
+def plain_fit(rows, n, l1, balance, steps=60000):
+    """The penalised fit by plain proximal gradient steps, feature by feature."""
+    import math
+
+    w, b = [0.0] * n, math.log(sum(r[0] for r in rows) / (len(rows) - sum(r[0] for r in rows)))
+    most = max(len(r[1]) for r in rows) + 1
+    rate = 1 / (0.25 * most + balance * 8)
+    for _ in range(steps):
+        grad, gb = [0.0] * n, 0.0
+        for y, own, twin in rows:
+            e = (1 / (1 + math.exp(-(sum(w[f] for f in own) + b))) - y) / len(rows)
+            gb += e
+            for f in own:
+                grad[f] += e
+            if twin is not None:
+                d = sum(w[f] for f in own) - sum(w[f] for f in twin)
+                for f in own:
+                    grad[f] += balance / len(rows) * d
+                for f in twin:
+                    grad[f] -= balance / len(rows) * d
+        new = []
+        for f in range(n):
+            v = w[f] - rate * grad[f]
+            new.append(math.copysign(max(abs(v) - l1 * rate, 0), v))
+        step = max(abs(x - y) for x, y in zip(new, w))
+        w, b = new, b - rate * gb
+        if step < 1e-8:
+            break
+    return w, b
+
+
+def objective(rows, w, b, l1, balance):
+    import math
+
+    total = l1 * sum(abs(x) for x in w)
+    for y, own, twin in rows:
+        z = sum(w[f] for f in own) + b
+        total += (math.log1p(math.exp(-abs(z))) + max(z, 0) - y * z) / len(rows)
+        if twin is not None:
+            total += balance / 2 / len(rows) * (z - b - sum(w[f] for f in twin)) ** 2
+    return total
+
+
+def test_penalised_fit_reaches_the_slow_solvers_optimum():
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(200):
+        toxic = rng.random() < 0.4
+        own = {rng.randrange(2, 10) for _ in range(3)} | ({rng.choice([0, 1])} if rng.random() < (0.8 if toxic else 0.3) else set()) | ({10} if toxic and rng.random() < 0.7 else set())
+        twin = {1 - f if f in (0, 1) else f for f in own} if own & {0, 1} else None
+        rows.append((int(toxic), np.array(sorted(own)), None if twin is None else np.array(sorted(twin))))
+    l1, balance = 0.002, 2.0
+    w, b = toxicity.fit(rows, 11, l1, balance, steps=4000)
+    slow_w, slow_b = plain_fit(rows, 11, l1, balance, 3000)
+    best, got = objective(rows, slow_w, slow_b, l1, balance), objective(rows, list(w), b, l1, balance)
+    assert got <= best + 1e-5
+    assert abs(w[0] - w[1]) < 0.2 and w[10] > 1
+
+
+def test_scores_are_those_of_the_fitted_weights(spark):
+    """Every score recomputed from the weights alone, text by text; repeated rows, null labels, empty texts."""
+    import numpy as np
+
+    rng = random.Random(9)
+    vocabulary = "sun rain cloud river stone tree road house bread milk".split()
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(12)) + (" vile scum trash" if i % 3 == 0 else "")) for i in range(240)]
+    rows += [(1000, None), (1001, ""), rows[0], rows[0], (None, "sun vile scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(200)] + [(200, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.scores(docs, labels).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for text in {t for _, t in rows}:
+        one = pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["text"])
+        (_, raw, ends), = toxicity._lowered(iter([one]))
+        found, _ = toxicity.features(raw, ends)
+        hit = [float(w) for k, w in zip(*model[:2]) if k in set(found.tolist())]
+        by_text[text] = 1 / (1 + np.exp(-(sum(hit) + model[2])))
+    texts = dict(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(by_text[texts[r["doc_id"]]], abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.5)
+    nothing = spark.createDataFrame([(i, None, None) for i in range(5)], "doc_id long, quality int, toxic int")
+    assert {r["predicted"] for r in toxicity.scores(docs, nothing).collect()} == {0}
