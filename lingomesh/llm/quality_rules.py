@@ -152,6 +152,13 @@ def within_limits(failed: Column) -> Column:
     return kept
 
 
+def _coded(hits: Column) -> Column:
+    """Of the words on the wide list: their number, and a letter for each that is one of ``common``
+    (which the wide list begins with), a point for each other."""
+    letter = lambda w: F.substring(F.lit("." + _CODES), (F.array_position("common", w) + 1).cast("int"), F.lit(1))
+    return F.struct(F.size(hits).cast("long").alias("n"), F.array_join(F.transform(hits, letter), "").alias("codes"))
+
+
 def _median_share(rows: DataFrame) -> DataFrame:
     """``lang, ref_wide``: the median share, in thousandths, of ``WIDE`` words in the texts that
     are compared.  Counts per thousandth make it exact, whatever the order of the rows."""
@@ -182,17 +189,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, min_docs
     counted = _by_lang(base_counts(d), lists, rare_langs).select(
         id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__chars", *class_counts("text"), "common",
         *_row_key("text", "lang"),
-        F.when(F.col("common").isNotNull(), F.array_join(F.transform("__words", lambda w: F.substring(
-            F.lit("." + _CODES), (F.array_position("common", w) + 1).cast("int"), F.lit(1))), "")).alias("__codes"),
-        F.when(F.col("common").isNotNull(), F.size(F.filter("__words", lambda w: F.array_contains(F.get("wide", _bucket(w)), w)))).cast("long").alias("n_wide"))
+        F.when(F.col("common").isNotNull(), let(F.filter("__words", lambda w: F.array_contains(F.get("wide", _bucket(w)), w)), _coded)).alias("__coded"))
     classes = [F.col(f"__c_{k}") for k in CLASSES]
     space = F.col("__chars") - F.col("word_chars")
     other = F.greatest(F.col("word_chars") - sum(classes[1:], classes[0]), F.lit(0).cast("long"))
-    code_n = [(F.length("__codes") - F.length(F.replace("__codes", F.lit(c)))).cast("long") for c in "." + _CODES]
+    codes = F.col("__coded")["codes"]
+    common_n = [(F.length(codes) - F.length(F.replace(codes, F.lit(c)))).cast("long") for c in _CODES]
+    code_n = [F.col("n_words") - sum(common_n[1:], common_n[0]), *common_n]
     rows = checkpointed(counted.select(
         id_col, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__h1", "__h2",
         F.array(*classes, space, other).alias("chars"),
-        F.when(F.col("common").isNotNull(), F.array(*code_n)).alias("commons"), "n_wide"))
+        F.when(F.col("common").isNotNull(), F.array(*code_n)).alias("commons"), F.col("__coded")["n"].alias("n_wide")))
     width, height = len(CLASSES) + 2, COMMON + 1
     refs = rows.where("commons IS NOT NULL").groupBy("lang").agg(
         F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(width)]).alias("ref_chars"),
