@@ -1,8 +1,10 @@
 """Language sets, similarity top-k, greedy assignment, grading of matches."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,43 @@ def test_copies_rank_by_position_in_any_grid(spark, monkeypatch, cell, pivot_til
     assert "Broadcast" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_cell_memory_is_that_of_a_slab(copies):
+    """A worker's arrays follow neither the tiles of a cell nor the ties among its scores."""
+    rng = np.random.default_rng(5)
+    n, m, k = 2048, 8192, 5
+    P, O = (np.repeat(v[:1], len(v), axis=0) if copies else v for v in (_unit(rng, n, 16).astype(np.float32), _unit(rng, m, 16).astype(np.float32)))
+
+    def tiles(v, rows, first):
+        at = range(0, len(v), rows)
+        return [np.arange(first + i, first + i + len(v[i:i + rows])).tobytes() for i in at], [v[i:i + rows].tobytes() for i in at]
+
+    pos, mat = tiles(P, 1024, 0)
+    left = pa.table({"pos": pa.array(pos, pa.binary()), "mat": pa.array(mat, pa.binary()), "gone": pa.nulls(len(pos), pa.list_(pa.int64()))})
+    pos, mat = tiles(O, 4096, 10_000)
+    right = pa.table({"pos": pa.array(pos, pa.binary()), "mat": pa.array(mat, pa.binary())})
+    tracemalloc.start()
+    out = similarity._cell(k)((pa.scalar("fr"),), left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20, peak
+    got = out.to_pandas()
+    S = np.rint(P.astype(np.float64) @ O.astype(np.float64).T * 10.0 ** similarity.SCORE_DIGITS)
+    top = got[got.kind == 0].sort_values(["a", "score", "b"], ascending=[True, False, True])
+    assert top.a.tolist() == np.repeat(np.arange(n), k).tolist()
+    assert (top.b.to_numpy().reshape(-1, k) - 10_000 == np.argsort(-S, axis=1, kind="stable")[:, :k]).all()
+    best = got[got.kind == 1].sort_values("b")
+    assert (best.a.to_numpy() == S.argmax(axis=0)).all() and len(best) == m
+
+
+def test_excluded_pivots_need_no_python(spark):
+    rng = np.random.default_rng(6)
+    piv = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_unit(rng, 6, 4))], "a long, vec array<float>")
+    oth = spark.createDataFrame([("fr", i, v.tolist()) for i, v in enumerate(_unit(rng, 6, 4))], "code string, b long, vec array<float>")
+    plan = similarity.block_scores(piv, oth, 2, spark.createDataFrame([("fr", 1)], "code string, a long"))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan
+
+
 def _sequential(edges):
     used_a, used_b, out = set(), set(), set()
     for code, a, b, s in sorted(edges, key=lambda e: (e[0], -e[3], e[1], e[2])):
