@@ -122,6 +122,7 @@ def first_of_key(leaders: DataFrame) -> DataFrame:
     )
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, gapless_rank
+from .common import checkpointed, gapless_rank, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -53,17 +53,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def _encoder(path: str):
     """``list of texts → list of id lists``.  The byte-level BPE vocabulary is also there as ranks,
     whose encoder gives the same ids several times faster; texts that hold the special token's
-    string, and vocabularies without such a file, take the tokenizer itself."""
+    string, and vocabularies without such a file, take the tokenizer itself, which is loaded at the
+    first of them."""
     import base64
+    import json
     import os
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    slow = Tokenizer.from_file(path)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    slow = None
     ranks_file = path.removesuffix(".json") + ".tiktoken"
     fast = None
     if os.path.exists(ranks_file):
@@ -72,7 +73,13 @@ def _encoder(path: str):
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        nonlocal slow
         if fast is None or any(s in text for s in special):
+            if slow is None:
+                from tokenizers import Tokenizer
+
+                os.environ["TOKENIZERS_PARALLELISM"] = "false"
+                slow = Tokenizer.from_file(path)
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -80,6 +87,7 @@ def _encoder(path: str):
 
 
 def _pieces(path: str, capacity: int, end_id: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path)
         for batch in batches:

@@ -34,11 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEADER_SCHEMA, checkpointed, first_of_key, leaders_of, packed_texts
+from .common import LEADER_SCHEMA, checkpointed, first_of_key, leaders_of, packed_texts, tidy
 from .words import Block, inside_row, int_column, text_words, unique_pairs, window_hashes, word_blocks
 
 SIZE = 13
 ANCHOR = 5
+CHUNK = 1 << 18        # entries whose leaders are found at once
 
 
 def anchors(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,12 +58,13 @@ def anchors(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(size: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             for block in word_blocks(batches, "id", "text"):
                 key, row = unique_pairs(*anchors(block, size))
                 yield key, block.ids[row]
-        yield from leaders_of(pairs())
+        yield from leaders_of(pairs(), CHUNK)
     return run
 
 
@@ -78,6 +80,7 @@ def _hash_sets(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
 
 def _window_rows(size: int):
     """Windows whose anchor is shared, as leader rows."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
 
@@ -90,7 +93,7 @@ def _window_rows(size: int):
                     anchor, _ = anchors(one, size)
                     h = np.unique(window_hashes(words, size)[np.isin(anchor, shared)])
                     yield h, np.full(len(h), ids[i])
-        yield from leaders_of(pairs())
+        yield from leaders_of(pairs(), CHUNK)
     return run
 
 
@@ -103,6 +106,7 @@ def _intervals(covered_starts: np.ndarray, size: int, n: int) -> np.ndarray:
 
 
 def _kept(size: int, with_text: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -182,6 +186,7 @@ def _cut_rows(size: int, columns: list[str], text_col: str):
         gone = _intervals(np.flatnonzero(np.isin(h, keys)), size, len(words))
         return b" ".join([w for w, g in zip(words, gone) if not g]).decode() if gone.any() else text or ""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {c: batch.column(i) for i, c in enumerate(columns)}

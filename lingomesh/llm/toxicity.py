@@ -105,6 +105,7 @@ def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def _sample_rows(identities):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def split(raw, ends, n):
             h, r = features(raw, ends)
@@ -175,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = counts.withColumn("chi", chi).orderBy(F.desc("chi"), "f").limit(FEATURES).select("f").collect()                     # <= FEATURES rows
     known = np.sort(np.array([r["f"] for r in best], np.int64).view(np.uint64))
 
+    @tidy
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -218,7 +220,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(docs, labels, id_col, text_col, label_col)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    out = d.mapInArrow(_score(*model), "id long, held_out boolean, score double")
+    out = d.mapInArrow(tidy(_score(*model)), "id long, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -440,6 +440,18 @@ def test_special_token_text_is_tokenized_alike():
         assert list(encode(text)) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_workers_of_the_pipeline_give_memory_back():
+    """Every Arrow function ends with ``tidy``, and the large tokenizer is loaded only for texts that need it."""
+    import subprocess
+    import sys
+
+    for run in (packing._pieces("", 8, 2), substring_dedup._anchor_rows(13), substring_dedup._window_rows(13), substring_dedup._kept(13, True),
+                substring_dedup._cut_rows(13, ["text"], "text")):
+        assert hasattr(run, "__wrapped__")
+    code = "import sys; from lingomesh.llm import packing; packing._encoder(packing.tokenizer_path())('a b'); print('tokenizers' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "False"
+
+
 @pytest.mark.parametrize("kind", ["uniform", "hot", "long", "short"])
 def test_packing_plan(kind):
     rng = np.random.default_rng(0)
